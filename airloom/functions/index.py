@@ -1,7 +1,7 @@
 """Unit conversion and the piecewise-linear index."""
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from .numeric import not_null
@@ -66,6 +66,18 @@ def sub_index(parameter: Column | str, concentration: Column) -> Column:
     return not_null(concentration, chain.otherwise(F.lit(-1.0)))
 
 
+def with_concentration(df: DataFrame, out: str = "concentration") -> DataFrame:
+    """Reading in index units as its own column. The sub-index refers to it once per segment, so it must be a column
+    of a projection below and not an inlined expression (the generated code would outgrow the JVM's method limit)."""
+    return df.withColumn(out, to_index_unit(F.col("parameter"), F.col("value"), F.col("unit")))
+
+
+def with_sub_index(df: DataFrame, out: str = "sub_index") -> DataFrame:
+    """Unrounded sub-index of (parameter, value, unit) rows."""
+    rows = with_concentration(df, "_conc")
+    return rows.withColumn(out, sub_index(F.col("parameter"), F.col("_conc"))).drop("_conc")
+
+
 def band(index: Column) -> Column:
     """Band of an index value; only the upper bounds matter."""
     out = None
@@ -75,7 +87,12 @@ def band(index: Column) -> Column:
 
 
 def band_of_pm25(concentration: Column) -> Column:
-    return band(sub_index("pm25", concentration).cast("int"))
+    """Band of the truncated PM2.5 sub-index. Truncation keeps a value at or under a bound only below bound + 1, so the
+    comparison is with bound + 1 exclusive."""
+    si, out = sub_index("pm25", concentration), None
+    for label, upper, _ in K.BANDS[:-1]:
+        out = F.when(si < upper + 1, label) if out is None else out.when(si < upper + 1, label)
+    return not_null(concentration, out.otherwise(K.BANDS[-1][0]))
 
 
 def band_colour(label: Column) -> Column:

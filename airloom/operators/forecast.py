@@ -1,4 +1,9 @@
-"""Short-horizon forecasts of many series at once, as expressions over at most twelve recent hours per series."""
+"""Short-horizon forecasts of many series at once.
+
+Only the last twelve hours of a series and three totals enter a forecast. They are reduced to scalar columns by one
+aggregate, and the smoothing and the hour-by-hour walk are unrolled over those columns, so everything stays in
+generated code. (Array lambdas would be re-evaluated per element once the optimizer merges projections.)
+"""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -10,169 +15,160 @@ from .readings import first_by, index_of
 from .timeseries import keep_last
 
 RECENT = 12
+SMOOTHED = 6
 
 
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
-
-
-def _mean(a: Column) -> Column:
-    return _sum(a) / F.size(a)
-
-
-def _deviation(a: Column) -> Column:
-    """Population deviation of a short array."""
-    m = _mean(a)
-    return F.sqrt(_sum(F.transform(a, lambda v: (v - m) * (v - m))) / F.size(a))
-
-
-def _median(a: Column) -> Column:
-    s, n = F.sort_array(a), F.size(a)
-    low = F.element_at(s, F.floor((n + 1) / 2).cast("int"))
-    high = F.element_at(s, F.floor(n / 2 + 1).cast("int"))
-    return (low + high) / 2.0
-
-
-def _last(a: Column, n: int) -> Column:
-    return F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), F.lit(n))
-
-
-def damped_trend(recent: Column, alpha: float = K.HOLT_ALPHA, phi: float = K.HOLT_PHI) -> Column:
-    """Trend after exponential smoothing with a damped trend over the given values; 0 for fewer than three."""
-    start = F.struct(recent[0].alias("level"), F.lit(0.0).alias("trend"))
-
-    def step(s, v):
-        level = alpha * v + (1 - alpha) * (s["level"] + phi * s["trend"])
-        trend = K.HOLT_BETA * (level - s["level"]) + (1 - K.HOLT_BETA) * phi * s["trend"]
-        return F.struct(level.alias("level"), trend.alias("trend"))
-
-    rest = F.slice(recent, F.lit(2), F.greatest(F.size(recent) - 1, F.lit(0)))
-    return F.when(F.size(recent) >= 3, F.aggregate(rest, start, step, lambda s: s["trend"])).otherwise(0.0)
-
-
-def _clamped_walk(raw: Column, current: Column, top: Column) -> Column:
-    """Limit each forecast to ±12 % of the one before it (the first to the current value), then to [0, top]."""
-    def step(acc, p):
-        ref = F.when(F.size(acc) == 0, current).otherwise(F.element_at(acc, -1))
-        move = ref * K.MAX_HOURLY_CHANGE
-        near = F.least(F.greatest(p, ref - move), ref + move)
-        return F.concat(acc, F.array(F.least(F.greatest(near, F.lit(0.0)), top)))
-
-    return F.aggregate(raw, F.array().cast("array<double>"), step)
-
-
-def recent_trend(values: Column) -> Column:
-    """STRUCT<trend, pct>: change between the halves of the last six values, in percent per hour."""
-    r = _last(values, 6)
-    half = F.floor(F.size(r) / 2).cast("int")
-    first = _mean(F.slice(r, F.lit(1), half))
-    second = _mean(F.slice(r, half + 1, F.size(r) - half))
-    pct = F.when(first == 0, 0.0).otherwise((second - first) / first * 100.0 / F.greatest(half, F.lit(1)))
-    label = F.when(pct > 3, "rising").when(pct < -3, "falling").otherwise("stable")
-    short = F.size(values) < 2
-    return F.struct(F.when(short, "stable").otherwise(label).alias("trend"),
-                    F.when(short, 0.0).otherwise(F.bround(pct, 1)).alias("pct"))
+def _profile(hour: Column) -> Column:
+    """Diurnal multiplier of a local hour."""
+    return F.element_at(F.lit(K.DIURNAL), hour + 1)
 
 
 def series_state(hourly: DataFrame, keys: list[str], ts: str = "date_utc", seq: str | None = None) -> DataFrame:
-    """Per series: the last twelve (hour, value) pairs, the number of points, their mean and deviation, the unit."""
+    """Per series of at least three points: totals, the last six values ``v1`` (newest) .. ``v6`` and their
+    deseasonalised forms ``f1`` .. ``f6``, and moments of the last twelve."""
     rows = keep_last(hourly, keys + [ts], seq) if seq else hourly
     newest_first = W.partitionBy(*keys).orderBy(F.col(ts).desc())
-    tail = rows.withColumn("_rn", F.row_number().over(newest_first)).where(F.col("_rn") <= RECENT)
+    tail = rows.select(*keys, ts, "value").withColumn("_rn", F.row_number().over(newest_first)).where(
+        F.col("_rn") <= RECENT)
+    tail = tail.withColumn("_m", _profile(F.hour(local_time(F.col(ts)))))
+    tail = tail.withColumn("_f", F.col("value") / F.greatest("_m", F.lit(0.5)))
+
+    def nth(c, i):
+        return F.max(F.when(F.col("_rn") == i, F.col(c)))
+
     recent = tail.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col("value").alias("v")))).alias("_recent"))
+        F.max(ts).alias("last_ts"), F.median("_f").alias("base"),
+        F.var_pop("value").alias("var_v"), F.var_pop("_m").alias("var_m"), F.covar_pop("value", "_m").alias("cov_vm"),
+        *[nth("value", i).alias(f"v{i}") for i in range(1, SMOOTHED + 1)],
+        *[nth("_f", i).alias(f"f{i}") for i in range(1, SMOOTHED + 1)])
     totals = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"),
         first_by("unit", F.col(ts)).alias("unit"))
     return totals.where(F.col("n") >= 3).join(recent, keys)
 
 
+def with_damped_trend(state: DataFrame, alpha: float = K.HOLT_ALPHA, phi: float = K.HOLT_PHI) -> DataFrame:
+    """``momentum``: trend left after exponential smoothing with a damped trend over ``f6`` .. ``f1``."""
+    s = state.withColumns({"_level": F.col(f"f{SMOOTHED}"), "_trend": F.lit(0.0)})
+    for i in range(SMOOTHED - 1, 0, -1):
+        s = s.withColumn("_new", alpha * F.col(f"f{i}") + (1 - alpha) * (F.col("_level") + phi * F.col("_trend")))
+        s = s.withColumn("_trend", K.HOLT_BETA * (F.col("_new") - F.col("_level"))
+                         + (1 - K.HOLT_BETA) * phi * F.col("_trend")).withColumn("_level", F.col("_new"))
+    return s.withColumnRenamed("_trend", "momentum").drop("_level", "_new")
+
+
+def with_recent_trend(state: DataFrame) -> DataFrame:
+    """``trend`` and ``trend_pct``: change between the halves of the last six values, in percent per hour."""
+    v = {i: F.col(f"v{i}") for i in range(1, SMOOTHED + 1)}
+    n = F.col("n")
+    first = F.when(n == 3, v[3]).when(n == 4, (v[4] + v[3]) / 2).when(n == 5, (v[5] + v[4]) / 2).otherwise(
+        (v[6] + v[5] + v[4]) / 3)
+    second = F.when(n <= 4, (v[1] + v[2]) / 2).otherwise((v[1] + v[2] + v[3]) / 3)
+    half = F.when(n == 3, 1.0).when(n <= 5, 2.0).otherwise(3.0)
+    s = state.withColumns({"_first": first, "_second": second, "_half": half})
+    s = s.withColumn("_pct", F.when(F.col("_first") == 0, 0.0).otherwise(
+        (F.col("_second") - F.col("_first")) / F.col("_first") * 100.0 / F.col("_half")))
+    return s.withColumns({
+        "trend": F.when(F.col("_pct") > 3, "rising").when(F.col("_pct") < -3, "falling").otherwise("stable"),
+        "trend_pct": F.bround("_pct", 1),
+    }).drop("_first", "_second", "_half", "_pct")
+
+
+def with_regression(state: DataFrame) -> DataFrame:
+    """``slope``, ``icept`` and residual variance ``line_var`` of the weighted line through three to five values.
+
+    Positions count from the oldest value; weights rise from 1 to e² towards the newest.
+    """
+    n = F.col("n")
+    ranks = range(1, 6)
+
+    def total(term) -> Column:
+        return sum((F.when(n >= i, term(i)).otherwise(0.0) for i in ranks[1:]), F.when(n >= 1, term(1)).otherwise(0.0))
+
+    x, y = (lambda i: (n - i).cast("double")), (lambda i: F.col(f"v{i}"))
+    s = state.withColumns({f"_w{i}": F.exp(2.0 * x(i) / F.greatest(n - 1, F.lit(1))) for i in ranks})
+    w = lambda i: F.col(f"_w{i}")
+    s = s.withColumn("_ws", total(w))
+    s = s.withColumns({"_xm": total(lambda i: w(i) * x(i)) / F.col("_ws"), "_ym": total(lambda i: w(i) * y(i)) / F.col("_ws")})
+    dx, dy = (lambda i: x(i) - F.col("_xm")), (lambda i: y(i) - F.col("_ym"))
+    s = s.withColumns({"_cov": total(lambda i: w(i) * dx(i) * dy(i)), "_var": total(lambda i: w(i) * dx(i) * dx(i))})
+    s = s.withColumn("slope", F.when(F.col("_var") > 0, F.col("_cov") / F.col("_var")).otherwise(0.0))
+    s = s.withColumn("icept", F.col("_ym") - F.col("slope") * F.col("_xm"))
+    resid = lambda i: y(i) - F.col("icept") - F.col("slope") * x(i)
+    s = s.withColumn("_rm", total(resid) / n)
+    s = s.withColumn("line_var", total(lambda i: (resid(i) - F.col("_rm")) * (resid(i) - F.col("_rm"))) / n)
+    return s.drop("_ws", "_xm", "_ym", "_cov", "_var", "_rm", *[f"_w{i}" for i in ranks])
+
+
+def forecast_values(hourly: DataFrame, keys: list[str] = ("parameter",), horizon: int = 3, ts: str = "date_utc",
+                    seq: str | None = None) -> DataFrame:
+    """The unrounded forecasts ``p1`` .. with the series state they come from.
+
+    Six points and more use the diurnal profile with a damped trend; three to five use the weighted line. Each step
+    may move ±12 % from the one before (the first from the current value), within [0, physical maximum].
+    """
+    s = with_regression(with_damped_trend(series_state(hourly, list(keys), ts, seq)))
+    diurnal = F.col("n") >= SMOOTHED
+    spread = F.when(diurnal, F.col("var_v") + F.col("base") * F.col("base") * F.col("var_m")
+                    - 2.0 * F.col("base") * F.col("cov_vm")).otherwise(F.col("line_var"))
+    s = s.withColumns({
+        "top": I.physical_max(F.col("parameter"), F.col("v1")), "_h0": F.hour(local_time(F.col("last_ts"))),
+        "spread": F.sqrt(F.greatest(spread, F.lit(0.0))),
+    })
+    before = F.col("v1")
+    for h in range(1, horizon + 1):
+        cyclic = (F.col("base") + F.col("momentum") * K.HOLT_PHI ** h * h) * _profile(F.pmod(F.col("_h0") + h, F.lit(24)))
+        line = F.col("icept") + F.col("slope") * (F.col("n") + (h - 1))
+        s = s.withColumn("_raw", F.when(diurnal, cyclic).otherwise(line))
+        move = before * K.MAX_HOURLY_CHANGE
+        near = F.least(F.greatest(F.col("_raw"), before - move), before + move)
+        s = s.withColumn(f"p{h}", F.least(F.greatest(near, F.lit(0.0)), F.col("top")))
+        before = F.col(f"p{h}")
+    return s.drop("_raw", "_h0")
+
+
 def forecast_series(hourly: DataFrame, keys: list[str] = ("parameter",), horizon: int = 3, ts: str = "date_utc",
                     seq: str | None = None) -> DataFrame:
     """One row per series: method, trend, current value and ``points`` (one struct per hour ahead).
 
-    Six points and more use the diurnal profile with a damped trend; three to five use weighted regression; fewer give
-    no row. ``keys`` must contain ``parameter``.
+    ``keys`` must contain ``parameter``. Fewer than three points give no row.
     """
-    keys = list(keys)
-    s = series_state(hourly, keys, ts, seq)
-    profile = F.lit(K.DIURNAL)
-    s = s.select(
-        "*", F.transform("_recent", lambda x: x["v"]).alias("vals"),
-        F.transform("_recent", lambda x: F.element_at(profile, F.hour(local_time(x["t"])) + 1)).alias("mult"),
-        F.element_at("_recent", -1)["t"].alias("last_ts"), F.element_at("_recent", -1)["v"].alias("current"),
-    )
-    s = s.select("*", I.physical_max(F.col("parameter"), F.col("current")).alias("top"),
-                 F.zip_with("vals", "mult", lambda v, m: v / F.greatest(m, F.lit(0.5))).alias("flat"),
-                 F.sequence(F.lit(0), F.lit(horizon - 1)).alias("steps"))
-    # Diurnal branch.
-    s = s.select("*", _median(F.col("flat")).alias("base"), damped_trend(_last(F.col("flat"), 6)).alias("momentum"))
-    hour0 = F.hour(local_time(F.col("last_ts")))
-    diurnal_raw = F.transform("steps", lambda h: (
-        F.col("base") + F.col("momentum") * F.pow(F.lit(K.HOLT_PHI), h + 1) * (h + 1)
-    ) * F.element_at(profile, F.pmod(hour0 + h + 1, F.lit(24)) + 1))
-    residual = F.zip_with("vals", "mult", lambda v, m: v - F.col("base") * m)
-    # Regression branch: at most five points, weights exp(0..2).
-    n = F.size("vals")
-    xs = F.sequence(F.lit(0), n - 1)
-    raw_w = F.transform(xs, lambda i: F.exp(F.lit(2.0) * i / F.greatest(n - 1, F.lit(1))))
-    s = s.select("*", raw_w.alias("w"), xs.alias("xs"), residual.alias("residual"), diurnal_raw.alias("raw_d"))
-    wsum = _sum(F.col("w"))
-    xm = _sum(F.zip_with("w", "xs", lambda w, x: w * x)) / wsum
-    ym = _sum(F.zip_with("w", "vals", lambda w, v: w * v)) / wsum
-    s = s.select("*", wsum.alias("ws"), xm.alias("xm"), ym.alias("ym"))
-    triples = F.arrays_zip("w", "xs", "vals")
-    cov = _sum(F.transform(triples, lambda z: z["w"] * (z["xs"] - F.col("xm")) * (z["vals"] - F.col("ym")))) / F.col("ws")
-    var = _sum(F.transform(triples, lambda z: z["w"] * (z["xs"] - F.col("xm")) * (z["xs"] - F.col("xm")))) / F.col("ws")
-    s = s.select("*", cov.alias("cov"), var.alias("var"))
-    s = s.withColumn("slope", F.when(F.col("var") > 0, F.col("cov") / F.col("var")).otherwise(0.0))
-    s = s.withColumn("icept", F.col("ym") - F.col("slope") * F.col("xm"))
-    linear_raw = F.transform("steps", lambda h: F.col("icept") + F.col("slope") * (F.col("n") + h))
-    linear_resid = F.zip_with("vals", "xs", lambda v, x: v - (F.col("icept") + F.col("slope") * x))
-    diurnal = F.col("n") >= 6
-    s = s.withColumn("raw", F.when(diurnal, F.col("raw_d")).otherwise(linear_raw))
-    s = s.withColumn("spread", F.when(diurnal, _deviation(F.col("residual"))).otherwise(_deviation(linear_resid)))
-    s = s.withColumn("values", _clamped_walk(F.col("raw"), F.col("current"), F.col("top")))
-    return _points(s, keys, diurnal)
-
-
-def _points(s: DataFrame, keys: list[str], diurnal: Column) -> DataFrame:
-    offset = F.when(diurnal, 1.0).otherwise(1.5)
-    data_part = F.least(F.col("n") / 12.0, F.lit(1.0))
+    s = with_recent_trend(forecast_values(hourly, keys, horizon, ts, seq))
+    diurnal = F.col("n") >= SMOOTHED
     volatility = F.greatest(F.lit(0.0), F.least(F.col("deviation") / (F.col("mean") + 1e-6) / 0.5, F.lit(0.4)))
-    s = s.select("*", offset.alias("off"), (data_part - volatility).alias("trust"),
-                 recent_trend(F.col("vals")).alias("tr"))
-
-    def point(v, h):
-        half = F.lit(K.CI_Z) * F.col("spread") * F.sqrt(h + F.col("off"))
-        low, high = F.greatest(v - half, F.lit(0.0)), F.least(v + half, F.col("top"))
-        width = F.least((high - low) / (v + 1e-6) / 2.0, F.lit(0.3))
-        trust = F.greatest(F.lit(0.1), F.col("trust") - width - 0.05 * (h + 1))
-        return F.struct(
-            (h + 1).alias("hour_offset"),
-            F.timestamp_micros(F.unix_micros("last_ts") + (h + 1).cast("bigint") * F.lit(3_600_000_000)).alias("ts"),
-            F.bround(v, 1).alias("value"), F.bround(low, 1).alias("lower"), F.bround(high, 1).alias("upper"),
-            F.bround(trust, 2).alias("confidence"))
-
-    mark = F.when(F.col("tr.trend") == "rising", "^").when(F.col("tr.trend") == "falling", "v").otherwise("=")
+    s = s.withColumn("_trust", F.least(F.col("n") / 12.0, F.lit(1.0)) - volatility)
+    for h in range(1, horizon + 1):
+        half = F.lit(K.CI_Z) * F.col("spread") * F.sqrt(F.lit(h - 1) + F.when(diurnal, 1.0).otherwise(1.5))
+        s = s.withColumn("_half", half)
+        s = s.withColumns({f"lo{h}": F.greatest(F.col(f"p{h}") - F.col("_half"), F.lit(0.0)),
+                           f"hi{h}": F.least(F.col(f"p{h}") + F.col("_half"), F.col("top"))})
+    points = []
+    for h in range(1, horizon + 1):
+        p, lo, hi = F.col(f"p{h}"), F.col(f"lo{h}"), F.col(f"hi{h}")
+        width = F.least((hi - lo) / (p + 1e-6) / 2.0, F.lit(0.3))
+        trust = F.greatest(F.lit(0.1), F.col("_trust") - width - 0.05 * h)
+        points.append(F.struct(
+            F.lit(h).alias("hour_offset"), (F.col("last_ts") + F.expr(f"INTERVAL {h} HOUR")).alias("ts"),
+            F.bround(p, 1).alias("value"), F.bround(lo, 1).alias("lower"), F.bround(hi, 1).alias("upper"),
+            F.bround(trust, 2).alias("confidence")))
+    mark = F.when(F.col("trend") == "rising", "^").when(F.col("trend") == "falling", "v").otherwise("=")
     return s.select(
         *keys, "unit", "n", F.when(diurnal, "diurnal").otherwise("linear").alias("method"),
-        F.bround("current", 1).alias("current_value"), F.col("tr.trend").alias("trend"),
-        F.col("tr.pct").alias("trend_pct"), mark.alias("trend_mark"),
-        F.transform("values", point).alias("points"))
+        F.bround("v1", 1).alias("current_value"), "trend", "trend_pct", mark.alias("trend_mark"),
+        F.array(*points).alias("points"))
 
 
 def forecast_index(forecasts: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Per hour ahead: the index of the forecast values, its bounds and the mean confidence.
 
-    ``forecasts`` comes from ``forecast_series``; ``keys`` are its keys without the parameter.
+    ``forecasts`` comes from ``forecast_series``; ``keys`` are its keys without the parameter. The outer form of the
+    generator is used because the plain one adds a filter on the array, which the optimizer pushes down through every
+    step of the forecast, multiplying the expressions on its way. The array is never empty.
     """
     keys = list(keys)
     by_hour = keys + ["hour_offset"]
     flat = forecasts.where(F.col("parameter").isin(K.POLLUTANTS)).select(
-        *keys, "parameter", "unit", F.explode("points").alias("p")).select(
-        *keys, "parameter", "unit", F.col("p.hour_offset").alias("hour_offset"), "p.value", "p.lower", "p.upper",
-        "p.confidence")
+        *keys, "parameter", "unit", F.inline_outer("points")).drop("ts")
     # The three variants ride along as a key, so the index is computed in one aggregate.
     kinds = flat.select(*by_hour, "parameter", "unit", "confidence", F.explode(F.create_map(
         F.lit("aqi"), F.col("value"), F.lit("lo"), F.col("lower"), F.lit("hi"), F.col("upper"))).alias("kind", "value"))

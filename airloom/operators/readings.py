@@ -49,16 +49,13 @@ def city_concentrations(hourly: DataFrame, latest: DataFrame) -> DataFrame:
     usable = hourly.where(F.coalesce(first_location != "synthetic", F.lit(False)))
     order = F.struct("date_utc", "location")
     from_hourly = usable.groupBy("parameter").agg(
-        F.median("value").alias("h_value"), first_by("unit", order).alias("h_unit"))
-    units = latest.groupBy("parameter").agg(first_by("unit", F.struct("location", "date_utc")).alias("l_unit"))
-    from_latest = exact_quantiles(latest, ["parameter"], "value", {"l_value": 0.5}).join(units, "parameter")
-    both = from_hourly.join(from_latest, "parameter", "full_outer").where(F.col("parameter").isin(K.POLLUTANTS))
-    hit = F.col("h_value").isNotNull()
-    return both.select(
-        "parameter",
-        F.when(hit, F.col("h_value")).otherwise(F.col("l_value")).alias("value"),
-        F.when(hit, F.col("h_unit")).otherwise(F.col("l_unit")).alias("unit"),
-    )
+        F.median("value").alias("value"), first_by("unit", order).alias("unit")).withColumn("src", F.lit(0))
+    units = latest.groupBy("parameter").agg(first_by("unit", F.struct("location", "date_utc")).alias("unit"))
+    from_latest = exact_quantiles(latest, ["parameter"], "value", {"value": 0.5}).join(units, "parameter").withColumn(
+        "src", F.lit(1))
+    both = from_hourly.unionByName(from_latest).where(F.col("parameter").isin(K.POLLUTANTS) & F.col("value").isNotNull())
+    picked = both.groupBy("parameter").agg(F.min_by(F.struct("value", "unit"), "src").alias("r"))
+    return picked.select("parameter", "r.value", "r.unit")
 
 
 def current_means(latest: DataFrame) -> DataFrame:
@@ -96,8 +93,7 @@ def index_of(df: DataFrame, keys: list[str]) -> DataFrame:
 
     The highest rounded sub-index decides; on a tie the parameter first in the display order is dominant.
     """
-    si = I.sub_index(F.col("parameter"), I.to_index_unit(F.col("parameter"), F.col("value"), F.col("unit")))
-    rows = df.withColumn("_si", F.rint(si).cast("int"))
+    rows = I.with_sub_index(df, "_raw").withColumn("_si", F.rint("_raw").cast("int")).drop("_raw")
     known = F.col("_si") >= 0
     order = F.struct(F.col("_si"), -I.display_rank(F.col("parameter")))
     out = rows.groupBy(*keys).agg(

@@ -19,9 +19,7 @@ def hourly_rollup(stream: DataFrame, watermark: str = "1 hour", ts: str = "date_
 
 def sub_indices(stream: DataFrame) -> DataFrame:
     """Stateless: sub-index and band of each reading."""
-    p = F.col("parameter")
-    si = I.sub_index(p, I.to_index_unit(p, F.col("value"), F.col("unit")))
-    return stream.withColumn("sub_index", si).withColumn("category", I.band(F.rint(si)))
+    return I.with_sub_index(stream).withColumn("category", I.band(F.rint("sub_index")))
 
 
 def latest_per_key(stream: DataFrame, ts: str = "date_utc") -> DataFrame:
