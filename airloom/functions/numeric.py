@@ -6,6 +6,12 @@ import math
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once. A column used several times inside a conditional is otherwise
+    evaluated at each use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def not_null(guard: Column, value: Column) -> Column:
     """``value`` where ``guard`` is not NULL (``greatest``/``least`` skip NULLs, which would turn NULL into a bound)."""
     return F.when(guard.isNotNull(), value)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 
 from .. import constants as K
 from . import text as T
+from .numeric import let
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -16,35 +17,36 @@ def _count(c: Column, pattern: str) -> Column:
 
 
 def answer_relevancy(answer: Column, question: Column) -> Column:
-    q, a = T.word_set(question, K.EVAL_STOP), T.word_set(answer, K.EVAL_STOP)
-    share = T.overlap(q, a) / F.size(q)
-    bonus = F.least(T.word_count(answer) / 100.0, F.lit(0.2))
-    return (
-        F.when((answer == "") | (question == ""), 0.0)
-        .when(F.size(q) == 0, 0.5)
-        .otherwise(F.least(share + bonus, F.lit(1.0)))
-    )
+    def score(q):
+        share = T.overlap(q, T.word_set(answer, K.EVAL_STOP)) / F.size(q)
+        bonus = F.least(T.word_count(answer) / 100.0, F.lit(0.2))
+        return F.when(F.size(q) == 0, 0.5).otherwise(F.least(share + bonus, F.lit(1.0)))
+
+    return F.when((answer == "") | (question == ""), 0.0).otherwise(let(T.word_set(question, K.EVAL_STOP), score))
 
 
 def answer_correctness(answer: Column, reference: Column) -> Column:
     """F1 of the two word sets."""
-    a, r = T.word_set(answer, K.EVAL_STOP), T.word_set(reference, K.EVAL_STOP)
-    hits = T.overlap(a, r)
-    precision, recall = hits / F.size(a), hits / F.size(r)
-    return F.when((F.size(a) == 0) | (F.size(r) == 0) | (hits == 0), 0.0).otherwise(
-        2.0 * precision * recall / (precision + recall)
-    )
+    def f1(s):
+        hits, n_a, n_r = T.overlap(s["a"], s["r"]), F.size(s["a"]), F.size(s["r"])
+        precision, recall = hits / n_a, hits / n_r
+        return F.when((n_a == 0) | (n_r == 0) | (hits == 0), 0.0).otherwise(
+            2.0 * precision * recall / (precision + recall))
+
+    sets = F.struct(T.word_set(answer, K.EVAL_STOP).alias("a"), T.word_set(reference, K.EVAL_STOP).alias("r"))
+    return let(sets, f1)
 
 
 def _supported_share(text: Column, context_words: Column, floor: float) -> Column:
-    parts = T.long_sentences(text)
+    def share(s):
+        def supported(words):
+            return (F.size(words) == 0) | (T.overlap(words, s["context"]) / F.size(words) > floor)
 
-    def supported(sentence):
-        words = T.word_set(sentence, K.EVAL_STOP)
-        return (F.size(words) == 0) | (T.overlap(words, context_words) / F.size(words) > floor)
+        n = F.size(s["parts"])
+        return F.when(n == 0, 0.0).otherwise(F.size(F.filter(s["parts"], supported)) / n)
 
-    n = F.size(parts)
-    return F.when(n == 0, 0.0).otherwise(F.size(F.filter(parts, supported)) / n)
+    parts = F.transform(T.long_sentences(text), lambda sentence: T.word_set(sentence, K.EVAL_STOP))
+    return let(F.struct(parts.alias("parts"), context_words.alias("context")), share)
 
 
 def faithfulness(answer: Column, chunk_texts: Column) -> Column:
@@ -59,14 +61,15 @@ def context_recall(reference: Column, chunk_texts: Column) -> Column:
 
 def context_precision(question: Column, chunks: Column, expected_topics: Column) -> Column:
     """``chunks``: ARRAY<STRUCT<text, topic>>."""
-    q = T.word_set(question, K.EVAL_STOP)
+    def count(q):
+        def relevant(c):
+            share = T.overlap(q, T.word_set(c["text"])) / F.greatest(F.size(q), F.lit(1))
+            return (share > 0.3) | F.coalesce(F.array_contains(expected_topics, c["topic"]), F.lit(False))
 
-    def relevant(c):
-        share = T.overlap(q, T.word_set(c["text"])) / F.greatest(F.size(q), F.lit(1))
-        return (share > 0.3) | F.coalesce(F.array_contains(expected_topics, c["topic"]), F.lit(False))
+        return F.size(F.filter(chunks, relevant))
 
     n = F.size(chunks)
-    return F.when(n == 0, 0.0).otherwise(F.size(F.filter(chunks, relevant)) / n)
+    return F.when(n == 0, 0.0).otherwise(let(T.word_set(question, K.EVAL_STOP), count) / n)
 
 
 def decayed_mean(scores: Column, ratio: float = 0.9) -> Column:
@@ -94,21 +97,18 @@ def citation_coverage(response: Column, n_chunks: Column) -> Column:
 
 
 def response_relevance(response: Column, query: Column) -> Column:
-    q, r = T.space_word_set(query, K.RELEVANCE_STOP), T.space_word_set(response, K.RELEVANCE_STOP)
-    share = T.overlap(q, r) / F.size(q)
-    boosted = share + F.when(F.length(response) > 200, 0.1).otherwise(0.0)
-    return (
-        F.when((response == "") | (query == ""), 0.3)
-        .when(F.size(q) == 0, 0.5)
-        .otherwise(F.least(boosted, F.lit(1.0)))
-    )
+    def score(q):
+        share = T.overlap(q, T.space_word_set(response, K.RELEVANCE_STOP)) / F.size(q)
+        boosted = share + F.when(F.length(response) > 200, 0.1).otherwise(0.0)
+        return F.when(F.size(q) == 0, 0.5).otherwise(F.least(boosted, F.lit(1.0)))
+
+    return F.when((response == "") | (query == ""), 0.3).otherwise(
+        let(T.space_word_set(query, K.RELEVANCE_STOP), score))
 
 
 def response_quality(response: Column) -> Column:
-    words = T.word_count(response)
-    length = (
-        F.when((words > 50) & (words < 800), 0.2).when(words >= 800, 0.15).when(words > 20, 0.1).otherwise(0.0)
-    )
+    length = let(T.word_count(response), lambda words: (
+        F.when((words > 50) & (words < 800), 0.2).when(words >= 800, 0.15).when(words > 20, 0.1).otherwise(0.0)))
     score = F.lit(0.3) + length
     for pattern in (K.BULLET_LINE, K.HEADING_LINE, K.ANY_NUMBER, K.LINK):
         score = score + F.when(response.rlike(pattern), 0.1).otherwise(0.0)

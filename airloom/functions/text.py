@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import constants as K
+from .numeric import let
 
 SPACE = r"(?U)\s+"
 
@@ -13,8 +14,7 @@ def strip(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    s = strip(c)
-    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, SPACE)))
+    return let(strip(c), lambda s: F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, SPACE))))
 
 
 def token_estimate(c: Column) -> Column:
@@ -62,22 +62,22 @@ def first_best(names: list[str], scores: Column) -> Column:
 
 
 def topic_scores(c: Column) -> Column:
-    low = F.lower(c)
-    return F.array(*[F.regexp_count(low, F.lit(p)) for _, p in K.TOPICS])
+    return let(F.lower(c), lambda low: F.array(*[F.regexp_count(low, F.lit(p)) for _, p in K.TOPICS]))
 
 
 def topic(c: Column) -> Column:
-    scores = topic_scores(c)
-    return F.when(F.array_max(scores) == 0, "general").otherwise(first_best([n for n, _ in K.TOPICS], scores))
+    names = [n for n, _ in K.TOPICS]
+    return let(topic_scores(c), lambda s: F.when(F.array_max(s) == 0, "general").otherwise(first_best(names, s)))
 
 
 def year(c: Column) -> Column:
     """Most frequent year 1980-2029, the first seen on a tie."""
-    found = F.regexp_extract_all(c, F.lit("(?U)" + K.YEAR_PATTERN), F.lit(1))
-    distinct = F.array_distinct(found)
-    counts = F.transform(distinct, lambda y: F.size(F.filter(found, lambda z: z == y)))
-    best = F.array_position(counts, F.array_max(counts)).cast("int")
-    return F.when(F.size(found) > 0, F.element_at(distinct, best).cast("int"))
+    def mode(found):
+        counts = F.transform(F.array_distinct(found), lambda y: F.size(F.filter(found, lambda z: z == y)))
+        best = let(counts, lambda n: F.array_position(n, F.array_max(n)).cast("int"))
+        return F.when(F.size(found) > 0, F.element_at(F.array_distinct(found), best).cast("int"))
+
+    return let(F.regexp_extract_all(c, F.lit("(?U)" + K.YEAR_PATTERN), F.lit(1)), mode)
 
 
 def credibility(doc_name: Column, source_type: Column) -> Column:
@@ -95,25 +95,26 @@ def credibility(doc_name: Column, source_type: Column) -> Column:
 
 
 def intent_scores(question: Column) -> Column:
-    q = strip(F.lower(question))
-    return F.array(*[
+    return let(strip(F.lower(question)), lambda q: F.array(*[
         F.lit(1.5) * sum((F.regexp_count(q, F.lit(p)) for p in patterns[1:]), F.regexp_count(q, F.lit(patterns[0])))
         for _, patterns in K.INTENTS
-    ])
+    ]))
 
 
 def intent(question: Column) -> Column:
     """STRUCT<intent, confidence, scores>."""
-    scores = intent_scores(question)
-    total = F.aggregate(scores, F.lit(0.0), lambda a, v: a + v)
-    best = F.array_max(scores)
-    confidence = F.least(best / (total + 1e-9), F.lit(1.0))
-    weak = (total == 0) | (confidence < 0.2) | (best < 1.0)
-    return F.struct(
-        F.when(weak, "general").otherwise(first_best([n for n, _ in K.INTENTS], scores)).alias("intent"),
-        F.when(weak, F.lit(0.3)).otherwise(F.bround(confidence, 3)).alias("confidence"),
-        scores.alias("scores"),
-    )
+    def pick(scores):
+        total = F.aggregate(scores, F.lit(0.0), lambda a, v: a + v)
+        best = F.array_max(scores)
+        confidence = F.least(best / (total + 1e-9), F.lit(1.0))
+        weak = (total == 0) | (confidence < 0.2) | (best < 1.0)
+        return F.struct(
+            F.when(weak, "general").otherwise(first_best([n for n, _ in K.INTENTS], scores)).alias("intent"),
+            F.when(weak, F.lit(0.3)).otherwise(F.bround(confidence, 3)).alias("confidence"),
+            scores.alias("scores"),
+        )
+
+    return let(intent_scores(question), pick)
 
 
 def intent_config(intent_name: Column) -> Column:

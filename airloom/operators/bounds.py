@@ -23,6 +23,13 @@ def _scalar_columns(df: DataFrame) -> list[str]:
     return [f"`{f.name}`" for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")]
 
 
+def spread_if_few(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy text work to all cores when the input has fewer splits than cores (small files only; a large
+    input has far more splits and is left as it is)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows per key. ``order`` must end in a unique column.
 

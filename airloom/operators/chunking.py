@@ -5,11 +5,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions import text as T
-from ..functions.numeric import cosine
+from ..functions.numeric import cosine, let
 
 
-def _bounds(token_counts: Column, breaks: Column | None, max_tokens: int, overlap: int) -> Column:
-    """ARRAY<STRUCT<s, e>>: half-open sentence ranges.
+def runs(counts: Column, breaks: Column | None, max_tokens: int, overlap: int) -> Column:
+    """ARRAY<STRUCT<s, e>>: half-open sentence ranges."""
+    if breaks is None:
+        return let(counts, lambda t: _runs(t, None, max_tokens, overlap))
+    both = F.struct(counts.alias("t"), breaks.alias("b"))
+    return let(both, lambda x: _runs(x["t"], x["b"], max_tokens, overlap))
+
+
+def _runs(token_counts: Column, breaks: Column | None, max_tokens: int, overlap: int) -> Column:
+    """The fold of ``runs`` over bound arrays.
 
     A chunk is always a run of consecutive sentences, since the overlap is the tail of the chunk before; so the fold
     carries two indices and a token sum instead of texts.
@@ -36,10 +44,9 @@ def _bounds(token_counts: Column, breaks: Column | None, max_tokens: int, overla
             full = full | F.coalesce(F.element_at(breaks, i + 1), F.lit(False))
 
         def cut():
-            kept = tail(acc["s"], i)
-            return F.struct(
+            return let(tail(acc["s"], i), lambda kept: F.struct(
                 F.concat(acc["done"], F.array(F.struct(acc["s"].alias("s"), i.alias("e")))).alias("done"),
-                (i - kept["n"]).alias("s"), (kept["tok"] + t).alias("tok"))
+                (i - kept["n"]).alias("s"), (kept["tok"] + t).alias("tok")))
 
         grow = F.struct(acc["done"].alias("done"), acc["s"].alias("s"), (acc["tok"] + t).alias("tok"))
         return F.when((i > acc["s"]) & full, cut()).otherwise(grow)
@@ -69,8 +76,9 @@ def with_chunks(pages: DataFrame, max_tokens: int = K.CHUNK_MAX_TOKENS, overlap:
         rows = rows.withColumn("_b", breaks)
         breaks = F.col("_b")
     n = F.size("_sents")
-    rows = rows.withColumn("_runs", F.when(n > 3, _bounds(F.col("_tok"), breaks, max_tokens, overlap)))
-    packed = F.transform("_runs", lambda r: F.array_join(F.slice(F.col("_sents"), r["s"] + 1, r["e"] - r["s"]), " "))
+    rows = rows.withColumn("_runs", F.when(n > 3, runs(F.col("_tok"), breaks, max_tokens, overlap)))
+    packed = let(F.struct(F.col("_sents").alias("s"), F.col("_runs").alias("r")), lambda x: F.transform(
+        x["r"], lambda r: F.array_join(F.slice(x["s"], r["s"] + 1, r["e"] - r["s"]), " ")))
     whole = F.array(T.strip(F.col("text")))
     none = F.array().cast("array<string>")
     out = rows.withColumn("chunks", F.when(n == 0, none).when(n <= 3, whole).otherwise(packed))
@@ -82,8 +90,9 @@ def chunk_pages(pages: DataFrame, max_tokens: int = K.CHUNK_MAX_TOKENS, overlap:
     """Pages (doc_name, page, text, source_type) to annotated chunks; pages under 40 characters are dropped."""
     long_enough = F.length(T.strip(F.coalesce(F.col("text"), F.lit("")))) >= K.MIN_PAGE_CHARS
     rows = with_chunks(pages.where(long_enough), max_tokens, overlap, vectors)
-    rows = rows.select("doc_name", "page", "source_type", F.posexplode("chunks").alias("chunk", "text"))
-    return annotate(rows)
+    # The outer form: the plain one would add a filter on ``chunks`` and so evaluate the whole fold a second time.
+    rows = rows.select("doc_name", "page", "source_type", F.posexplode_outer("chunks").alias("chunk", "text"))
+    return annotate(rows.where(F.col("text").isNotNull()))
 
 
 def annotate(chunks: DataFrame) -> DataFrame:

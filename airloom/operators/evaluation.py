@@ -14,7 +14,8 @@ METRICS = ["faithfulness", "answer_relevancy", "context_precision", "context_rec
 
 def context_words(contexts: DataFrame) -> DataFrame:
     """(case_id, word), distinct. ``contexts``: (case_id, context_id, text, topic)."""
-    return contexts.select("case_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word")).distinct()
+    return contexts.select("case_id", F.explode_outer(F.array_distinct(T.tokens(F.col("text")))).alias("word")).where(
+        "word IS NOT NULL").distinct()
 
 
 def supported_share(texts: DataFrame, contexts: DataFrame, floor: float, out: str) -> DataFrame:
@@ -22,10 +23,10 @@ def supported_share(texts: DataFrame, contexts: DataFrame, floor: float, out: st
 
     A case without contexts or sentences scores 0; a sentence of stop words only counts as supported.
     """
-    parts = texts.select("case_id", F.posexplode(T.long_sentences(F.col("text"))).alias("i", "s")).select(
-        "case_id", "i", T.word_set(F.col("s"), K.EVAL_STOP).alias("w"))
+    parts = texts.select("case_id", F.posexplode_outer(T.long_sentences(F.col("text"))).alias("i", "s")).where(
+        "s IS NOT NULL").select("case_id", "i", T.word_set(F.col("s"), K.EVAL_STOP).alias("w"))
     found = (
-        parts.select("case_id", "i", F.explode("w").alias("word"))
+        parts.select("case_id", "i", F.explode_outer("w").alias("word")).where("word IS NOT NULL")
         .join(context_words(contexts), ["case_id", "word"], "left_semi")
         .groupBy("case_id", "i").agg(F.count(F.lit(1)).alias("hits"))
     )

@@ -49,10 +49,9 @@ def compact(messages: DataFrame, max_tokens: int = K.MEMORY_MAX_TOKENS,
     head = head.join(totals, "conv_id").withColumn("pos", F.col("up") - 1 - F.col("has_system").cast("int"))
     tail = tail.join(totals, "conv_id").withColumn("pos", n - F.col("down"))
     # Short conversations have at most 2 * keep_recent + 1 rows, so the tail holds them whole.
-    unchanged = tail.where(short).select("conv_id", F.col("pos").alias("order"), "role", "text")
+    kept = tail.where(short | (F.col("pos") >= n - keep)).select("conv_id", F.col("pos").alias("order"), "role", "text")
     system = head.where(~short & (F.col("pos") == -1)).select(
         "conv_id", F.lit(-1).cast("bigint").alias("order"), "role", "text")
-    recent = tail.where(~short & (F.col("pos") >= n - keep)).select("conv_id", F.col("pos").alias("order"), "role", "text")
     n_old = n - keep
     old = (
         head.drop("up").unionByName(tail.drop("down"))
@@ -70,7 +69,7 @@ def compact(messages: DataFrame, max_tokens: int = K.MEMORY_MAX_TOKENS,
         "conv_id", F.lit(0).cast("bigint").alias("order"), F.lit("system").alias("role"),
         F.concat(F.lit("[Conversation Summary — "), F.col("n_old").cast("string"), F.lit(" earlier messages]\n"),
                  F.array_join(shown, " | ")).alias("text"))
-    every = unchanged.unionByName(system).unionByName(summary).unionByName(recent)
+    every = kept.unionByName(system).unionByName(summary)
     return every.select("conv_id", F.col("order").cast("bigint").alias("position"), "role", "text")
 
 

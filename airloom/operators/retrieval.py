@@ -20,7 +20,8 @@ def term_counts(docs: DataFrame, pattern: Column | None = None) -> DataFrame:
     """(doc_id, token, tf, dl). Co-located by doc_id, so later aggregates by (doc_id, ...) need no further shuffle."""
     words = T.tokens(F.col("text")) if pattern is None else F.regexp_extract_all(F.lower("text"), pattern, F.lit(0))
     rows = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", words.alias("w"))
-    rows = rows.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("token"))
+    # Outer generators throughout: the plain ones add a filter on the array, which would tokenize every text twice.
+    rows = rows.select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("token")).where("token IS NOT NULL")
     return rows.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -34,7 +35,7 @@ def term_stats(docs: DataFrame, pattern: Column | None = None) -> DataFrame:
     def mark(array, d, c):
         return F.transform(array, lambda t: F.struct(t.alias("token"), F.lit(d).alias("d"), F.lit(c).alias("c")))
 
-    rows = docs.select(words.alias("w")).select(F.size("w").alias("dl"), F.explode(F.concat(
+    rows = docs.select(words.alias("w")).select(F.size("w").alias("dl"), F.explode_outer(F.concat(
         mark(F.array(F.lit("")), 1, 1), mark(F.array_distinct("w"), 1, 0), mark(F.col("w"), 0, 1))).alias("e"))
     return rows.groupBy("e.token").agg(
         F.sum("e.d").alias("df"), F.sum("e.c").alias("cf"), F.sum(F.col("dl") * F.col("e.d")).alias("dl_sum"))
@@ -44,13 +45,14 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     """(token, df, dl_sum), distinct words only: the cheaper pass when term totals are not needed."""
     words = T.tokens(F.col("text"))
     rows = docs.select(words.alias("w")).select(
-        F.size("w").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("w"))).alias("token"))
+        F.size("w").alias("dl"), F.explode_outer(F.concat(F.array(F.lit("")), F.array_distinct("w"))).alias("token"))
     return rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl_sum"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, token, qtf): a repeated query token counts repeatedly."""
-    return queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy(
+    return queries.select("query_id", F.explode_outer(T.tokens(F.col("text"))).alias("token")).where(
+        "token IS NOT NULL").groupBy(
         "query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
 
 
@@ -107,7 +109,7 @@ def flat_search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
     else:
         spread = vectors.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         met = spread.join(packed, "b")
-    pairs = met.select("vec_id", F.explode(F.transform("q", lambda q: F.struct(
+    pairs = met.select("vec_id", F.explode_outer(F.transform("q", lambda q: F.struct(
         q["query_id"].alias("query_id"),
         F.round(squared_l2(F.col("embedding"), q["embedding"]), SCORE_DIGITS).alias("distance")))).alias("p"))
     best = top_k(pairs.select("p.query_id", "vec_id", "p.distance"), ["query_id"], ["distance", "vec_id"], k)

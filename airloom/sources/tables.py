@@ -6,6 +6,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import constants as K
+from ..operators.bounds import spread_if_few
 from ..session import configure
 
 # Event types stand in for pollutants, users for stations.
@@ -19,6 +20,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of long texts, spread over the cores when it comes in few splits."""
+    return spread_if_few(table(spark, folder, name))
+
+
 def readings(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` as long readings (parameter, value, unit, date_utc, location, seq)."""
     e = table(spark, folder, "events")
@@ -35,7 +41,7 @@ def readings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents_as_pages(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents")
+    d = texts(spark, folder, "documents")
     kind = F.when(F.col("lang") == "en", "pdf").otherwise("text")
     name = F.concat("source", F.lit("-"), F.when(F.col("lang") == "fr", "research").when(
         F.col("lang") == "de", "official").when(F.col("lang") == "es", "historical").otherwise("notes"), F.lit("-"),
