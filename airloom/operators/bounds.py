@@ -14,9 +14,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
     The probe stops after ``max_rows + 1`` rows, so a large side costs one bounded job. Beyond the bound the same
     equi-join runs shuffled, where AQE splits skewed keys.
     """
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
+
+
+def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
     width = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in _scalar_columns(df)), F.lit(16))
     rows, size = df.select(width.alias("w")).limit(max_rows + 1).agg(F.count("*"), F.sum("w")).first()
-    return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df
+    return rows <= max_rows and (size or 0) <= max_bytes
 
 
 def _scalar_columns(df: DataFrame) -> list[str]:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .. import constants as K
 from ..functions import text as T
 from ..functions.numeric import sigmoid, squared_l2
-from .bounds import broadcast_if_small, top_k
+from ..session import cut_lineage
+from .bounds import is_small, top_k
 
 SCORE_DIGITS = 9  # scores are rounded before ranking so that summation order cannot reorder equal documents
 
@@ -41,11 +42,16 @@ def term_stats(docs: DataFrame, pattern: Column | None = None) -> DataFrame:
         F.sum("e.d").alias("df"), F.sum("e.c").alias("cf"), F.sum(F.col("dl") * F.col("e.d")).alias("dl_sum"))
 
 
-def document_frequency(docs: DataFrame) -> DataFrame:
-    """(token, df, dl_sum), distinct words only: the cheaper pass when term totals are not needed."""
+def document_frequency(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(token, df, dl_sum), distinct words only: the cheaper pass when term totals are not needed.
+
+    ``wanted``: (token) to keep, the corpus row included; other words are dropped before the shuffle.
+    """
     words = T.tokens(F.col("text"))
     rows = docs.select(words.alias("w")).select(
         F.size("w").alias("dl"), F.explode_outer(F.concat(F.array(F.lit("")), F.array_distinct("w"))).alias("token"))
+    if wanted is not None:
+        rows = rows.join(wanted, "token", "left_semi")
     return rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl_sum"))
 
 
@@ -56,9 +62,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
         "query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def _weighted_terms(queries: DataFrame, stats: DataFrame) -> DataFrame:
+def _weighted_terms(terms: DataFrame, queries: DataFrame, stats: DataFrame) -> DataFrame:
     """(query_id, token, weight, avg_dl). Terms absent from the corpus drop out."""
-    terms = query_terms(queries)
     marks = queries.select("query_id", F.lit("").alias("token"), F.lit(0).cast("bigint").alias("qtf"))
     joined = terms.unionByName(marks).join(stats, "token")
     corpus = W.partitionBy("query_id")  # rows of one query text
@@ -74,10 +79,18 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, postings: DataFrame | None
                 stats: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) for every pair that shares a term.
 
-    The query terms are broadcast when measured small. Document rows never shuffle by token, so a token that occurs
-    in every document is no hot key; pairs are summed where their document lies.
+    The query terms are broadcast when measured small (weighting cannot add rows, so the probe needs no document
+    scan). Document rows never shuffle by token, so a token that occurs in every document is no hot key; pairs are
+    summed where their document lies. Beyond the bound the same joins run shuffled and AQE splits hot tokens.
     """
-    weights = broadcast_if_small(_weighted_terms(queries, stats if stats is not None else document_frequency(docs)))
+    terms = query_terms(queries)
+    small = is_small(terms)
+    if stats is None:
+        corpus = queries.sparkSession.range(1).select(F.lit("").alias("token"))
+        wanted = terms.select("token").distinct().unionByName(corpus)
+        stats = document_frequency(docs, F.broadcast(wanted) if small else wanted)
+    weights = _weighted_terms(terms, queries, stats)
+    weights = F.broadcast(weights) if small else weights
     hits = (postings if postings is not None else term_counts(docs)).join(weights, "token")
     tf, k1, b = F.col("tf"), K.BM25_K1, K.BM25_B
     part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
@@ -100,6 +113,7 @@ def flat_search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
     ``vectors``: (vec_id, embedding); ``queries``: (query_id, embedding). The queries travel as array blocks of about
     ``block`` vectors; each vector meets each block once and only the best ``k`` per task and query are shuffled.
     """
+    queries = cut_lineage(queries)  # counted and then packed, but computed once
     n = queries.count()
     blocks = max(1, -(-n // block))
     packed = queries.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("b").agg(
@@ -116,18 +130,27 @@ def flat_search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
     return best.withColumn("dense_score", 1.0 / (1.0 + F.col("distance")))
 
 
-def tfidf_vocabulary(docs: DataFrame, size: int = K.TFIDF_FEATURES) -> DataFrame:
-    """The ``size`` most frequent terms of at least two characters with their idf."""
-    stats = term_stats(docs, F.lit(r"[\p{L}\p{N}_]{2,}"))
-    n = stats.where("token = ''").select("df").scalar()
-    terms = stats.where("token <> ''").orderBy(F.col("cf").desc(), "token").limit(size)
+TFIDF_WORD = r"[\p{L}\p{N}_]{2,}"
+
+
+def fit_vocabulary(docs: DataFrame, size: int = K.TFIDF_FEATURES) -> DataFrame:
+    """The ``size`` most frequent terms of at least two characters with their idf.
+
+    As fitting a vectorizer does, this reads the corpus once and keeps the result: at most ``size`` rows.
+    """
+    stats = term_stats(docs, F.lit(TFIDF_WORD))
+    best = top_k(stats.withColumn("kind", F.col("token") == ""), ["kind"], [F.col("cf").desc(), "token"], size).select(
+        "token", "df").collect()
+    n = next((r["df"] for r in best if r["token"] == ""), 0)
+    schema = "token string, df bigint"
+    terms = docs.sparkSession.createDataFrame([tuple(r) for r in best if r["token"] != ""], schema)
     return terms.select("token", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
 def tfidf_weights(texts: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
     """(key, token, w): tf·idf over the vocabulary, unit length per text. The vocabulary has at most 768 rows."""
     rows = texts.select(F.col(key).alias("doc_id"), "text")
-    counts = term_counts(rows, F.lit(r"[\p{L}\p{N}_]{2,}"))
+    counts = term_counts(rows, F.lit(TFIDF_WORD))
     raw = counts.join(F.broadcast(vocabulary), "token").withColumn("x", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("doc_id")))  # at most one row per vocabulary term
     return raw.select(F.col("doc_id").alias(key), "token", (F.col("x") / norm).alias("w"))
@@ -137,34 +160,38 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 5, vocabulary: Da
     """Dense search in the TF-IDF fallback space, without materialising dense rows.
 
     Unit vectors give squared L2 = 2 - 2·dot. A text without vocabulary terms is the zero vector, at distance 1 from
-    every unit vector. Documents that share no term with a query all tie at distance 2 (or 1); only the first of them
-    can reach the top k, so they are taken from a list of at most 2k per kind instead of pairing them all.
+    every unit vector. Documents that share no term with a query all tie at distance 2 (or 1), and only the first of
+    them by id can reach the top k, so they come from a list of at most 2k per kind instead of being paired with every
+    query. A query with fewer than k scored documents has all of them in ``near``; one with k needs no such document.
     """
-    vocab = vocabulary if vocabulary is not None else tfidf_vocabulary(docs)
-    q = tfidf_weights(queries, "query_id", vocab).select("query_id", "token", F.col("w").alias("qw"))
+    vocab = vocabulary if vocabulary is not None else fit_vocabulary(docs)
+    q = cut_lineage(tfidf_weights(queries, "query_id", vocab).select("query_id", "token", F.col("w").alias("qw")))
     d = tfidf_weights(docs, "doc_id", vocab)
-    dots = d.join(broadcast_if_small(q), "token").groupBy("query_id", "doc_id").agg(
+    dots = d.join(F.broadcast(q) if is_small(q) else q, "token").groupBy("query_id", "doc_id").agg(
         F.sum(F.col("w") * F.col("qw")).alias("dot"))
     scored = dots.select("query_id", "doc_id", F.round(2.0 - 2.0 * F.col("dot"), SCORE_DIGITS).alias("distance"))
     near = top_k(scored, ["query_id"], ["distance", "doc_id"], k, "_r").drop("_r")
-    in_space = d.select("doc_id").distinct()
-    ids = docs.select("doc_id")
-    q_in_space = q.select("query_id").distinct().withColumn("unit", F.lit(True))
-    kinds = queries.select("query_id").join(q_in_space, "query_id", "left")
-    first_unit = in_space.orderBy("doc_id").limit(2 * k).withColumn("doc_unit", F.lit(True))
-    first_zero = ids.join(in_space, "doc_id", "left_anti").orderBy("doc_id").limit(k).withColumn(
-        "doc_unit", F.lit(False))
-    fill_docs = first_unit.unionByName(first_zero).agg(F.collect_list(F.struct("doc_id", "doc_unit")).alias("l"))
-    fill = kinds.withColumn("l", fill_docs.scalar()).select(
-        "query_id", F.coalesce("unit", F.lit(False)).alias("q_unit"), F.explode("l").alias("f"))
+    units = q.select("query_id").distinct().withColumn("unit", F.lit(True))
+    kinds = queries.select("query_id").join(units, "query_id", "left")
+    fill = kinds.withColumn("l", _first_documents(docs, vocab, k).scalar()).select(
+        "query_id", F.coalesce("unit", F.lit(False)).alias("q_unit"), F.explode_outer("l").alias("f"))
     fill = fill.select("query_id", "f.doc_id", (
         F.when(F.col("q_unit") & F.col("f.doc_unit"), 2.0)
         .when(F.col("q_unit") | F.col("f.doc_unit"), 1.0).otherwise(0.0)).alias("distance"))
-    fill = fill.join(dots.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    fill = fill.join(near.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     best = top_k(near.unionByName(fill), ["query_id"], ["distance", "doc_id"], k)
     return best.withColumn("dense_score", 1.0 / (1.0 + F.col("distance")))
 
 
+def _first_documents(docs: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
+    """One row with the first 2k documents inside and outside the vocabulary space, by id."""
+    known = vocabulary.agg(F.collect_list("token").alias("t")).scalar()  # at most 768 words
+    inside = F.arrays_overlap(F.regexp_extract_all(F.lower("text"), F.lit(TFIDF_WORD), F.lit(0)), known)
+    rows = docs.select("doc_id", inside.alias("doc_unit"))
+    first = top_k(rows, ["doc_unit"], ["doc_id"], 2 * k)
+    return first.agg(F.collect_list(F.struct("doc_id", "doc_unit")).alias("l"))
+
+
 # --- Fusion and reranking -----------------------------------------------------------------
 
 def fuse(dense: DataFrame, sparse: DataFrame, docs: DataFrame, k: int = 20, dense_weight: float = K.DENSE_WEIGHT,

@@ -367,3 +367,16 @@ def snapshot_rows(spark, sf):
     # Number formats differ between engines, so the check covers the index, the units and the sub-indices.
     rows = R.snapshot(c, R.index_of(c, []))
     return rows.where(~F.col("key").isin(K.POLLUTANTS + ["cigarette_equivalent_per_day"]))
+
+
+@query("sql_functions", f"""WITH {S.READINGS}
+SELECT parameter, {S.band("si")} AS category, count(*) AS readings FROM (SELECT parameter, {S.sub_index("c")} AS si FROM (SELECT *, {S.index_unit()} AS c FROM readings)) GROUP BY 1, 2""")
+def sql_functions(spark, sf):
+    """The same arithmetic through SQL functions."""
+    from ..functions import sql
+
+    r = readings(spark, sf)
+    sql.register(spark)
+    c = r.select("parameter", F.expr("to_index_unit(parameter, value, unit)").alias("c"))
+    return c.select("parameter", F.expr("sub_index(parameter, c)").alias("si")).select("parameter", F.expr("index_band(si)").alias("category")).groupBy(
+        "parameter", "category").agg(F.count(F.lit(1)).alias("readings"))
