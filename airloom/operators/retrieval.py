@@ -4,12 +4,14 @@ Documents: (doc_id, text, ...). Queries: (query_id, text). All searches answer a
 """
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as K
 from ..functions import text as T
 from ..functions.numeric import sigmoid, squared_l2
 from ..session import cut_lineage
+from . import scoring_block as SB
 from .bounds import is_small, top_k
 
 SCORE_DIGITS = 9  # scores are rounded before ranking so that summation order cannot reorder equal documents
@@ -75,13 +77,42 @@ def _weighted_terms(terms: DataFrame, queries: DataFrame, stats: DataFrame) -> D
     return out.select("query_id", "token", (F.col("qtf") * idf).alias("weight"), "avg_dl")
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, postings: DataFrame | None = None,
+def _query_matrix(weights: DataFrame) -> tuple[DataFrame, list[int], np.ndarray] | None:
+    """((token, idx), query ids, term × query matrix) of (query_id, token, weight) rows already known to be few."""
+    rows = weights.select("query_id", "token", "weight").collect()
+    tokens = sorted({r["token"] for r in rows})
+    ids = sorted({r["query_id"] for r in rows})
+    if not rows or not SB.fits(len(tokens), len(ids)):
+        return None
+    at, col = {t: i for i, t in enumerate(tokens)}, {q: j for j, q in enumerate(ids)}
+    matrix = np.zeros((len(tokens), len(ids)))
+    for r in rows:
+        matrix[at[r["token"]], col[r["query_id"]]] = r["weight"]
+    table = weights.sparkSession.createDataFrame(list(at.items()), "token string, idx int")
+    return table, ids, matrix
+
+
+def _matrix_top_k(terms: DataFrame, table: DataFrame, ids: list[int], matrix: np.ndarray, k: int) -> DataFrame:
+    """Best ``k`` positive products per query. ``terms``: (doc_id, token, x, scale), laid out by doc_id."""
+    rows = terms.join(F.broadcast(table), "token").groupBy("doc_id").agg(  # at most one element per query term
+        F.collect_list("idx").alias("idx"), F.collect_list("x").alias("x"), F.first("scale").alias("scale"))
+    best = SB.best_per_task(rows, lambda part: SB.sparse_block(part, len(matrix)) @ matrix, ids, k, SCORE_DIGITS, 0.0)
+    return top_k(best, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
+
+
+def bm25_scores(hits: DataFrame, weights: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) for every pair that shares a term; the way for query batches beyond the bounds."""
+    return hits.join(weights, "token").groupBy("query_id", "doc_id").agg(
+        F.round(F.sum(F.col("weight") * F.col("x")), SCORE_DIGITS).alias("score"))
+
+
+def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5, postings: DataFrame | None = None,
                 stats: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, score) for every pair that shares a term.
+    """(query_id, doc_id, bm25_score, rank): score relative to the best of the query, positive only.
 
-    The query terms are broadcast when measured small (weighting cannot add rows, so the probe needs no document
-    scan). Document rows never shuffle by token, so a token that occurs in every document is no hot key; pairs are
-    summed where their document lies. Beyond the bound the same joins run shuffled and AQE splits hot tokens.
+    Two passes over the documents: one for the document frequencies of the query terms, one for the scores. A batch of
+    measured size is scored by matrix products (``scoring_block``); documents never shuffle by token, so a token that
+    occurs in every document is no hot key. A larger batch runs as shuffled joins, where AQE splits hot tokens.
     """
     terms = query_terms(queries)
     small = is_small(terms)
@@ -90,17 +121,19 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, postings: DataFrame | None
         wanted = terms.select("token").distinct().unionByName(corpus)
         stats = document_frequency(docs, F.broadcast(wanted) if small else wanted)
     weights = _weighted_terms(terms, queries, stats)
-    weights = F.broadcast(weights) if small else weights
-    hits = (postings if postings is not None else term_counts(docs)).join(weights, "token")
+    if small:
+        weights = cut_lineage(weights)
+    made = _query_matrix(weights) if small else None
+    avg_dl = weights.agg(F.max("avg_dl").alias("a")).scalar()
     tf, k1, b = F.col("tf"), K.BM25_K1, K.BM25_B
-    part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
-
-
-def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5, **index) -> DataFrame:
-    """(query_id, doc_id, bm25_score, rank): score relative to the best of the query, positive only."""
-    best = top_k(bm25_scores(docs, queries, **index).where("score > 0"), ["query_id"],
-                 [F.col("score").desc(), F.col("doc_id")], k)
+    x = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
+    hits = (postings if postings is not None else term_counts(docs)).withColumn("avg_dl", avg_dl).select(
+        "doc_id", "token", x.alias("x"), F.lit(1.0).alias("scale"))
+    if made is not None:
+        best = _matrix_top_k(hits, *made, k)
+    else:
+        best = top_k(bm25_scores(hits, weights).where("score > 0"), ["query_id"],
+                     [F.col("score").desc(), F.col("doc_id")], k)
     top = F.max("score").over(W.partitionBy("query_id"))  # at most k rows
     return best.select("query_id", "doc_id", (F.col("score") / (top + 1e-9)).alias("bm25_score"), "rank")
 
@@ -110,19 +143,20 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5, **index) -> Dat
 def flat_search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     """Exact nearest neighbours by squared L2: (query_id, vec_id, distance, dense_score, rank).
 
-    ``vectors``: (vec_id, embedding); ``queries``: (query_id, embedding). The queries travel as array blocks of about
-    ``block`` vectors; each vector meets each block once and only the best ``k`` per task and query are shuffled.
+    ``vectors``: (vec_id, embedding); ``queries``: (query_id, embedding). A batch of up to ``block`` queries is one
+    matrix; larger batches travel as array blocks, and each vector meets each block once.
     """
-    queries = cut_lineage(queries)  # counted and then packed, but computed once
+    queries = cut_lineage(queries)  # counted and then used, but computed once
     n = queries.count()
+    if n <= block:
+        rows = queries.orderBy("query_id").collect()
+        best = _nearest_by_matrix(vectors, rows, k) if rows else None
+        if best is not None:
+            return best.withColumn("dense_score", 1.0 / (1.0 + F.col("distance")))
     blocks = max(1, -(-n // block))
     packed = queries.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("b").agg(
-        F.collect_list(F.struct("query_id", "embedding")).alias("q"))
-    if blocks == 1:
-        met = vectors.withColumn("q", packed.select("q").scalar())
-    else:
-        spread = vectors.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        met = spread.join(packed, "b")
+        F.collect_list(F.struct("query_id", "embedding")).alias("q"))  # about ``block`` vectors each
+    met = vectors.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "b")
     pairs = met.select("vec_id", F.explode_outer(F.transform("q", lambda q: F.struct(
         q["query_id"].alias("query_id"),
         F.round(squared_l2(F.col("embedding"), q["embedding"]), SCORE_DIGITS).alias("distance")))).alias("p"))
@@ -130,6 +164,21 @@ def flat_search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
     return best.withColumn("dense_score", 1.0 / (1.0 + F.col("distance")))
 
 
+def _nearest_by_matrix(vectors: DataFrame, rows: list, k: int) -> DataFrame:
+    q = np.array([r["embedding"] for r in rows], dtype=float)
+    q_norm = (q * q).sum(axis=1)
+
+    def score(part):
+        e = np.stack(part["embedding"].to_numpy()).astype(float)
+        return 2.0 * (e @ q.T) - (e * e).sum(axis=1)[:, None] - q_norm[None, :]
+
+    best = SB.best_per_task(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), score,
+                            [int(r["query_id"]) for r in rows], k, SCORE_DIGITS)
+    ranked = top_k(best, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
+    return ranked.select(F.col("query_id"), F.col("doc_id").alias("vec_id"),
+                         F.greatest(-F.col("score"), F.lit(0.0)).alias("distance"), "rank")
+
+
 TFIDF_WORD = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -147,13 +196,17 @@ def fit_vocabulary(docs: DataFrame, size: int = K.TFIDF_FEATURES) -> DataFrame:
     return terms.select("token", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
-def tfidf_weights(texts: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
-    """(key, token, w): tf·idf over the vocabulary, unit length per text. The vocabulary has at most 768 rows."""
-    rows = texts.select(F.col(key).alias("doc_id"), "text")
-    counts = term_counts(rows, F.lit(TFIDF_WORD))
-    raw = counts.join(F.broadcast(vocabulary), "token").withColumn("x", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("doc_id")))  # at most one row per vocabulary term
-    return raw.select(F.col("doc_id").alias(key), "token", (F.col("x") / norm).alias("w"))
+def tfidf_terms(texts: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
+    """(doc_id, token, x): tf·idf over the vocabulary, which has at most 768 rows."""
+    counts = term_counts(texts.select(F.col(key).alias("doc_id"), "text"), F.lit(TFIDF_WORD))
+    return counts.join(F.broadcast(vocabulary), "token").select(
+        "doc_id", "token", (F.col("tf") * F.col("idf")).alias("x"))
+
+
+def _unit(terms: DataFrame) -> DataFrame:
+    """Adds ``scale``, the inverse length of the text's vector (at most one row per vocabulary term)."""
+    square = F.sum(F.col("x") * F.col("x")).over(W.partitionBy("doc_id"))
+    return terms.withColumn("scale", 1.0 / F.sqrt(square))
 
 
 def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 5, vocabulary: DataFrame | None = None) -> DataFrame:
@@ -165,12 +218,17 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 5, vocabulary: Da
     query. A query with fewer than k scored documents has all of them in ``near``; one with k needs no such document.
     """
     vocab = vocabulary if vocabulary is not None else fit_vocabulary(docs)
-    q = cut_lineage(tfidf_weights(queries, "query_id", vocab).select("query_id", "token", F.col("w").alias("qw")))
-    d = tfidf_weights(docs, "doc_id", vocab)
-    dots = d.join(F.broadcast(q) if is_small(q) else q, "token").groupBy("query_id", "doc_id").agg(
-        F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = dots.select("query_id", "doc_id", F.round(2.0 - 2.0 * F.col("dot"), SCORE_DIGITS).alias("distance"))
-    near = top_k(scored, ["query_id"], ["distance", "doc_id"], k, "_r").drop("_r")
+    q = _unit(tfidf_terms(queries, "query_id", vocab))
+    q = cut_lineage(q.select(F.col("doc_id").alias("query_id"), "token", (F.col("x") * F.col("scale")).alias("weight")))
+    made = _query_matrix(q) if is_small(q) else None
+    d = tfidf_terms(docs, "doc_id", vocab)
+    if made is not None:
+        # All vocabulary terms count for the length of a document, also those that no query uses.
+        best = _matrix_top_k(_unit(d), *made, k)
+    else:
+        scores = bm25_scores(_unit(d).withColumn("x", F.col("x") * F.col("scale")), q)
+        best = top_k(scores.where("score > 0"), ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
+    near = best.select("query_id", "doc_id", F.round(2.0 - 2.0 * F.col("score"), SCORE_DIGITS).alias("distance"))
     units = q.select("query_id").distinct().withColumn("unit", F.lit(True))
     kinds = queries.select("query_id").join(units, "query_id", "left")
     fill = kinds.withColumn("l", _first_documents(docs, vocab, k).scalar()).select(
@@ -178,6 +236,7 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 5, vocabulary: Da
     fill = fill.select("query_id", "f.doc_id", (
         F.when(F.col("q_unit") & F.col("f.doc_unit"), 2.0)
         .when(F.col("q_unit") | F.col("f.doc_unit"), 1.0).otherwise(0.0)).alias("distance"))
+    # A filled document that does score is either in ``near`` and dropped here, or behind k nearer ones.
     fill = fill.join(near.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     best = top_k(near.unionByName(fill), ["query_id"], ["distance", "doc_id"], k)
     return best.withColumn("dense_score", 1.0 / (1.0 + F.col("distance")))

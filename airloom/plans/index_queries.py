@@ -105,7 +105,7 @@ def prj_band_texts(spark, sf):
 @query("prj_range_join_breakpoints", """WITH bp(i, lo, hi, ilo, ihi) AS (VALUES (1, 0.0, 30.0, 0.0, 50.0), (2, 30.0, 60.0, 50.0, 100.0),
   (3, 60.0, 90.0, 100.0, 200.0), (4, 90.0, 120.0, 200.0, 300.0), (5, 120.0, 250.0, 300.0, 400.0), (6, 250.0, 380.0, 400.0, 500.0))
 SELECT coalesce(i, 7)::INTEGER AS segment, count(*) AS readings, round(avg(coalesce(ilo::DOUBLE + (ihi - ilo)::DOUBLE * (value - lo) / (hi - lo)::DOUBLE, 500)) + 1e-9, 6) AS mean_index
-FROM events LEFT JOIN bp ON value > lo AND value <= hi GROUP BY 1""")
+FROM events LEFT JOIN bp ON (value > lo OR i = 1) AND value <= hi GROUP BY 1""")
 def prj_range_join_breakpoints(spark, sf):
     """Value to segment as a CASE chain (the range join without a join)."""
     b = K.BREAKPOINTS["pm25"]
