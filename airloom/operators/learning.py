@@ -179,8 +179,8 @@ def recursive_forecast(origins: DataFrame, model: PipelineModel, features: list[
         state = state.withColumn(f"_p{h}", F.col("_p"))
         if h < horizon:
             state = _advance(state, target, h, refresh)
-    out = state.select(*series, F.col("_t0").alias("ts"), F.explode(F.array(*steps)).alias("s"))
-    return out.select(*series, "ts", "s.hour_offset", "s.prediction")
+    out = state.select(*series, F.col("_t0").alias("ts"), F.explode_outer(F.array(*steps)).alias("_step"))
+    return out.select(*series, "ts", "_step.hour_offset", "_step.prediction")
 
 
 def _advance(state: DataFrame, target: str, h: int, refresh: bool) -> DataFrame:

@@ -12,9 +12,6 @@ from ..sources.tables import readings, table
 from . import sql_parts as S
 from .catalog import near, query
 
-P, V, U = F.col("parameter"), F.col("value"), F.col("unit")
-
-
 def hourly(spark, sf) -> DataFrame:
     return R.hourly_rollup(readings(spark, sf))
 
@@ -62,7 +59,7 @@ def aqi_station_vs_city(spark, sf):
 @query("prj_unit_convert", f"""WITH {S.READINGS}
 SELECT seq, parameter, round({S.index_unit()} + 1e-9, 6) AS concentration FROM readings""")
 def prj_unit_convert(spark, sf):
-    return readings(spark, sf).select("seq", "parameter", near(I.to_index_unit(P, V, U), 6).alias("concentration"))
+    return readings(spark, sf).select("seq", "parameter", near(I.to_index_unit(F.col("parameter"), F.col("value"), F.col("unit")), 6).alias("concentration"))
 
 
 @query("prj_display_value", f"""WITH {S.READINGS}
@@ -73,9 +70,9 @@ FROM (SELECT *, CASE WHEN parameter = 'co' THEN round_even(c, 2) ELSE round_even
 def prj_display_value(spark, sf):
     # The last shown digit may differ between engines on exact halves, so the check is on the unit and the magnitude.
     r = readings(spark, sf)
-    c = I.to_index_unit(P, V, U)
-    return r.select("seq", I.display_unit(P).alias("shown_unit"),
-                    F.abs(F.round(I.display_value(P, V, U) - c, 0)).alias("gap"))
+    c = I.to_index_unit(F.col("parameter"), F.col("value"), F.col("unit"))
+    return r.select("seq", I.display_unit(F.col("parameter")).alias("shown_unit"),
+                    F.abs(F.round(I.display_value(F.col("parameter"), F.col("value"), F.col("unit")) - c, 0)).alias("gap"))
 
 
 @query("prj_sub_index", f"""WITH {S.READINGS}
@@ -89,7 +86,7 @@ def prj_sub_index(spark, sf):
 @query("prj_pm25_band", f"""SELECT event_id, {S.band("CAST(trunc(" + S.curve("pm25", "value") + ") AS INTEGER)")} AS category
 FROM events""")
 def prj_pm25_band(spark, sf):
-    return table(spark, sf, "events").select("event_id", I.band_of_pm25(V).alias("category"))
+    return table(spark, sf, "events").select("event_id", I.band_of_pm25(F.col("value")).alias("category"))
 
 
 @query("prj_band_texts", "SELECT b AS category, c AS color, a AS advice, n AS readings FROM (SELECT category AS b, count(*) AS n, "
@@ -97,7 +94,7 @@ def prj_pm25_band(spark, sf):
        "CASE category " + " ".join(f"WHEN '{b}' THEN '{a}'" for b, a in K.BAND_ADVICE.items()) + " END AS a "
        f"FROM (SELECT {S.band('CAST(trunc(' + S.curve('pm25', 'value') + ') AS INTEGER)')} AS category FROM events) GROUP BY category)")
 def prj_band_texts(spark, sf):
-    counts = table(spark, sf, "events").groupBy(I.band_of_pm25(V).alias("category")).agg(F.count(F.lit(1)).alias("readings"))
+    counts = table(spark, sf, "events").groupBy(I.band_of_pm25(F.col("value")).alias("category")).agg(F.count(F.lit(1)).alias("readings"))
     c = F.col("category")
     return counts.select("category", I.band_colour(c).alias("color"), I.band_advice(c).alias("advice"), "readings")
 
@@ -111,9 +108,9 @@ def prj_range_join_breakpoints(spark, sf):
     b = K.BREAKPOINTS["pm25"]
     segment = F.lit(7)
     for i in range(6, 0, -1):
-        segment = F.when(V <= b[i], i).otherwise(segment)
+        segment = F.when(F.col("value") <= b[i], i).otherwise(segment)
     return table(spark, sf, "events").groupBy(segment.alias("segment")).agg(
-        F.count(F.lit(1)).alias("readings"), near(F.avg(I.sub_index("pm25", V)), 6).alias("mean_index"))
+        F.count(F.lit(1)).alias("readings"), near(F.avg(I.sub_index("pm25", F.col("value"))), 6).alias("mean_index"))
 
 
 @query("prj_parameter_alias", """SELECT p AS parameter, count(*) AS readings FROM (SELECT CASE event_type WHEN 'view' THEN 'pm25' WHEN 'click' THEN 'o3'
@@ -122,7 +119,7 @@ def prj_parameter_alias(spark, sf):
     raw = F.when(F.col("event_type") == "view", " PM2.5").when(F.col("event_type") == "click", "Ozone ").when(
         F.col("event_type") == "purchase", "Nitrogen Dioxide").when(F.col("event_type") == "error", "WS").otherwise("unknown")
     rows = table(spark, sf, "events").select(I.canonical_parameter(raw).alias("parameter"))
-    return rows.where(P.isNotNull()).groupBy("parameter").agg(F.count(F.lit(1)).alias("readings"))
+    return rows.where(F.col("parameter").isNotNull()).groupBy("parameter").agg(F.count(F.lit(1)).alias("readings"))
 
 
 @query("prj_calendar", """SELECT event_id, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS dow, CAST(month(ts) AS INTEGER) AS month,
@@ -146,7 +143,7 @@ def prj_wind_interactions(spark, sf):
 
     d = F.col("user_id").cast("double")
     rows = table(spark, sf, "events").select(
-        "event_id", V.alias("wind_speed"), d.alias("wind_dir"), V.alias("temperature"), d.alias("humidity"), d.alias("solar_rad"))
+        "event_id", F.col("value").alias("wind_speed"), d.alias("wind_dir"), F.col("value").alias("temperature"), d.alias("humidity"), d.alias("solar_rad"))
     out = with_meteo(rows)
     return out.select("event_id", *[near(c, 6).alias(c) for c in ("wind_u", "wind_v", "temp_hum_interaction", "solar_temp")])
 
@@ -155,15 +152,15 @@ def prj_wind_interactions(spark, sf):
 FROM events, (SELECT CAST(unnest(range(1, 7)) AS INTEGER) AS h)""")
 def prj_uncertainty_band(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "value", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("hour_offset"))
-    low, high = N.horizon_band(V, F.col("hour_offset"))
+    low, high = N.horizon_band(F.col("value"), F.col("hour_offset"))
     return rows.select("event_id", "hour_offset", near(low, 6).alias("lower"), near(high, 6).alias("upper"))
 
 
 @query("prj_limit_ratios", """SELECT event_id, round(value / 22 + 1e-9, 4) AS cigarettes, round(value / 15 + 1e-9, 4) AS who_ratio, round(least(value / 500 * 100, 100) + 1e-9, 6) AS bar_pct, round(1 / (1 + exp(-(value - 50) / 10)) + 1e-9, 6) AS logistic FROM events""")
 def prj_limit_ratios(spark, sf):
     return table(spark, sf, "events").select(
-        "event_id", near(V / K.CIGARETTE_PM25, 4).alias("cigarettes"), near(F.try_divide(V, F.lit(15.0)), 4).alias("who_ratio"),
-        near(I.bar_percent(V), 6).alias("bar_pct"), near(N.sigmoid((V - 50) / 10.0), 6).alias("logistic"))
+        "event_id", near(F.col("value") / K.CIGARETTE_PM25, 4).alias("cigarettes"), near(F.try_divide(F.col("value"), F.lit(15.0)), 4).alias("who_ratio"),
+        near(I.bar_percent(F.col("value")), 6).alias("bar_pct"), near(N.sigmoid((F.col("value") - 50) / 10.0), 6).alias("logistic"))
 
 
 @query("agg_latest_per_key", f"""WITH {S.LATEST} SELECT parameter, location, value, unit, date_utc FROM latest""")
@@ -247,8 +244,8 @@ FROM (SELECT parameter, value, CASE parameter WHEN 'pm25' THEN 15 WHEN 'pm10' TH
   CASE parameter WHEN 'pm25' THEN 60 WHEN 'pm10' THEN 100 WHEN 'no2' THEN 80 WHEN 'so2' THEN 80 WHEN 'o3' THEN 100 WHEN 'co' THEN 4000 END AS i FROM readings) GROUP BY 1""")
 def join_dim_limits(spark, sf):
     return readings(spark, sf).groupBy("parameter").agg(
-        F.count(F.lit(1)).alias("readings"), F.count_if(V > I.who_limit(P)).alias("over_who"),
-        F.count_if(V > I.india_limit(P)).alias("over_india"))
+        F.count(F.lit(1)).alias("readings"), F.count_if(F.col("value") > I.who_limit(F.col("parameter"))).alias("over_who"),
+        F.count_if(F.col("value") > I.india_limit(F.col("parameter"))).alias("over_india"))
 
 
 @query("topk_newest_sensor", """SELECT n_regionkey AS location_id, upper(substr(n_name, 1, 1)) AS parameter, max(n_nationkey) AS sensor_id, arg_max(n_name, n_nationkey) AS name FROM nation GROUP BY 1, 2""")
@@ -268,8 +265,8 @@ FROM (SELECT parameter, CAST(round_even({S.sub_index("c")}, 0) AS INTEGER) AS si
 def viz_sub_index_bars(spark, sf):
     c = R.city_concentrations(hourly(spark, sf), latest(spark, sf))
     rows = I.with_sub_index(c, "si").withColumn("sub_index", F.rint("si").cast("int")).where("sub_index >= 0")
-    return rows.select("parameter", I.label_of(P).alias("label"), "sub_index", I.band(F.col("sub_index")).alias("category")).orderBy(
-        F.col("sub_index").desc(), I.display_rank(P))
+    return rows.select("parameter", I.label_of(F.col("parameter")).alias("label"), "sub_index", I.band(F.col("sub_index")).alias("category")).orderBy(
+        F.col("sub_index").desc(), I.display_rank(F.col("parameter")))
 
 
 @query("viz_measured_vs_who", f"""WITH {S.LATEST}
@@ -277,9 +274,9 @@ SELECT parameter, round(avg(CASE WHEN parameter = 'co' THEN c * 1000 ELSE c END)
 FROM (SELECT parameter, {S.index_unit()} AS c, CASE parameter WHEN 'pm25' THEN 15 WHEN 'pm10' THEN 45 WHEN 'no2' THEN 25 WHEN 'so2' THEN 40 WHEN 'o3' THEN 100 END AS w FROM latest)
 WHERE w IS NOT NULL GROUP BY 1""")
 def viz_measured_vs_who(spark, sf):
-    rows = latest(spark, sf).where(P.isin("pm25", "pm10", "no2", "so2", "o3"))
-    v = I.limit_unit_value(P, V, U)
-    out = rows.groupBy("parameter").agg(F.avg(v).alias("m")).withColumn("who_limit", I.who_limit(P))
+    rows = latest(spark, sf).where(F.col("parameter").isin("pm25", "pm10", "no2", "so2", "o3"))
+    v = I.limit_unit_value(F.col("parameter"), F.col("value"), F.col("unit"))
+    out = rows.groupBy("parameter").agg(F.avg(v).alias("m")).withColumn("who_limit", I.who_limit(F.col("parameter")))
     return out.select("parameter", near("m", 4).alias("measured"), "who_limit", (F.bround("m", 1) > F.col("who_limit")).alias("exceeds"))
 
 
@@ -318,8 +315,8 @@ def viz_daily_trend(spark, sf):
 m AS (SELECT parameter, location, avg(c) AS value FROM (SELECT *, {S.index_unit()} AS c FROM readings) GROUP BY 1, 2)
 SELECT parameter, location, round(value + 1e-9, 4) AS value, {S.band("CAST(trunc(" + S.sub_index("value") + ") AS INTEGER)")} AS category FROM m""")
 def viz_station_bars(spark, sf):
-    r = readings(spark, sf).withColumn("value", I.to_index_unit(P, V, U))
-    m = R.station_means(r).withColumn("si", I.sub_index(P, V))
+    r = readings(spark, sf).withColumn("value", I.to_index_unit(F.col("parameter"), F.col("value"), F.col("unit")))
+    m = R.station_means(r).withColumn("si", I.sub_index(F.col("parameter"), F.col("value")))
     return m.select("parameter", "location", near("value", 4).alias("value"), I.band(F.col("si").cast("int")).alias("category"))
 
 
@@ -329,8 +326,8 @@ s AS (SELECT location, parameter, {S.sub_index("v")} AS si FROM m)
 SELECT location, {", ".join(f"round(coalesce(max(si) FILTER (parameter = '{p}'), 0) + 1e-9, 4) AS {p}" for p in K.POLLUTANTS)} FROM s GROUP BY 1""")
 def viz_station_heatmap(spark, sf):
     """Stations × pollutants, 0 where a station does not measure one; a pivot instead of a cross product."""
-    m = R.station_means(readings(spark, sf).withColumn("value", I.to_index_unit(P, V, U)))
-    wide = m.groupBy("location").pivot("parameter", K.POLLUTANTS).agg(F.max(I.sub_index(P, V)))
+    m = R.station_means(readings(spark, sf).withColumn("value", I.to_index_unit(F.col("parameter"), F.col("value"), F.col("unit"))))
+    wide = m.groupBy("location").pivot("parameter", K.POLLUTANTS).agg(F.max(I.sub_index(F.col("parameter"), F.col("value"))))
     return wide.select("location", *[near(F.coalesce(F.col(p), F.lit(0.0)), 4).alias(p) for p in K.POLLUTANTS])
 
 
@@ -339,9 +336,9 @@ m AS (SELECT location, parameter, avg(c) AS value FROM (SELECT *, {S.index_unit(
 s AS (SELECT *, {S.sub_index("value")} AS si FROM m)
 SELECT location, parameter, {S.label()} AS label, round(si + 1e-9, 4) AS sub_index, {S.band("CAST(trunc(si) AS INTEGER)")} AS category FROM s""")
 def viz_station_detail(spark, sf):
-    m = R.station_means(readings(spark, sf).withColumn("value", I.to_index_unit(P, V, U)))
-    m = m.withColumn("si", I.sub_index(P, V))
-    return m.select("location", "parameter", I.label_of(P).alias("label"), near("si", 4).alias("sub_index"), I.band(F.col("si").cast("int")).alias("category"))
+    m = R.station_means(readings(spark, sf).withColumn("value", I.to_index_unit(F.col("parameter"), F.col("value"), F.col("unit"))))
+    m = m.withColumn("si", I.sub_index(F.col("parameter"), F.col("value")))
+    return m.select("location", "parameter", I.label_of(F.col("parameter")).alias("label"), near("si", 4).alias("sub_index"), I.band(F.col("si").cast("int")).alias("category"))
 
 
 @query("viz_gauge_bands", "SELECT category, lo, hi, readings FROM (SELECT category, count(*) AS readings FROM (SELECT "
@@ -352,7 +349,7 @@ def viz_gauge_bands(spark, sf):
     upper = {b: hi for b, hi, _ in K.BANDS}
     lower = {b: (0 if i == 0 else K.BANDS[i - 1][1] + 1) for i, (b, _, _) in enumerate(K.BANDS)}
     c = F.col("category")
-    counts = table(spark, sf, "events").groupBy(I.band_of_pm25(V).alias("category")).agg(F.count(F.lit(1)).alias("readings"))
+    counts = table(spark, sf, "events").groupBy(I.band_of_pm25(F.col("value")).alias("category")).agg(F.count(F.lit(1)).alias("readings"))
     return counts.select("category", I._lookup(lower, c).alias("lo"), I._lookup(upper, c).alias("hi"), "readings")
 
 
