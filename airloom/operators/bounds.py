@@ -3,18 +3,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
+
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
                        max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Mark ``df`` for broadcast only after measuring it; otherwise leave the join to the optimizer.
+    """``df`` for broadcast if it measures small; otherwise ``df`` as it is, for the optimizer to join.
 
-    The probe stops after ``max_rows + 1`` rows, so a large side costs one bounded job. Beyond the bound the same
-    equi-join runs shuffled, where AQE splits skewed keys.
+    At most ``max_rows + 1`` rows are materialised for the measurement, and a small side is then used as materialised,
+    so it is computed once. Beyond the bound the same equi-join runs shuffled, where AQE splits skewed keys.
     """
-    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
+    probe = cut_lineage(df.limit(max_rows + 1))
+    return F.broadcast(probe) if is_small(probe, max_rows, max_bytes) else df
 
 
 def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:

@@ -77,23 +77,27 @@ def _weighted_terms(terms: DataFrame, queries: DataFrame, stats: DataFrame) -> D
     return out.select("query_id", "token", (F.col("qtf") * idf).alias("weight"), "avg_dl")
 
 
-def _query_matrix(weights: DataFrame) -> tuple[DataFrame, list[int], np.ndarray] | None:
-    """((token, idx), query ids, term × query matrix) of (query_id, token, weight) rows already known to be few."""
+def _query_matrix(weights: DataFrame) -> tuple[dict[str, int], list[int], np.ndarray] | None:
+    """(token -> row, query ids, term × query matrix) of (query_id, token, weight) rows already known to be few."""
     rows = weights.select("query_id", "token", "weight").collect()
     tokens = sorted({r["token"] for r in rows})
     ids = sorted({r["query_id"] for r in rows})
-    if not rows or not SB.fits(len(tokens), len(ids)):
+    if not SB.fits(len(tokens), len(ids)):
         return None
     at, col = {t: i for i, t in enumerate(tokens)}, {q: j for j, q in enumerate(ids)}
     matrix = np.zeros((len(tokens), len(ids)))
     for r in rows:
         matrix[at[r["token"]], col[r["query_id"]]] = r["weight"]
-    table = weights.sparkSession.createDataFrame(list(at.items()), "token string, idx int")
-    return table, ids, matrix
+    return at, ids, matrix
 
 
-def _matrix_top_k(terms: DataFrame, table: DataFrame, ids: list[int], matrix: np.ndarray, k: int) -> DataFrame:
-    """Best ``k`` positive products per query. ``terms``: (doc_id, token, x, scale), laid out by doc_id."""
+def _token_rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", T.tokens(F.col("text")).alias("w"))
+
+
+def _matrix_top_k(terms: DataFrame, at: dict[str, int], ids: list[int], matrix: np.ndarray, k: int) -> DataFrame:
+    """Best ``k`` positive products per query, from stored postings. ``terms``: (doc_id, token, x, scale)."""
+    table = terms.sparkSession.createDataFrame(list(at.items()), "token string, idx int")  # the terms of the batch
     rows = terms.join(F.broadcast(table), "token").groupBy("doc_id").agg(  # at most one element per query term
         F.collect_list("idx").alias("idx"), F.collect_list("x").alias("x"), F.first("scale").alias("scale"))
     best = SB.best_per_task(rows, lambda part: SB.sparse_block(part, len(matrix)) @ matrix, ids, k, SCORE_DIGITS, 0.0)
@@ -110,9 +114,10 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5, postings: DataF
                 stats: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, bm25_score, rank): score relative to the best of the query, positive only.
 
-    Two passes over the documents: one for the document frequencies of the query terms, one for the scores. A batch of
-    measured size is scored by matrix products (``scoring_block``); documents never shuffle by token, so a token that
-    occurs in every document is no hot key. A larger batch runs as shuffled joins, where AQE splits hot tokens.
+    Two passes over the documents: document frequencies of the query terms (an aggregate over the words of the batch
+    only, unless ``stats`` has them), then the scores. A batch of measured size is scored by matrix products where the
+    documents lie (``scoring_block``): neither texts nor pairs are shuffled, and a word that occurs in every document
+    is no hot key. A larger batch, or one beyond the matrix bound, runs as shuffled joins, where AQE splits hot words.
     """
     terms = query_terms(queries)
     small = is_small(terms)
@@ -124,16 +129,26 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5, postings: DataF
     if small:
         weights = cut_lineage(weights)
     made = _query_matrix(weights) if small else None
-    avg_dl = weights.agg(F.max("avg_dl").alias("a")).scalar()
-    tf, k1, b = F.col("tf"), K.BM25_K1, K.BM25_B
-    x = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    hits = (postings if postings is not None else term_counts(docs)).withColumn("avg_dl", avg_dl).select(
-        "doc_id", "token", x.alias("x"), F.lit(1.0).alias("scale"))
-    if made is not None:
-        best = _matrix_top_k(hits, *made, k)
+    order = [F.col("score").desc(), F.col("doc_id")]
+    k1, b = K.BM25_K1, K.BM25_B
+    if made is not None and postings is None:
+        at, ids, matrix = made
+        avg = weights.agg(F.max("avg_dl").alias("a")).first()["a"] or 1.0
+
+        def score(part):
+            tf = SB.count_block(part, at)
+            length = part["w"].map(len).to_numpy(dtype=float)[:, None]
+            return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg)) @ matrix
+
+        best = top_k(SB.best_per_task(_token_rows(docs), score, ids, k, SCORE_DIGITS, 0.0), ["query_id"], order, k)
     else:
-        best = top_k(bm25_scores(hits, weights).where("score > 0"), ["query_id"],
-                     [F.col("score").desc(), F.col("doc_id")], k)
+        avg_dl = weights.agg(F.max("avg_dl").alias("a")).scalar()
+        tf = F.col("tf")
+        x = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
+        hits = (postings if postings is not None else term_counts(docs)).withColumn("avg_dl", avg_dl).select(
+            "doc_id", "token", x.alias("x"), F.lit(1.0).alias("scale"))
+        best = _matrix_top_k(hits, *made, k) if made is not None else top_k(
+            bm25_scores(hits, weights).where("score > 0"), ["query_id"], order, k)
     top = F.max("score").over(W.partitionBy("query_id"))  # at most k rows
     return best.select("query_id", "doc_id", (F.col("score") / (top + 1e-9)).alias("bm25_score"), "rank")
 
@@ -182,14 +197,15 @@ def _nearest_by_matrix(vectors: DataFrame, rows: list, k: int) -> DataFrame:
 TFIDF_WORD = r"[\p{L}\p{N}_]{2,}"
 
 
-def fit_vocabulary(docs: DataFrame, size: int = K.TFIDF_FEATURES) -> DataFrame:
+def fit_vocabulary(docs: DataFrame, size: int = K.TFIDF_FEATURES, stats: DataFrame | None = None) -> DataFrame:
     """The ``size`` most frequent terms of at least two characters with their idf.
 
-    As fitting a vectorizer does, this reads the corpus once and keeps the result: at most ``size`` rows.
+    As fitting a vectorizer does, this reads the corpus once (or its ``term_stats``) and keeps the result: at most
+    ``size`` rows.
     """
-    stats = term_stats(docs, F.lit(TFIDF_WORD))
-    best = top_k(stats.withColumn("kind", F.col("token") == ""), ["kind"], [F.col("cf").desc(), "token"], size).select(
-        "token", "df").collect()
+    stats = stats if stats is not None else term_stats(docs)
+    rows = stats.where((F.length("token") >= 2) | (F.col("token") == "")).withColumn("kind", F.col("token") == "")
+    best = top_k(rows, ["kind"], [F.col("cf").desc(), F.col("token")], size).select("token", "df").collect()
     n = next((r["df"] for r in best if r["token"] == ""), 0)
     schema = "token string, df bigint"
     terms = docs.sparkSession.createDataFrame([tuple(r) for r in best if r["token"] != ""], schema)
@@ -210,24 +226,59 @@ def _unit(terms: DataFrame) -> DataFrame:
 
 
 def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 5, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Dense search in the TF-IDF fallback space, without materialising dense rows.
+    """Dense search in the TF-IDF fallback space: (query_id, doc_id, distance, rank, dense_score).
 
-    Unit vectors give squared L2 = 2 - 2·dot. A text without vocabulary terms is the zero vector, at distance 1 from
-    every unit vector. Documents that share no term with a query all tie at distance 2 (or 1), and only the first of
-    them by id can reach the top k, so they come from a list of at most 2k per kind instead of being paired with every
-    query. A query with fewer than k scored documents has all of them in ``near``; one with k needs no such document.
+    Unit vectors give squared L2 = 2 - 2·dot. A text without vocabulary terms is the zero vector: at distance 1 from
+    every unit vector and 0 from another zero vector. A batch of measured size is one matrix of at most 768 rows, and
+    one pass over the documents without any shuffle of texts.
     """
     vocab = vocabulary if vocabulary is not None else fit_vocabulary(docs)
     q = _unit(tfidf_terms(queries, "query_id", vocab))
     q = cut_lineage(q.select(F.col("doc_id").alias("query_id"), "token", (F.col("x") * F.col("scale")).alias("weight")))
-    made = _query_matrix(q) if is_small(q) else None
-    d = tfidf_terms(docs, "doc_id", vocab)
-    if made is not None:
-        # All vocabulary terms count for the length of a document, also those that no query uses.
-        best = _matrix_top_k(_unit(d), *made, k)
+    n_queries = queries.limit(MAX_BATCH + 1).count()
+    if n_queries <= MAX_BATCH and SB.fits(K.TFIDF_FEATURES, n_queries):
+        best = _tfidf_by_matrix(docs, queries, q, vocab, k)
     else:
-        scores = bm25_scores(_unit(d).withColumn("x", F.col("x") * F.col("scale")), q)
-        best = top_k(scores.where("score > 0"), ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
+        best = _tfidf_by_joins(docs, queries, q, vocab, k)
+    return best.withColumn("dense_score", 1.0 / (1.0 + F.col("distance")))
+
+
+MAX_BATCH = 20_000
+
+
+def _tfidf_by_matrix(docs: DataFrame, queries: DataFrame, q: DataFrame, vocab: DataFrame, k: int) -> DataFrame:
+    idf = {r["token"]: r["idf"] for r in vocab.collect()}  # at most 768
+    at = {t: i for i, t in enumerate(sorted(idf))}
+    ids = sorted(r["query_id"] for r in queries.select("query_id").collect())  # at most MAX_BATCH
+    col = {i: j for j, i in enumerate(ids)}
+    matrix = np.zeros((len(at), len(ids)))
+    for r in q.collect():
+        matrix[at[r["token"]], col[r["query_id"]]] = r["weight"]
+    scale, unit_query = np.array([idf[t] for t in sorted(idf)]), matrix.any(axis=0)
+
+    def score(part):
+        x = SB.count_block(part, at) * scale
+        norm = np.sqrt((x * x).sum(axis=1))
+        unit_doc = norm > 0
+        x[unit_doc] /= norm[unit_doc, None]
+        apart = np.where(unit_doc[:, None] & unit_query[None, :], 2.0,
+                         np.where(unit_doc[:, None] | unit_query[None, :], 1.0, 0.0))
+        return 2.0 * (x @ matrix) - apart
+
+    best = SB.best_per_task(_token_rows(docs), score, ids, k, SCORE_DIGITS)
+    ranked = top_k(best, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
+    return ranked.select("query_id", "doc_id", F.greatest(-F.col("score"), F.lit(0.0)).alias("distance"), "rank")
+
+
+def _tfidf_by_joins(docs: DataFrame, queries: DataFrame, q: DataFrame, vocab: DataFrame, k: int) -> DataFrame:
+    """The way for batches beyond the bound.
+
+    Documents that share no term with a query all tie at distance 2 (or 1), and only the first of them by id can reach
+    the top k, so they come from a list of at most 2k per kind instead of being paired with every query. A query with
+    fewer than k scored documents has all of them in ``near``; one with k needs no such document.
+    """
+    d = _unit(tfidf_terms(docs, "doc_id", vocab)).withColumn("x", F.col("x") * F.col("scale"))
+    best = top_k(bm25_scores(d, q).where("score > 0"), ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
     near = best.select("query_id", "doc_id", F.round(2.0 - 2.0 * F.col("score"), SCORE_DIGITS).alias("distance"))
     units = q.select("query_id").distinct().withColumn("unit", F.lit(True))
     kinds = queries.select("query_id").join(units, "query_id", "left")
@@ -238,8 +289,7 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 5, vocabulary: Da
         .when(F.col("q_unit") | F.col("f.doc_unit"), 1.0).otherwise(0.0)).alias("distance"))
     # A filled document that does score is either in ``near`` and dropped here, or behind k nearer ones.
     fill = fill.join(near.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    best = top_k(near.unionByName(fill), ["query_id"], ["distance", "doc_id"], k)
-    return best.withColumn("dense_score", 1.0 / (1.0 + F.col("distance")))
+    return top_k(near.unionByName(fill), ["query_id"], ["distance", "doc_id"], k)
 
 
 def _first_documents(docs: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
@@ -274,8 +324,13 @@ def candidate_count(top_k_wanted: int) -> int:
 
 
 def hybrid_search(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    dense = tfidf_search(docs, queries, k)
-    sparse = bm25_search(docs, queries, k)
+    """Both searches and their fusion, on one set of term statistics.
+
+    The statistics have one row per distinct word; they are written once (``cut_lineage``) since both searches use them.
+    """
+    stats = cut_lineage(term_stats(docs))
+    dense = tfidf_search(docs, queries, k, fit_vocabulary(docs, stats=stats))
+    sparse = bm25_search(docs, queries, k, stats=stats)
     return fuse(dense, sparse, docs, k)
 
 

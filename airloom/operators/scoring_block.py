@@ -30,6 +30,16 @@ def sparse_block(batch: pd.DataFrame, width: int) -> np.ndarray:
     return out * batch["scale"].to_numpy()[:, None]
 
 
+def count_block(batch: pd.DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
+    """Term counts (rows × vocabulary) of the token arrays in ``w``."""
+    out = np.zeros((len(batch), len(vocabulary)))
+    for i, words in enumerate(batch["w"]):
+        hits = [at for w in words if (at := vocabulary.get(w)) is not None]
+        if hits:
+            out[i] = np.bincount(hits, minlength=len(vocabulary))
+    return out
+
+
 def best_per_task(rows: DataFrame, score: Callable[[pd.DataFrame], np.ndarray], query_ids: list[int], k: int,
                   digits: int = 9, floor: float | None = None) -> DataFrame:
     """(query_id, doc_id, score): each task's ``k`` highest scores per query, the lower doc_id first on a tie.

@@ -136,6 +136,7 @@ def test_searches_agree_beyond_the_bounds(spark, monkeypatch):
     assert sorted((r.query_id, r["rank"], r[1]) for r in flat) == small_way[2]
     monkeypatch.setattr(SB, "MAX_MATRIX_BYTES", 0)
     monkeypatch.setattr(RT, "is_small", lambda df: False)
+    monkeypatch.setattr(RT, "MAX_BATCH", 0)
     assert run() == small_way
     assert len([r for r in small_way[1] if r[0] == 4]) == 4  # a query outside the space still gets its k nearest
 
