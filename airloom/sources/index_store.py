@@ -5,47 +5,50 @@ that filters on its terms reads only matching row groups. Corpus figures come fr
 """
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import ingest, retrieval
 from ..operators.bounds import broadcast_if_small
 
 
-def save(chunks: DataFrame, path: str, mode: str = "overwrite", partitions: int | None = None) -> None:
-    """``chunks``: doc_id, text, metadata and optionally embedding."""
-    chunks.write.mode(mode).parquet(f"{path}/chunks")
-    stored = chunks.sparkSession.read.parquet(f"{path}/chunks") if mode == "overwrite" else chunks
-    write_postings(stored, path, mode, partitions)
-
+def save(chunks: DataFrame, path: str, batch: str = "base", partitions: int | None = None) -> DataFrame:
+    """Write one batch of chunks (doc_id, text, metadata and optionally embedding) and its postings.
 
-def write_postings(chunks: DataFrame, path: str, mode: str, partitions: int | None = None) -> None:
-    postings = retrieval.term_counts(chunks)
+    A batch is its own folder and is overwritten as a whole, so a repeated run of the same batch leaves one copy.
+    """
+    folder = f"batch={batch}"
+    chunks.write.mode("overwrite").parquet(f"{path}/chunks/{folder}")
+    stored = chunks.sparkSession.read.parquet(f"{path}/chunks/{folder}")
+    postings = retrieval.term_counts(stored)
     # Token and document both enter the hash, so the posting list of a common word spreads over all files.
     spread = postings.repartition(*([partitions] if partitions else []), "token", F.pmod(F.xxhash64("doc_id"), F.lit(32)))
-    spread.sortWithinPartitions("token", "doc_id").write.mode(mode).parquet(f"{path}/postings")
+    spread.sortWithinPartitions("token", "doc_id").write.mode("overwrite").parquet(f"{path}/postings/{folder}")
+    return stored
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(chunks, postings); postings are rebuilt from the chunks when they are missing."""
-    chunks = spark.read.parquet(f"{path}/chunks")
+    chunks = spark.read.parquet(f"{path}/chunks").drop("batch")
     try:
-        postings = spark.read.parquet(f"{path}/postings")
-    except Exception:
+        postings = spark.read.parquet(f"{path}/postings").drop("batch")
+    except AnalysisException:
         postings = retrieval.term_counts(chunks)
     return chunks, postings
 
 
-def append(pages: DataFrame, path: str, force: bool = False) -> DataFrame:
-    """Chunk the documents that the index does not know and append them. Returns the appended chunks."""
-    spark = pages.sparkSession
-    indexed = spark.read.parquet(f"{path}/chunks")
+def append(pages: DataFrame, path: str, batch: str | None = None, force: bool = False) -> DataFrame:
+    """Chunk the documents that the other batches do not know and add them as a batch. Returns its chunks.
+
+    Give a repeatable ``batch`` name where the call may be repeated (streams do).
+    """
+    batch = batch or uuid.uuid4().hex
+    indexed = pages.sparkSession.read.parquet(f"{path}/chunks").where(F.col("batch").cast("string") != batch)
     fresh = ingest.new_chunks(pages, indexed, force)
     keyed = fresh.withColumn("doc_id", F.xxhash64("doc_name", "page", "chunk"))
-    batch = f"{path}/staging/{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}"
-    keyed.select(*[c for c in indexed.columns if c in keyed.columns]).write.parquet(batch)
-    stored = spark.read.parquet(batch)
-    save(stored, path, "append")
-    return stored
+    return save(keyed, path, batch)
 
 
 def stats(postings: DataFrame) -> DataFrame:
@@ -70,6 +73,6 @@ def save_cache(entries: DataFrame, path: str) -> None:
     try:
         known = spark.read.parquet(path).select("key")
         entries = entries.join(known, "key", "left_anti")
-    except Exception:
+    except AnalysisException:  # nothing stored yet
         pass
     entries.write.mode("append").parquet(path)

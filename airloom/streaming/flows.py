@@ -39,11 +39,13 @@ def sliding_change(stream: DataFrame, watermark: str = "1 hour", ts: str = "date
     return out.select(F.col("w.end").alias("date_utc"), "parameter", "recent", "earlier", change.alias("pct_change"))
 
 
-def index_new_pages(path: str):
-    """``foreachBatch`` function: chunk and append the documents that the index does not know yet."""
+def index_new_pages(path: str, stream: str):
+    """``foreachBatch`` function: chunk and append the documents that the index does not know yet.
+
+    ``stream`` names the stream (one name per checkpoint): a batch that is run again overwrites its own folder.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            index_store.append(batch.dropDuplicates(["doc_name", "page"]), path)
+        index_store.append(batch.dropDuplicates(["doc_name", "page"]), path, f"{stream}-{batch_id}")
     return run
 
 

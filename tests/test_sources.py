@@ -126,8 +126,13 @@ def test_index_store(spark, small, tmp_path):
     n = chunks.count()
     added = index_store.append(rest_, path)
     total = spark.read.parquet(f"{path}/chunks")
-    assert total.count() == n + added.count() and total.where("topic IS NULL").count() == 0
+    assert total.count() == n + added.count() and total.select("doc_id").distinct().count() == total.count() and total.where("topic IS NULL").count() == 0
     assert index_store.append(rest_, path).count() == 0
+    index_store.append(rest_.where("doc_name LIKE '%1'").withColumn("doc_name", F.concat(F.lit("n-"), "doc_name")), path, "b1")
+    grown = spark.read.parquet(f"{path}/chunks").count()
+    repeat = index_store.append(rest_.where("doc_name LIKE '%1'").withColumn("doc_name", F.concat(F.lit("n-"), "doc_name")), path, "b1")
+    assert repeat.count() > 0 and spark.read.parquet(f"{path}/chunks").count() == grown
+    total = spark.read.parquet(f"{path}/chunks").drop("batch")
     q = spark.createDataFrame([(1, total.first().text[:80])], "query_id bigint, text string")
     got = [(r.doc_id, r["rank"]) for r in index_store.search(spark, path, q, 3).orderBy("rank").collect()]
     want = [(r.doc_id, r["rank"]) for r in RT.bm25_search(total, q, 3).orderBy("rank").collect()]
@@ -165,7 +170,7 @@ def test_stream_into_index(spark, small, tmp_path):
     index_store.save(seedlings, path, partitions=2)
     pages.write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(pages.schema).parquet(str(tmp_path / "in"))
-    q = s.writeStream.foreachBatch(flows.index_new_pages(path)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = s.writeStream.foreachBatch(flows.index_new_pages(path, "pages")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     names = spark.read.parquet(f"{path}/chunks").select("doc_name")
     assert names.distinct().count() == new_chunks(pages, pages.limit(0)).select("doc_name").distinct().count()
