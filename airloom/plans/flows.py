@@ -9,6 +9,7 @@ from ..functions import prompts as PR, scoring as SC, text as T
 from ..operators import forecast as FC, insights as INS, learning as L, readings as R, retrieval as RT
 from ..operators import timeseries as TS
 from ..operators.quantiles import winsorize
+from ..session import cut_lineage
 
 
 @dataclass
@@ -85,13 +86,15 @@ def train(history: DataFrame, series: list[str], train_until: str = "2023-01-01"
     filled = winsorize(TS.interpolate(history, series, values), series, "aqi")
     frame = TS.features(filled, series)
     names = TS.feature_columns(frame, series=series)
-    frame = frame.dropna(subset=[*names, "aqi"])
+    # Every fit and every metric reads this table again, so it is written once.
+    frame = cut_lineage(frame.dropna(subset=[*names, "aqi"]))
     parts = TS.split_by_year(frame, "ts", train_until, test_from)
     inputs = [c for c in L.PROFILE if c.rsplit("_", 1)[0] in frame.columns]
     means = tuple(c for c in ("pm25", "pm10", "temperature", "humidity", "wind_speed") if c in frame.columns)
     regimes = L.fit_regimes(TS.daily_profile(parts[0], series, means=means), inputs)
     tr, va, te = (
-        L.assign_regimes(p, L.daily_regimes(TS.daily_profile(p, series, means=means), regimes, series, inputs=inputs), series)
+        cut_lineage(L.assign_regimes(
+            p, L.daily_regimes(TS.daily_profile(p, series, means=means), regimes, series, inputs=inputs), series))
         for p in parts)
     whole = L.fit_trees(tr, va, names, **tree)
     by_regime = L.fit_by_regime(tr, va, names, whole, **tree)
