@@ -264,7 +264,7 @@ SELECT parameter, {S.label()} AS label, si AS sub_index, {S.band("si")} AS categ
 FROM (SELECT parameter, CAST(round_even({S.sub_index("c")}, 0) AS INTEGER) AS si FROM (SELECT *, {S.index_unit()} AS c FROM c))""")
 def viz_sub_index_bars(spark, sf):
     c = R.city_concentrations(hourly(spark, sf), latest(spark, sf))
-    rows = I.with_sub_index(c, "si").withColumn("sub_index", F.rint("si").cast("int")).where("sub_index >= 0")
+    rows = I.with_sub_index(c, "si").withColumn("sub_index", F.rint("si").cast("int"))
     return rows.select("parameter", I.label_of(F.col("parameter")).alias("label"), "sub_index", I.band(F.col("sub_index")).alias("category")).orderBy(
         F.col("sub_index").desc(), I.display_rank(F.col("parameter")))
 
