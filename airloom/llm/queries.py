@@ -97,3 +97,24 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     more = spark.createDataFrame(EXTRA_CONVERSATION, "conv_id long, turn long, role string, text string")
     turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return read_back(format_turns(turns))
+
+
+@query()
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from .byte_bpe import encode
+
+    done = encode(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), extra="decoded")
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from . import quality as Q
+
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    model = Q.train(docs, labels.where(~Q.held_out()))
+    return Q.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", Q.held_out().alias("held_out"), "score", "predicted")
