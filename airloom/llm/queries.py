@@ -99,6 +99,31 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return read_back(format_turns(turns))
 
 
+SQL_ITEM_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+
+
+@query(rf"""
+WITH b AS (SELECT item_id, {SQL_ITEM_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS win
+       FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i FROM b WHERE len(w) > 0)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, {SQL_ITEM_WORDS} AS w FROM documents),
+p AS (SELECT k, n, w, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n),
+m AS (SELECT k, i, n, item_id FROM (SELECT k, i, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM p) JOIN bw USING (win, n)),
+h AS (SELECT k, count(DISTINCT j) AS n_hit FROM (SELECT k, unnest(generate_series(i, i + n - 1)) AS j FROM m) GROUP BY k),
+s AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT k, item_id::VARCHAR AS item FROM m) GROUP BY k)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (k) LEFT JOIN s USING (k)""")
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    found = contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 @query()
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
