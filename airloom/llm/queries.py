@@ -38,6 +38,25 @@ def op1_top_search(spark: SparkSession, folder: str) -> DataFrame:
     return top_k_products(rows.where("vec_id % 50 = 0"), rows, k=5, scale=256)
 
 
+# Windows by their words; the first place of each by document, then by position.
+@query(r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+p AS (SELECT k, doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS win
+      FROM (SELECT k, doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM d WHERE len(w) >= 20)),
+f AS (SELECT k, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS place FROM p),
+g AS (SELECT DISTINCT k, unnest(generate_series(i, i + 19)) AS j FROM f WHERE place > 1),
+x AS (SELECT k, list(j) AS gone FROM g GROUP BY k)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, i: NOT list_contains(gone, i)) END, ' '))
+         AS kept_sha256
+FROM d LEFT JOIN x USING (k)""".replace("\\\\", "\\"))
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from .substring_dedup import dedup_spans
+
+    return dedup_spans(read(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
