@@ -118,6 +118,13 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return read_back(format_turns(turns))
 
 
+@query()
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from .near_dedup import classes
+
+    return classes(read(spark, folder, "documents"))
+
+
 SQL_ITEM_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 
 
