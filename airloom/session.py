@@ -5,7 +5,9 @@ Shuffle parallelism is left to the caller: AQE coalesces small partitions, and a
 """
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -23,9 +25,28 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in wanted.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, so that Python workers find it wherever they start."""
+    sc = spark.sparkContext
+    if getattr(sc, "_airloom_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(here):  # not when it already runs from an archive
+        path = os.path.join(tempfile.mkdtemp(prefix="airloom-package-"), "airloom_package.zip")
+        with zipfile.ZipFile(path, "w") as archive:
+            for folder, _, names in os.walk(here):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        archive.write(full, os.path.join("airloom", os.path.relpath(full, here)))
+        sc.addPyFile(path)
+    sc._airloom_shipped = True
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench."""
     return configure(
