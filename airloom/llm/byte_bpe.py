@@ -172,18 +172,23 @@ class Merger:
         if len(self.known) + len(fresh) > CACHE_PIECES:
             self.known.clear()
             fresh = list(pieces)
-        bodies = [p.encode() for p in fresh]
+        self.known.update(zip(fresh, self.split([p.encode() for p in fresh])))
+
+    def split(self, bodies: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(bodies)
         by_width: dict[int, list[int]] = {}
         for i, body in enumerate(bodies):
             if body in self.ranks:
-                self.known[fresh[i]] = self.ranks[body].to_bytes(4, "little")
+                out[i] = self.ranks[body].to_bytes(4, "little")
             elif len(body) > WIDEST:
-                self.known[fresh[i]] = np.array(_merge_long(body, self.ranks), "<u4").tobytes()
+                out[i] = np.array(_merge_long(body, self.ranks), "<u4").tobytes()
             else:
                 by_width.setdefault((len(body) + 3) // 4 * 4, []).append(i)
         for width, at in by_width.items():
             for i, ids in zip(at, self.merge([bodies[i] for i in at], width)):
-                self.known[fresh[i]] = ids
+                out[i] = ids
+        return out
 
     def merge(self, bodies: list[bytes], width: int) -> list[bytes]:
         """Pieces of at most ``width`` bytes, merged side by side: in each round every piece joins the neighbours of

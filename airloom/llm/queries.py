@@ -38,6 +38,19 @@ def op1_top_search(spark: SparkSession, folder: str) -> DataFrame:
     return top_k_products(rows.where("vec_id % 50 = 0"), rows, k=5, scale=256)
 
 
+@query()
+def op2_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from .lm_score import score
+    from .quality import held_out
+
+    out = held_out(parts=7)
+    scored = score(read(spark, folder, "documents"), ~out, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 # Windows by their words; the first place of each by document, then by position.
 @query(r"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id,
