@@ -34,9 +34,12 @@ def windows(items: DataFrame, item: str, text: str, length: int) -> DataFrame:
         "item", F.slice("words", F.col("at"), F.lit(length)).alias("window")).distinct()
 
 
-def tokenised(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("id"),
-                       words_of(F.col(f"`{text}`")).alias("words"))
+def tokenised(docs: DataFrame, key: str, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """row, id (the key and the kept columns), words."""
+    return docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.struct(F.col(f"`{key}`").alias("own"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep))).alias("id"),
+        words_of(F.col(f"`{text}`")).alias("words"))
 
 
 def _blocks(terms: DataFrame):
@@ -113,8 +116,10 @@ def matches(index: DataFrame, anchored: DataFrame, slack: int = 0) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-                  item_text: str = "text", length: int = 13, share: int = 20, slack: int = 0) -> DataFrame:
-    """``key``, n_words, n_hit, n_items, items (sorted texts of the ids), contaminated: a row per document.
+                  item_text: str = "text", length: int = 13, share: int = 20, slack: int = 0,
+                  keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, ``keep`` columns, n_words, n_hit, n_items, items (sorted texts of the ids), contaminated: a row per
+    document.
 
     A word is hit if it lies in an occurrence of a window; a document is contaminated if share * n_hit >= n_words and
     any word is hit. Null texts have no words; documents and items without words have no hits. Repeated rows and rows
@@ -123,7 +128,8 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     """
     wins = store(windows(items, item, item_text, length))
     terms = store(wins.select(F.explode("window").alias("term")).distinct())
-    rows = tokenised(docs, key, text)
+    rows = tokenised(docs, key, text, keep)
+    named = [F.col("id.own").alias(key), *(F.col(f"id.k{i}").alias(c) for i, c in enumerate(keep))]
     if terms.count() > TERM_BLOCK:  # several scans need the same row numbers
         rows = store(rows)
     indexes = []
@@ -134,9 +140,9 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     none = F.array().cast("array<string>")
     if not indexes:
         return rows.select(
-            F.col("id").alias(key), F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
+            *named, F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
             F.lit(0).cast("long").alias("n_items"), none.alias("items"), F.lit(False).alias("contaminated"))
-    base = indexes[0].select("row", F.col("id").alias(key), "n_words")
+    base = indexes[0].select("row", "id", "n_words")
     found = _union([matches(i, anchored, slack) for i in indexes]).distinct()
     # Covered words of a document: each occurrence adds what lies behind the ends of those before it.
     before = W.partitionBy("row").orderBy("start", "size").rowsBetween(W.unboundedPreceding, -1)
@@ -148,6 +154,6 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     out = base.join(hit.join(which, "row"), "row", "left")
     n_hit = F.least(F.coalesce(F.col("n_hit"), F.lit(0)), F.col("n_words")).cast("long")
     return out.select(
-        key, "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        *named, "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", none).alias("items"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"))

@@ -182,3 +182,11 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     model = Q.train(docs, labels.where(~Q.held_out()))
     return Q.score(docs.select("doc_id", "text"), model).select(
         "doc_id", Q.held_out().alias("held_out"), "score", "predicted")
+
+
+@query()
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The stages of the corpus pipeline one after the other; its ids stay with the operator."""
+    from corpus_pipeline import run
+
+    return run(spark, folder).drop("ids")
