@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as K
 from ..functions import text as T
-from ..functions.numeric import sigmoid, squared_l2
+from ..functions.numeric import sigmoid
 from ..session import cut_lineage
 from . import scoring_block as SB
 from .bounds import is_small, top_k
@@ -154,44 +154,43 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5, postings: DataF
 
 
 # --- Dense vectors ------------------------------------------------------------------------
+QUERY_TILE = 16  # queries whose differences to a block of vectors are held at a time
+
 
 def flat_search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     """Exact nearest neighbours by squared L2: (query_id, vec_id, distance, dense_score, rank).
 
-    ``vectors``: (vec_id, embedding); ``queries``: (query_id, embedding). A batch of up to ``block`` queries is one
-    matrix; larger batches travel as array blocks, and each vector meets each block once.
+    ``vectors``: (vec_id, embedding); ``queries``: (query_id, embedding). Queries go in blocks of about ``block``; each
+    block meets the vectors where they lie, and a task sends on its best ``k`` per query. Distances are sums of squared
+    differences for every number of queries, so that the block size cannot change a digit.
     """
     queries = cut_lineage(queries)  # counted and then used, but computed once
-    n = queries.count()
-    if n <= block:
-        rows = queries.orderBy("query_id").collect()
-        best = _nearest_by_matrix(vectors, rows, k) if rows else None
-        if best is not None:
-            return best.withColumn("dense_score", 1.0 / (1.0 + F.col("distance")))
-    blocks = max(1, -(-n // block))
-    packed = queries.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("b").agg(
-        F.collect_list(F.struct("query_id", "embedding")).alias("q"))  # about ``block`` vectors each
-    met = vectors.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "b")
-    pairs = met.select("vec_id", F.explode_outer(F.transform("q", lambda q: F.struct(
-        q["query_id"].alias("query_id"),
-        F.round(squared_l2(F.col("embedding"), q["embedding"]), SCORE_DIGITS).alias("distance")))).alias("p"))
-    best = top_k(pairs.select("p.query_id", "vec_id", "p.distance"), ["query_id"], ["distance", "vec_id"], k)
-    return best.withColumn("dense_score", 1.0 / (1.0 + F.col("distance")))
-
-
-def _nearest_by_matrix(vectors: DataFrame, rows: list, k: int) -> DataFrame:
+    blocks = max(1, -(-queries.count() // block))
+    found = None
+    for b in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        rows = own.orderBy("query_id").collect()
+        if rows or found is None:
+            part = _nearest_in_block(vectors, rows, k)
+            found = part if found is None else found.unionByName(part)
+    ranked = top_k(found, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
+    return ranked.select("query_id", F.col("doc_id").alias("vec_id"), F.abs("score").alias("distance"), "rank").withColumn(
+        "dense_score", 1.0 / (1.0 + F.col("distance")))
+
+
+def _nearest_in_block(vectors: DataFrame, rows: list, k: int) -> DataFrame:
     q = np.array([r["embedding"] for r in rows], dtype=float)
-    q_norm = (q * q).sum(axis=1)
 
     def score(part):
         e = np.stack(part["embedding"].to_numpy()).astype(float)
-        return 2.0 * (e @ q.T) - (e * e).sum(axis=1)[:, None] - q_norm[None, :]
+        out = np.empty((len(e), len(q)))
+        for at in range(0, len(q), QUERY_TILE):
+            gap = e[:, None, :] - q[None, at:at + QUERY_TILE, :]
+            out[:, at:at + QUERY_TILE] = -np.einsum("ijk,ijk->ij", gap, gap)
+        return out
 
-    best = SB.best_per_task(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), score,
+    return SB.best_per_task(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), score,
                             [int(r["query_id"]) for r in rows], k, SCORE_DIGITS)
-    ranked = top_k(best, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
-    return ranked.select(F.col("query_id"), F.col("doc_id").alias("vec_id"),
-                         F.greatest(-F.col("score"), F.lit(0.0)).alias("distance"), "rank")
 
 
 TFIDF_WORD = r"[\p{L}\p{N}_]{2,}"
@@ -406,8 +405,8 @@ def cache_stats(lookups: DataFrame) -> DataFrame:
         F.coalesce(F.bround(F.try_divide(hit.cast("double"), n), 3), F.lit(0.0)).alias("hit_rate"))
 
 
-def cache_merge(cache: DataFrame, fresh: DataFrame, max_size: int = 2048) -> DataFrame:
-    """Newest embedding per key, the ``max_size`` most recently used keys. Both: (key, embedding, used_at)."""
+def cache_merge(cache: DataFrame, fresh: DataFrame, max_size: int | None = None) -> DataFrame:
+    """Newest embedding per key. Both: (key, embedding, used_at). With ``max_size`` only the most recently used keys."""
     both = cache.unionByName(fresh).groupBy("key").agg(
         F.max_by("embedding", "used_at").alias("embedding"), F.max("used_at").alias("used_at"))
-    return both.orderBy(F.col("used_at").desc(), "key").limit(max_size)
+    return both if max_size is None else both.orderBy(F.col("used_at").desc(), "key").limit(max_size)

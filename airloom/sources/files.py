@@ -12,21 +12,36 @@ from ..operators import timeseries as TS
 def station_history(spark: SparkSession, path: str, station: Column | None = None) -> DataFrame:
     """Hourly series of station CSVs: known columns only, last row of a repeated stamp, hourly median, no missing hour.
 
-    Rows are read in file order for "last"; ``station`` derives the series key (default: one series).
+    Columns are bound by the header of their own file, in whatever order it has them. Rows are read in file order for
+    "last"; ``station`` derives the series key (default: the file's name without its ending).
     """
-    raw = spark.read.option("header", True).csv(path)
-    names = {c: c.strip() for c in raw.columns if c != c.strip()}
-    raw = raw.withColumnsRenamed(names)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value").where(
+        F.col("_metadata.file_block_start") == 0)
+    by_header: dict[str, list[str]] = {}
+    for r in lines.groupBy("file").agg(F.min_by("value", "at").alias("header")).collect():  # a row per file
+        by_header.setdefault(r.header, []).append(r.file)
+    parts = [_station_rows(spark, sorted(files), station) for _, files in sorted(by_header.items())]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    values = [c for c in dict.fromkeys(K.STATION_CSV_COLUMNS.values()) if c in rows.columns]
+    rows = TS.keep_last(rows.where(F.col("ts").isNotNull()), ["station", "ts"], "_order").drop("_order")
+    return TS.densify(TS.hourly_median(rows, ["station"], "ts", values), ["station"])
+
+
+def _station_rows(spark: SparkSession, files: list[str], station: Column | None) -> DataFrame:
+    """Files of one header."""
+    raw = spark.read.option("header", True).csv(files)
+    raw = raw.withColumnsRenamed({c: c.strip() for c in raw.columns if c != c.strip()})
     stamp = "Timestamp" if "Timestamp" in raw.columns else "timestamp"
     have = [c for c in raw.columns if c in K.STATION_CSV_COLUMNS]
     order = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    rows = raw.select(
-        (station if station is not None else F.lit("all")).alias("station"),
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    return raw.select(
+        (station if station is not None else name).alias("station"),
         F.expr(f"try_cast(`{stamp}` AS TIMESTAMP)").alias("ts"), order.alias("_order"),
         *[F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(K.STATION_CSV_COLUMNS[c]) for c in have])
-    values = [K.STATION_CSV_COLUMNS[c] for c in have]
-    rows = TS.keep_last(rows.where(F.col("ts").isNotNull()), ["station", "ts"], "_order").drop("_order")
-    return TS.densify(TS.hourly_median(rows, ["station"], "ts", values), ["station"])
 
 
 def text_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,11 +100,9 @@ def importance_rows(artifact: DataFrame) -> DataFrame:
     return artifact.unpivot([], [F.col(f"`{n}`").cast("double").alias(n) for n in names], "feature", "importance")
 
 
-def eval_cases(spark: SparkSession, path: str | None = None) -> DataFrame:
-    schema = "question STRING, reference_answer STRING, expected_topics ARRAY<STRING>"
-    if path:
-        return json_artifact(spark, path, schema)
-    return spark.createDataFrame(K.EVAL_CASES, schema)
+def eval_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation cases of a JSON file."""
+    return json_artifact(spark, path, "question STRING, reference_answer STRING, expected_topics ARRAY<STRING>")
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

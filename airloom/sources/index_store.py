@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import ingest, retrieval
 from ..operators.bounds import broadcast_if_small
+from ..session import cut_lineage
 
 
 def save(chunks: DataFrame, path: str, batch: str = "base", partitions: int | None = None) -> DataFrame:
@@ -42,20 +43,39 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def append(pages: DataFrame, path: str, batch: str | None = None, force: bool = False) -> DataFrame:
     """Chunk the documents that the other batches do not know and add them as a batch. Returns its chunks.
 
-    Give a repeatable ``batch`` name where the call may be repeated (streams do).
+    Give a repeatable ``batch`` name where the call may be repeated (streams do). The first batch may be appended to
+    nothing. ``force`` chunks all pages and rebuilds: what other batches hold of these documents is replaced.
     """
     batch = batch or uuid.uuid4().hex
-    indexed = pages.sparkSession.read.parquet(f"{path}/chunks").where(F.col("batch").cast("string") != batch)
+    spark = pages.sparkSession
+    try:
+        indexed = spark.read.parquet(f"{path}/chunks").where(F.col("batch").cast("string") != batch)
+    except AnalysisException:  # nothing stored yet
+        indexed = spark.createDataFrame([], "doc_name string, batch string")
+    if force:
+        _forget(pages.select("doc_name").distinct(), indexed, path)
     fresh = ingest.new_chunks(pages, indexed, force)
     keyed = fresh.withColumn("doc_id", F.xxhash64("doc_name", "page", "chunk"))
     return save(keyed, path, batch)
 
 
-def stats(postings: DataFrame) -> DataFrame:
-    """Term statistics with the corpus row, from the postings alone (shape of ``retrieval.document_frequency``)."""
+def _forget(names: DataFrame, indexed: DataFrame, path: str) -> None:
+    """Writes the batches that hold any of the named documents again without them."""
+    touched = [r.batch for r in indexed.join(names, "doc_name", "left_semi").select(
+        F.col("batch").cast("string").alias("batch")).distinct().collect()]
+    for batch in touched:
+        rest = indexed.where(F.col("batch").cast("string") == batch).drop("batch").join(names, "doc_name", "left_anti")
+        save(cut_lineage(rest), path, batch)
+
+
+def stats(postings: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Term statistics with the corpus row (shape of ``retrieval.document_frequency``). Documents without any token
+    have no posting but count as documents."""
     terms = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl_sum"))
-    per_doc = postings.groupBy("doc_id").agg(F.max("dl").alias("dl"))
-    corpus = per_doc.agg(F.lit("").alias("token"), F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl_sum"))
+    # The terms of a document add up to its length.
+    each = chunks.select(F.lit(1).alias("df"), F.lit(0).cast("long").alias("n")).unionByName(
+        postings.select(F.lit(0).alias("df"), F.col("tf").alias("n")))
+    corpus = each.agg(F.sum("df").alias("df"), F.sum("n").alias("dl_sum")).select(F.lit("").alias("token"), "df", "dl_sum")
     return terms.unionByName(corpus)
 
 
@@ -63,13 +83,14 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5) -> Da
     """Keyword search on the stored index."""
     chunks, postings = load(spark, path)
     wanted = broadcast_if_small(retrieval.query_terms(queries).select("token").distinct())
-    figures = stats(postings)
+    figures = stats(postings, chunks)
     return retrieval.bm25_search(chunks, queries, k, postings=postings.join(wanted, "token", "left_semi"), stats=figures)
 
 
 def save_cache(entries: DataFrame, path: str) -> None:
-    """Append embeddings (key, embedding, used_at) whose key is not stored yet."""
+    """Append embeddings (key, embedding, used_at) whose key is not stored yet, of repeated keys the newest."""
     spark = entries.sparkSession
+    entries = entries.groupBy("key").agg(F.max_by("embedding", "used_at").alias("embedding"), F.max("used_at").alias("used_at"))
     try:
         known = spark.read.parquet(path).select("key")
         entries = entries.join(known, "key", "left_anti")

@@ -89,7 +89,15 @@ def test_station_csv(spark, tmp_path):
         "2024-01-01 00:50:00,5,,x\n2024-01-01 03:00:00,n/a,40,x\n", encoding="utf-8")
     rows = files.station_history(spark, str(tmp_path / "a.csv")).orderBy("ts").collect()
     assert [r.pm25 for r in rows] == [4.0, None, None, None] and [r.aqi for r in rows] == [10.0, None, None, 40.0]
-    assert rows[0].station == "all"
+    assert rows[0].station == "a"
+
+
+def test_station_csvs_bind_by_name_and_keep_their_station(spark, tmp_path):
+    (tmp_path / "north.csv").write_text("Timestamp,PM2.5 (µg/m³),AQI\n2024-01-01 00:10:00,1,10\n", encoding="utf-8")
+    (tmp_path / "south.csv").write_text("AQI,Timestamp,PM2.5 (µg/m³)\n20,2024-01-01 00:10:00,2\n", encoding="utf-8")
+    (tmp_path / "west.csv").write_text("AQI,Timestamp\n30,2024-01-01 00:10:00\n", encoding="utf-8")
+    got = {r.station: (r.pm25, r.aqi) for r in files.station_history(spark, str(tmp_path)).collect()}
+    assert got == {"north": (1.0, 10.0), "south": (2.0, 20.0), "west": (None, 30.0)}
 
 
 def test_pages_and_artifacts(spark, tmp_path):
@@ -101,9 +109,11 @@ def test_pages_and_artifacts(spark, tmp_path):
     (tmp_path / "imp.json").write_text('{"aqi_lag1": 2.5,\n "pm25": 1}')
     got = {r.feature: r.importance for r in files.importance_rows(files.json_artifact(spark, str(tmp_path / "imp.json"))).collect()}
     assert got == {"aqi_lag1": 2.5, "pm25": 1.0}
-    assert files.eval_cases(spark).count() == 7
-    files.write_json(files.eval_cases(spark), str(tmp_path / "out"))
-    assert files.json_artifact(spark, str(tmp_path / "out")).count() == 7
+    (tmp_path / "cases.json").write_text('[{"question": "q", "reference_answer": "a", "expected_topics": ["t"]}, {"question": "r"}]')
+    cases = files.eval_cases(spark, str(tmp_path / "cases.json"))
+    assert [tuple(r) for r in cases.collect()] == [("q", "a", ["t"]), ("r", None, None)]
+    files.write_json(cases, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
 
 
 def test_demo(spark):
@@ -143,6 +153,36 @@ def test_index_store(spark, small, tmp_path):
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 1
 
 
+def test_stored_index_from_nothing_and_rebuilt(spark, tmp_path):
+    path = str(tmp_path / "idx")
+    text = "river water quality station report number "
+    pages = spark.createDataFrame([(f"d{i}", 1, text * 4 + f"word{i} " * 9, "text") for i in range(4)],
+                                  "doc_name string, page int, text string, source_type string")
+    assert index_store.append(pages, path, "a").count() == 4
+    assert index_store.append(pages.where("doc_name = 'd1'"), path, "b", force=True).count() == 1
+    stored = spark.read.parquet(f"{path}/chunks")
+    assert stored.count() == 4 and stored.where("doc_name = 'd1'").first().batch == "b"
+
+
+def test_stored_figures_count_documents_without_tokens(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "apple pear"), (2, "apple"), (3, "???"), (4, "")], "doc_id bigint, text string")
+    index_store.save(chunks, str(tmp_path / "idx"))
+    q = spark.createDataFrame([(1, "apple")], "query_id bigint, text string")
+    key = lambda df: sorted((r.doc_id, r["rank"], round(r.bm25_score, 9)) for r in df.collect())
+    assert key(index_store.search(spark, str(tmp_path / "idx"), q, 3)) == key(RT.bm25_search(chunks, q, 3))
+    _, postings = index_store.load(spark, str(tmp_path / "idx"))
+    want = {r.token: (r.df, r.dl_sum) for r in RT.document_frequency(chunks).collect()} if hasattr(RT, "document_frequency") else None
+    got = {r.token: (r.df, r.dl_sum) for r in index_store.stats(postings, chunks).collect()}
+    assert got[""] == (4, 3) and (want is None or want[""] == got[""])
+
+
+def test_cache_keeps_one_row_per_key(spark, tmp_path):
+    rows = spark.createDataFrame([("k", [1.0], 1), ("k", [2.0], 2), ("m", [3.0], 1)], "key string, embedding array<double>, used_at int")
+    index_store.save_cache(rows, str(tmp_path / "cache"))
+    index_store.save_cache(rows, str(tmp_path / "cache"))
+    assert sorted((r.key, r.embedding) for r in spark.read.parquet(str(tmp_path / "cache")).collect()) == [("k", [2.0]), ("m", [3.0])]
+
+
 # --- Streams --------------------------------------------------------------------------------
 
 def test_streams(spark, tmp_path):

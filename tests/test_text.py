@@ -120,6 +120,21 @@ def test_bm25_small(spark):
     assert not [r for r in got if r.query_id == 2]
 
 
+def test_nearest_far_from_the_origin(spark):
+    """The order of close vectors survives a common offset, for any number of queries in a block."""
+    import random
+
+    rng = random.Random(3)
+    points = [[1e7 + rng.random(), -1e7 + rng.random()] for _ in range(300)]
+    vec = spark.createDataFrame(list(enumerate(points)), "vec_id bigint, embedding array<double>")
+    qv = spark.createDataFrame(list(enumerate(points[:5])), "query_id bigint, embedding array<double>")
+    want = {q: [i for _, i in sorted((round(sum((a - b) ** 2 for a, b in zip(p, points[q])), 9), i) for i, p in enumerate(points))[:5]] for q in range(5)}
+    for block in (1, 2, 100):
+        rows = RT.flat_search(vec, qv, 5, block=block).orderBy("query_id", "rank").collect()
+        assert {q: [r.vec_id for r in rows if r.query_id == q] for q in range(5)} == want
+        assert all(str(r.distance) != "-0.0" for r in rows)
+
+
 def test_searches_agree_beyond_the_bounds(spark, monkeypatch):
     """The shuffled way for large batches gives the same lists as the matrix way."""
     q = spark.createDataFrame([(1, "apple red apple"), (3, "the sea"), (4, "???")], "query_id bigint, text string")
