@@ -21,13 +21,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
 
 
 def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    width = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in _scalar_columns(df)), F.lit(16))
+    width = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in _columns(df)), F.lit(16))
     rows, size = df.select(width.alias("w")).limit(max_rows + 1).agg(F.count("*"), F.sum("w")).first()
     return rows <= max_rows and (size or 0) <= max_bytes
 
 
-def _scalar_columns(df: DataFrame) -> list[str]:
-    return [f"`{f.name}`" for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")]
+def _columns(df: DataFrame) -> list[str]:
+    return [f"`{f.name}`" for f in df.schema.fields]
 
 
 def spread_if_few(df: DataFrame) -> DataFrame:

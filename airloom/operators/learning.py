@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .. import constants as K
 from ..functions import numeric as N
 from . import timeseries as TS
+from .bounds import broadcast_if_small
 from .quantiles import exact_quantiles
 
 PROFILE = ["aqi_mean", "aqi_std", "aqi_max", "aqi_min", "pm25_mean", "pm10_mean", "temperature_mean", "humidity_mean",
@@ -30,7 +31,7 @@ def regression_metrics(df: DataFrame, truth: str = "y", prediction: str = "p", k
     limit = exact_quantiles(rows, keys, truth, {"_p90": 0.9})
     err = F.col(truth) - F.col(prediction)
     spike = F.col(truth) >= F.col("_p90")
-    out = rows.join(limit, keys).groupBy(*keys).agg(
+    out = rows.join(broadcast_if_small(limit), keys).groupBy(*keys).agg(
         F.avg(F.abs(err)).alias("mae"), F.avg(err * err).alias("_mse"), F.var_pop(truth).alias("_var"),
         F.count_if(spike).alias("_n"), F.avg(F.when(spike, F.abs(err))).alias("_spike"),
         F.count(F.lit(1)).alias("rows"))

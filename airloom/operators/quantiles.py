@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .bounds import broadcast_if_small
+
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
                     accuracy: int = 10_000) -> DataFrame:
@@ -33,7 +35,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         for i, (name, p) in enumerate(probs.items())
     ])
     bounds = sketch.select(*keys, brackets.alias("_b"))
-    joined = data.join(bounds, keys)
+    joined = data.join(broadcast_if_small(bounds), keys)  # a row per key
     counted = (
         joined.select(*keys, "_v", F.explode("_b").alias("_b"))
         .where(F.col("_v") <= F.col("_b.hi"))
@@ -61,4 +63,4 @@ def winsorize(df: DataFrame, keys: list[str], value: str, lower: float = 0.001,
     if not keys:
         return winsorize(df.withColumn("_all", F.lit(1)), ["_all"], value, lower, upper).drop("_all")
     bounds = exact_quantiles(df, keys, value, {"_q_lo": lower, "_q_hi": upper})
-    return df.join(bounds, keys, "left").withColumn(value, clamp(F.col(value), F.col("_q_lo"), F.col("_q_hi"))).drop("_q_lo", "_q_hi")
+    return df.join(broadcast_if_small(bounds), keys, "left").withColumn(value, clamp(F.col(value), F.col("_q_lo"), F.col("_q_hi"))).drop("_q_lo", "_q_hi")
