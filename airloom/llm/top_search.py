@@ -106,6 +106,8 @@ def _scorer(sent, k: int, scale: int):
                     for b in range(0, len(who), TILE):
                         own = postings(_as(asked[b:b + TILE], kind))
                         scores = accumulate(own, len(who[b:b + TILE]), lists, len(ids), kind)
+                        if kind is object:
+                            scores = np.clip(scores, -LONG - 1, LONG)
                         _keep(held, query_ids, who[b:b + TILE], scores, ids, k)
         out = [(q, i, s) for q, found in held.items() for i, s in found]
         for a in range(0, len(out), 10_000):
@@ -134,7 +136,7 @@ def _keep(held, query_ids, who, scores, ids, k):
         at = at[ids[at] != own]
         if len(at):
             met = at[best(line[at], ids[at], k)]
-            found = before + [(int(i), max(-LONG - 1, min(LONG, int(x)))) for i, x in zip(ids[met], line[met])]
+            found = before + [(int(i), int(x)) for i, x in zip(ids[met], line[met])]
             held[own] = sorted(found, key=lambda f: (-f[1], f[0]))[:k]
 
 
