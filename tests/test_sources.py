@@ -70,17 +70,37 @@ def test_rest_partitions(monkeypatch):
     reader = rest.StationApi(options).reader(None)
     parts = reader.partitions()
     assert [p.path for p in parts] == ["locations/3/latest", "locations/4/latest"]
-    assert list(reader.read(parts[0])) == [("locations/3/latest", "3", '{"results": []}')]
+    assert list(reader.read(parts[0])) == [("locations/3/latest", "3", '{"results": []}', None)]
     assert seen[0][0] == "http://x/locations/3/latest?limit=100" and seen[0][1]["X-api-key"] == "k" and seen[0][2] == 25.0
     monkeypatch.setattr(rest.urllib.request, "urlopen", lambda *a, **k: (_ for _ in ()).throw(OSError("down")))
     with pytest.raises(OSError):
         list(reader.read(parts[0]))
-    assert list(rest.StationApi({**options, "on_error": "skip"}).reader(None).read(parts[0])) == []
+    assert list(rest.StationApi({**options, "on_error": "row"}).reader(None).read(parts[0])) == [
+        ("locations/3/latest", "3", None, "OSError: down")]
+
+
+def test_rest_pages(monkeypatch):
+    asked = []
+
+    class Answer:
+        def __init__(self, n): self.n = n
+        def __enter__(self): return self
+        def __exit__(self, *a): return False
+        def read(self): return json.dumps({"results": list(range(self.n))}).encode()
+
+    def opened(req, timeout):
+        asked.append(req.full_url)
+        return Answer([2, 2, 1][len(asked) - 1])
+
+    monkeypatch.setattr(rest.urllib.request, "urlopen", opened)
+    reader = rest.StationApi({"endpoints": json.dumps([{"path": "x", "params": {"limit": 2}}]), "base": "http://x"}).reader(None)
+    assert len(list(reader.read(reader.partitions()[0]))) == 3
+    assert asked == ["http://x/x?limit=2", "http://x/x?limit=2&page=2", "http://x/x?limit=2&page=3"]
 
 
 def test_rest_source_registers(spark):
     spark.dataSource.register(rest.StationApi)
-    assert spark.read.format("station_api").load().columns == ["endpoint", "key", "body"]
+    assert spark.read.format("station_api").load().columns == ["endpoint", "key", "body", "error"]
 
 
 def test_station_csv(spark, tmp_path):
