@@ -6,7 +6,8 @@ Equal windows have equal minimisers, so all that repeats meets under the same mi
 
 1. minimisers of two or more documents are counted; all other windows are unique and go no further;
 2. runs of those minimisers compact to paths: equal runs are grouped, each with the first document that has it;
-3. where paths of one minimiser differ (the graph branches there), their single edges are grouped the same way;
+3. where paths of one minimiser differ (the graph branches there), the single edges of each path, from the one document
+   that has it first, are grouped the same way;
 4. joins take the first documents back to the places of runs and edges; a span that an earlier document has is removed,
    together with what the document itself repeats.
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import drop, store
-from .token_hash import chunks, run_hashes, sliding_least, word_hashes
+from .token_hash import chunks, mix, run_hashes, sliding_least, word_hashes
 
 WINDOW, KMER = 20, 8
 KMER_BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -49,7 +50,8 @@ class Windows:
         at = self.begin[doc] + self.pos
         self.hash = every[at] if len(at) else np.zeros(0, np.uint64)
         if not len(at):
-            self.minimiser = self.run_start = self.run_size = np.zeros(0, np.int64)
+            self.run_start = self.run_size = np.zeros(0, np.int64)
+            self.minimiser = np.zeros(0, np.uint64)
             return
         marked = (kmers >> np.uint64(32) << np.uint64(32)) | np.arange(len(kmers), dtype=np.uint64)
         least = (sliding_least(marked, window - kmer + 1)[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -59,6 +61,10 @@ class Windows:
         self.run_size = np.diff(np.append(self.run_start, len(at)))
         self.minimiser = kmers[least[self.run_start]]
 
+    def path(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A hash of all words of runs: their first and last window, and how many windows."""
+        return mix(self.hash[start] + mix(self.hash[start + size - 1] + size.astype(np.uint64)))
+
 
 def _probes(hashes: np.ndarray, part_bits: int) -> list[np.ndarray]:
     low = hashes & np.uint64(0xFFFFFFFF)
@@ -104,56 +110,59 @@ def _may_hold(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _scan(emit):
-    """Runs ``emit(windows, ids, keys)``, which yields arrays of columns, over chunks of (id, key, text) rows."""
+    """Runs ``emit(windows, ids, keys, marks)``, which gives arrays of columns, over chunks of (id, key, mark, text)."""
     def run(batches):
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            ids, keys = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in (0, 1))
+            texts = batch.column(3).to_pylist()
+            ids, keys, marks = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(3))
             for a, b in chunks(texts):
-                columns = emit(Windows(texts[a:b]), ids[a:b], keys[a:b])
+                columns = emit(Windows(texts[a:b]), ids[a:b], keys[a:b], marks[a:b])
                 names = list(columns)
-                n = len(columns[names[0]])
-                for i in range(0, n, ROWS_OUT):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(columns[c][i:i + ROWS_OUT]) for c in names], names)
+                for i in range(0, len(columns[names[0]]), ROWS_OUT):
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[c][i:i + ROWS_OUT]) for c in names], names)
     return run
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+    return np.asarray(x, np.uint64).view(np.int64)
 
 
-def _emit_minimisers(w: Windows, ids, keys) -> dict:
-    doc = w.doc[w.run_start] if len(w.run_start) else w.doc
+def _emit_minimisers(w: Windows, ids, keys, marks) -> dict:
+    doc = w.doc[w.run_start]
     order = np.lexsort((w.minimiser, doc))
     m, d = w.minimiser[order], doc[order]
     fresh = np.ones(len(m), bool)
     fresh[1:] = (m[1:] != m[:-1]) | (d[1:] != d[:-1])
-    return {"hash": _signed(m[fresh].astype(np.uint64))}
+    return {"hash": _signed(m[fresh])}
 
 
 def _emit_runs(table):
-    def emit(w: Windows, ids, keys) -> dict:
-        keep = _may_hold(table.value, w.minimiser) if len(w.run_start) else np.zeros(0, bool)
-        start, size = w.run_start[keep].astype(np.int64), w.run_size[keep].astype(np.int64)
+    def emit(w: Windows, ids, keys, marks) -> dict:
+        keep = _may_hold(table.value, w.minimiser)
+        start, size = w.run_start[keep], w.run_size[keep]
         doc = w.doc[start]
-        return {"m": _signed(w.minimiser[keep].astype(np.uint64)), "a": _signed(w.hash[start]),
-                "b": _signed(w.hash[start + size - 1]), "n": size.astype(np.int32), "id": ids[doc].astype(np.int64),
-                "key": keys[doc].astype(np.int64), "pos": w.pos[start].astype(np.int64)}
+        return {"m": _signed(w.minimiser[keep]), "path": _signed(w.path(start, size)), "id": ids[doc], "key": keys[doc],
+                "span": w.pos[start] << 8 | size}
     return emit
 
 
 def _emit_edges(table):
-    def emit(w: Windows, ids, keys) -> dict:
-        keep = _may_hold(table.value, w.minimiser) if len(w.run_start) else np.zeros(0, bool)
+    def emit(w: Windows, ids, keys, marks) -> dict:
+        keep = np.zeros(0, bool)
+        if len(w.run_start):
+            path = w.path(w.run_start, w.run_size)
+            keep = _may_hold(table.value, path ^ marks[w.doc[w.run_start]].view(np.uint64))
         of_run = np.repeat(np.arange(len(w.run_start)), w.run_size)
-        at = np.flatnonzero(keep[of_run]) if len(of_run) else np.zeros(0, np.int64)
+        at = np.flatnonzero(keep[of_run])
         doc = w.doc[at]
-        return {"m": _signed(w.minimiser[of_run[at]].astype(np.uint64)), "a": _signed(w.hash[at]),
-                "id": ids[doc].astype(np.int64), "key": keys[doc].astype(np.int64), "pos": w.pos[at].astype(np.int64)}
+        return {"m": _signed(w.minimiser[of_run[at]]), "path": _signed(w.hash[at]), "id": ids[doc], "key": keys[doc],
+                "span": w.pos[at] << 8 | 1}
     return emit
 
 
+FOUND = "m long, path long, id long, key long, span long"
+
+
 def _finish(batches):
     """Removes the given spans and what a document repeats itself."""
     for batch in batches:
@@ -192,31 +201,33 @@ def _finish(batches):
                 ["key", "n_words", "n_removed", "kept", "removed", "kept_sha256"])
 
 
+def _earlier(places: DataFrame, first: DataFrame) -> DataFrame:
+    """id, key, span of the places whose (m, path) an earlier document has."""
+    return places.join(first, ["m", "path"]).where("source < id").select("id", "key", "span")
+
+
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """id, key, spans (array of packed long: first window << 8 | windows) that an earlier document has, from rows of
     (id, key, text)."""
     spark = rows.sparkSession
+    rows = rows.select("id", "key", F.xxhash64("id").alias("mark"), "text")
     seen = rows.mapInArrow(_scan(_emit_minimisers), "hash long")
     repeated = store(seen.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
     table = hash_filter(repeated)
     drop(repeated)
-    none = "id long, key long, spans array<long>"
     if table is None:
-        return spark.createDataFrame([], none)
-    runs = store(rows.mapInArrow(_scan(_emit_runs(spark.sparkContext.broadcast(table))),
-                                 "m long, a long, b long, n int, id long, key long, pos long"))
-    path = ["m", "a", "b", "n"]
-    paths = store(runs.groupBy(*path).agg(F.min("id").alias("source"), F.count("*").alias("copies")))
-    branching = paths.groupBy("m").agg(F.count("*").alias("paths")).where("paths > 1").select(F.col("m").alias("hash"))
-    found = runs.join(paths.where("copies > 1").select(*path, "source"), path).where("source < id").select(
-        "id", "key", (F.shiftleft("pos", 8) + F.col("n")).alias("span"))
-    table = hash_filter(store(branching))
+        return spark.createDataFrame([], "id long, key long, spans array<long>")
+    runs = store(rows.mapInArrow(_scan(_emit_runs(spark.sparkContext.broadcast(table))), FOUND))
+    paths = store(runs.groupBy("m", "path").agg(F.min("id").alias("source"), F.count("*").alias("copies")))
+    found = _earlier(runs, paths.where("copies > 1").drop("copies"))
+    branching = paths.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
+    undecided = store(paths.join(branching, "m").select(F.col("path").bitwiseXOR(F.xxhash64("source")).alias("hash")))
+    table = hash_filter(undecided)
+    drop(undecided)
     if table is not None:
-        edges = store(rows.mapInArrow(_scan(_emit_edges(spark.sparkContext.broadcast(table))),
-                                      "m long, a long, id long, key long, pos long"))
-        first = edges.groupBy("m", "a").agg(F.min("id").alias("source"), F.count("*").alias("copies"))
-        found = found.unionByName(edges.join(first.where("copies > 1"), ["m", "a"]).where("source < id").select(
-            "id", "key", (F.shiftleft("pos", 8) + 1).alias("span")))
+        edges = store(rows.mapInArrow(_scan(_emit_edges(spark.sparkContext.broadcast(table))), FOUND))
+        first = edges.groupBy("m", "path").agg(F.min("id").alias("source"), F.count("*").alias("copies")).where("copies > 1")
+        found = found.unionByName(_earlier(edges, first.drop("copies")))
     return found.groupBy("id", "key").agg(F.collect_list("span").alias("spans"))
 
 
