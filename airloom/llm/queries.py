@@ -63,7 +63,7 @@ x AS (SELECT k, list(j) AS gone FROM g GROUP BY k)
 SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
        sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, i: NOT list_contains(gone, i)) END, ' '))
          AS kept_sha256
-FROM d LEFT JOIN x USING (k)""".replace("\\\\", "\\"))
+FROM d LEFT JOIN x USING (k)""")
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from .substring_dedup import dedup_spans
 
