@@ -125,6 +125,36 @@ def test_classes_edges(spark):
     assert [r.doc_id for r in kept] == [None]
 
 
+def test_links_inside_a_crowd_without_its_original(spark):
+    """Hundreds of texts share their buckets with each other, and only a few pairs of them are similar."""
+    rng = random.Random(5)
+    parts = [sentence(rng, 8, 10 ** 6) for _ in range(40)]
+    rows = [" ".join(parts[i] for i in sorted(rng.sample(range(40), 32))) for _ in range(500)]
+    labelled = [N.shingles(t) for t in rows]
+    number = {h: i for i, h in enumerate(sorted({h for x in labelled for h in x.tolist()}))}
+    held = np.zeros((len(rows), len(number)), np.float32)
+    for i, x in enumerate(labelled):
+        held[i, [number[h] for h in x.tolist()]] = 1
+    both, n = held @ held.T, held.sum(1)
+    near = np.argwhere(np.triu(both / (n[:, None] + n - both), 1) >= 0.8 - 1e-6)  # an alignment has no more than both hold
+    least = list(range(len(rows)))
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    links = 0
+    for i, j in near.tolist():
+        if N.aligned(labelled[i], labelled[j]) >= 0.8:
+            links += 1
+            least[max(find(i), find(j))] = min(find(i), find(j))
+    want = {i: find(i) for i in range(len(rows))}
+    assert links > 3 and len(set(want.values())) > 400, (links, len(set(want.values())))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in N.classes(df).collect()} == want
+
+
 def test_alignment():
     rng = random.Random(9)
     a = sentence(rng, 400, 9000)
