@@ -190,3 +190,77 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     from corpus_pipeline import run
 
     return run(spark, folder).drop("ids")
+
+
+@query()
+def op11_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    from .cross_polytope import nearest_neighbours
+
+    rows = read(spark, folder, "embeddings")
+    return nearest_neighbours(rows.where("vec_id % 20 = 0"), rows, k=20)
+
+
+@query(r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h,
+                  regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t FROM documents),
+u AS (SELECT *, len(t) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(t) + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (len(t) + 1) AS c2,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                       OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+                  WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT doc_id, n, form, text, array_to_string(t[1:least(c1, c2)], '') AS prefix,
+             array_to_string(t[least(c1, c2) + 1:greatest(c1, c2)], '') AS middle, array_to_string(t[greatest(c1, c2) + 1:], '') AS suffix FROM u)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM p""")
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    from .piece_table import fill_in_middle, restore
+
+    made = fill_in_middle(read(spark, folder, "documents"))
+    facts = ("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256")
+    return restore(made, keep=facts).select(*facts, "restored_sha256")
+
+
+def _sql_runs(levels: int) -> str:
+    """Factors of 1, 2, 4, ... words, named by pairs; of each level the neighbouring places whose next occurrence is the
+    same distance on, where the distance is above half the level's length and at most all of it."""
+    out = ["l0 AS (SELECT k, i, min(i) OVER (PARTITION BY k, v) AS name FROM words QUALIFY count(*) OVER (PARTITION BY k, v) > 1)"]
+    for level in range(levels):
+        length = 1 << level
+        out.append(f"""g{level} AS (SELECT k, min(i) AS s, max(i) + any_value(d) + {length} - min(i) AS n, any_value(d) AS q FROM (
+  SELECT k, i, d, i - row_number() OVER (PARTITION BY k, d ORDER BY i) AS island FROM (
+    SELECT k, i, lead(i) OVER (PARTITION BY k, name ORDER BY i) - i AS d FROM l{level}) WHERE d <= {length} AND 2 * d > {length}) GROUP BY k, d, island)""")
+        if level + 1 < levels:
+            out.append(f"""l{level + 1} AS (SELECT k, i, min(i) OVER (PARTITION BY k, x, y) AS name FROM (
+  SELECT a.k, a.i, a.name AS x, b.name AS y FROM l{level} a JOIN l{level} b ON a.k = b.k AND b.i = a.i + {length})
+  QUALIFY count(*) OVER (PARTITION BY k, x, y) > 1)""")
+    every = " UNION ALL ".join(f"SELECT * FROM g{level}" for level in range(levels))
+    return ",\n".join(out) + f",\nr AS MATERIALIZED (SELECT k, s, n, q FROM ({every}) WHERE n >= greatest(6, 4 * q))"
+
+
+
+# CRC-32 of the decimal id, bit by bit.
+SQL_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+  lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+
+@query(rf"""
+WITH h AS (SELECT row_number() OVER () AS k, doc_id, {SQL_CRC32} AS h,
+                  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS o FROM documents),
+a AS (SELECT *, h // 10 AS g, len(o) AS n, CASE WHEN h % 10 = 0 AND len(o) > 0 THEN (h // 10) % len(o) END AS a FROM h),
+d AS MATERIALIZED (SELECT k, doc_id, n, CASE WHEN a IS NULL THEN o ELSE list_concat(o[1:a],
+         list_transform(range(a, n), lambda i: o[1 + a + (i - a) % (1 + (n - a) // (3 + g % 8))])) END AS w FROM a),
+words AS MATERIALIZED (SELECT k, unnest(w) AS v, generate_subscripts(w, 1) - 1 AS i FROM d),
+{_sql_runs(18)},
+x AS (SELECT k, count(*) AS n_runs, arg_min({{'s': s, 'n': n, 'q': q}}, (-n, s, q)) AS top,
+             sha256(string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q)) AS runs_sha256 FROM r GROUP BY k),
+y AS (SELECT k, list(DISTINCT j) AS gone FROM (SELECT k, unnest(range(s + q, s + n)) AS j FROM r) GROUP BY k)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.n AS length, top.q AS period, 1000 * top.n // top.q AS exponent_milli,
+       coalesce(runs_sha256, sha256('')) AS runs_sha256,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda z, i: NOT list_contains(gone, i - 1)) END, ' ')) AS collapsed_sha256
+FROM d LEFT JOIN x USING (k) LEFT JOIN y USING (k)""")
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    from .periodic_runs import digests, periodic_runs, with_repetition
+
+    return digests(periodic_runs(with_repetition(read(spark, folder, "documents"))))
