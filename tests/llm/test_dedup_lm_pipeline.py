@@ -155,6 +155,68 @@ def test_links_inside_a_crowd_without_its_original(spark):
     assert {r.doc_id: r.class_id for r in N.classes(df).collect()} == want
 
 
+def crowd(rng, n):
+    """Texts made from one that is not among them, by three to nine edits."""
+    base = sentence(rng, 150, 10 ** 6)
+    return [edited(rng, base, rng.randrange(3, 10)) for _ in range(n)]
+
+
+def overlaps(rows):
+    labelled = [N.shingles(t) for t in rows]
+    number = {}
+    held = np.zeros((len(rows), len({h for x in labelled for h in x.tolist()})), np.float32)
+    for i, x in enumerate(labelled):
+        held[i, [number.setdefault(h, len(number)) for h in x.tolist()]] = 1
+    both, n = held @ held.T, held.sum(1)
+    return labelled, both / (n[:, None] + n - both)
+
+
+def test_crowds_are_split_again(spark, monkeypatch):
+    """Large buckets of loosely similar texts: links are found, nothing else is linked, and only pairs near the threshold
+    are aligned."""
+    monkeypatch.setattr(N, "LARGE", 48)
+    compared, plain = [], N._compared
+
+    def counted(pairs, texts, threshold):
+        compared.append(pairs.count())
+        return plain(pairs, texts, threshold)
+
+    monkeypatch.setattr(N, "_compared", counted)
+    rows = crowd(random.Random(12), 500)
+    labelled, share = overlaps(rows)
+    links = [(i, j) for i, j in np.argwhere(np.triu(share, 1) >= 0.8 - 1e-6).tolist() if N.aligned(labelled[i], labelled[j]) >= 0.8]
+    least = list(range(len(rows)))
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for i, j in links:
+        least[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r.doc_id: r.class_id for r in N.classes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert len(links) > 30 and all(find(i) == find(c) for i, c in got.items())
+    assert np.mean([got[i] == got[j] for i, j in links]) >= 0.98
+    close = int((np.triu(share, 1) >= 0.7).sum())
+    assert sum(compared) <= 3 * len(rows) + close < len(rows) ** 2 / 8, (compared, close)
+
+
+def test_bits_estimate_the_overlap():
+    rng = random.Random(13)
+    rows = crowd(rng, 60)
+    labelled, share = overlaps(rows)
+    signs = [N.bits(x) for x in labelled]
+    agree = np.array([[N.BITS - sum(int(w).bit_count() for w in (a ^ b).view(np.uint64).tolist()) for b in signs] for a in signs])
+    off = agree / N.BITS - (1 + share) / 2
+    assert abs(off[np.triu_indices(60, 1)].mean()) < 0.01 and np.abs(off).max() < 0.07
+    assert (agree[share >= 0.8] >= N.least_agreement(0.8)).all() and N.least_agreement(0.8) < 0.9 * N.BITS
+
+
+def test_kept_rows_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "x"), (2, "a b", 8, "y")], "doc_id long, text string, _node int, key string")
+    assert [tuple(r) for r in N.keep_first(df).collect()] == [(1, "a b", 7, "x")]
+
+
 def test_alignment():
     rng = random.Random(9)
     a = sentence(rng, 400, 9000)
