@@ -158,6 +158,26 @@ def forecast_series(hourly: DataFrame, keys: list[str] = ("parameter",), horizon
         F.array(*points).alias("points"))
 
 
+def sparkline_points(values: DataFrame, keys: list[str] = (), horizon: int = 3) -> DataFrame:
+    """keys, parameter, label, hour_offset, value, lower, upper: the value now (its own bounds) and the hours ahead, from
+    ``forecast_values``."""
+    diurnal = F.col("n") >= SMOOTHED
+    points = [F.struct(F.lit("Now").alias("label"), F.lit(0).alias("hour_offset"), F.col("v1").alias("value"), F.col("v1").alias("lower"), F.col("v1").alias("upper"))]
+    for h in range(1, horizon + 1):
+        half = F.lit(K.CI_Z) * F.col("spread") * F.sqrt(F.lit(h - 1) + F.when(diurnal, 1.0).otherwise(1.5))
+        points.append(F.struct(F.lit(f"+{h}h").alias("label"), F.lit(h).alias("hour_offset"), F.col(f"p{h}").alias("value"),
+                               F.greatest(F.col(f"p{h}") - half, F.lit(0.0)).alias("lower"), F.least(F.col(f"p{h}") + half, F.col("top")).alias("upper")))
+    return values.select(*keys, "parameter", F.inline_outer(F.array(*points)))
+
+
+def chart_points(current: DataFrame, hours: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """keys, hour_offset, label, aqi, lower, upper, category, colour: the index now, then ``forecast_index`` rows."""
+    now = current.select(*keys, F.lit(0).alias("hour_offset"), "aqi", F.col("aqi").alias("lower"), F.col("aqi").alias("upper"))
+    both = now.unionByName(hours.select(*keys, "hour_offset", "aqi", "lower", "upper"))
+    label = F.when(F.col("hour_offset") == 0, "Now").otherwise(F.concat(F.lit("+"), F.col("hour_offset").cast("string"), F.lit("h")))
+    return both.select(*keys, "hour_offset", label.alias("label"), "aqi", "lower", "upper", I.band(F.col("aqi")).alias("category"), I.band_colour(I.band(F.col("aqi"))).alias("colour"))
+
+
 def forecast_index(forecasts: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Per hour ahead: the index of the forecast values, its bounds and the mean confidence.
 

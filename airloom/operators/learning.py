@@ -4,14 +4,14 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as K
 from ..functions import numeric as N
-from . import timeseries as TS
+from . import kmeans, timeseries as TS
+from .kmeans import KMeansModel
 from .bounds import broadcast_if_small
 from .quantiles import exact_quantiles
 
@@ -77,28 +77,16 @@ def mean_absolute(contributions: DataFrame, columns: list[str]) -> DataFrame:
 
 # --- Regimes ------------------------------------------------------------------------------
 
-def fit_regimes(profile: DataFrame, inputs: list[str] = PROFILE, k: int = 3, seed: int = 42) -> PipelineModel:
-    from pyspark.ml import Pipeline
-
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=inputs, outputCol="_raw", handleInvalid="skip"),
-        StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True),
-        KMeans(featuresCol="_scaled", predictionCol="_cluster", k=k, seed=seed, maxIter=50),
-    ]).fit(profile)
-
-
-def regime_order(model: PipelineModel, level: str = "aqi_mean", inputs: list[str] = PROFILE) -> Column:
-    """Cluster number -> regime number, by rising level of the cluster centre (cluster numbers are arbitrary)."""
-    centres = model.stages[-1].clusterCenters()  # k small vectors
-    i = inputs.index(level)
-    order = sorted(range(len(centres)), key=lambda c: centres[c][i])
-    pairs = [F.lit(x) for rank, c in enumerate(order) for x in (c, rank)]
-    return F.create_map(*pairs)[F.col("_cluster")]
+def fit_regimes(profile: DataFrame, inputs: list[str] = PROFILE, k: int = 3, seed: int = 42, starts: int = 10) -> KMeansModel:
+    """The best of ``starts`` clusterings of the daily profiles."""
+    return kmeans.fit(profile, inputs, k, starts, seed)
 
 
-def daily_regimes(profile: DataFrame, model: PipelineModel, series: list[str], level: str = "aqi_mean",
-                  inputs: list[str] = PROFILE) -> DataFrame:
-    return model.transform(profile).select(*series, "ts", regime_order(model, level, inputs).alias("regime"))
+def daily_regimes(profile: DataFrame, model: KMeansModel, series: list[str], level: str = "aqi_mean") -> DataFrame:
+    """Regime of each day, numbered by rising level of the cluster centre (cluster numbers are arbitrary)."""
+    ranks = F.array(*[F.lit(r) for r in model.by_level(level)])
+    days = profile.withColumn("_cluster", model.nearest()).where(F.col("_cluster").isNotNull())
+    return days.select(*series, "ts", ranks[F.col("_cluster")].alias("regime"))
 
 
 def assign_regimes(hourly: DataFrame, daily: DataFrame, series: list[str]) -> DataFrame:
@@ -122,13 +110,15 @@ def fit_trees(train: DataFrame, val: DataFrame, features: list[str], target: str
 
 
 def tree_importances(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
-    """Impurity importance (Shapley values need a library that is not here), highest first."""
+    """Impurity importance, highest first (Shapley values: ``shapley``)."""
     return sorted(zip(features, model.stages[-1].featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
 
 
-def fit_by_regime(train: DataFrame, val: DataFrame, features: list[str], fallback: PipelineModel, regimes: int = 3,
-                  target: str = "aqi", min_train: int = 100, min_val: int = 20, **kw) -> dict[int, PipelineModel]:
-    """One model per regime; too few rows fall back to the global model."""
+def fit_by_regime(train: DataFrame, val: DataFrame, features: list[str], fallback, regimes: int = 3,
+                  target: str = "aqi", min_train: int = 100, min_val: int = 20, fit=None, **kw) -> dict:
+    """One model per regime; too few rows fall back to the global model. ``fit`` is called as ``fit_trees`` is, which it
+    is if none is given."""
+    fit = fit or fit_trees
     sizes = {
         name: {r["regime"]: r["count"] for r in df.groupBy("regime").count().collect()}  # one row per regime
         for name, df in (("train", train), ("val", val))
@@ -137,12 +127,16 @@ def fit_by_regime(train: DataFrame, val: DataFrame, features: list[str], fallbac
     for r in range(regimes):
         enough = sizes["train"].get(r, 0) >= min_train and sizes["val"].get(r, 0) >= min_val
         mine = F.col("regime") == r
-        out[r] = fit_trees(train.where(mine), val.where(mine), features, target, **kw) if enough else fallback
+        out[r] = fit(train.where(mine), val.where(mine), features, target, **kw) if enough else fallback
     return out
 
 
-def predict_by_regime(df: DataFrame, models: dict[int, PipelineModel]) -> DataFrame:
+def predict_by_regime(df: DataFrame, models: dict[int, PipelineModel], fallback=None) -> DataFrame:
+    """Every row with the prediction of its regime's model. Rows whose regime is NULL or has no model take the one of
+    ``fallback`` (the global model), or NULL without one."""
     parts = [m.transform(df.where(F.col("regime") == r)).drop("_x") for r, m in models.items()]
+    rest = df.where(F.col("regime").isNull() | ~F.col("regime").isin(list(models)))
+    parts.append(fallback.transform(rest).drop("_x") if fallback is not None else rest.withColumn("prediction", F.lit(None).cast("double")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

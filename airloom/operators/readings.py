@@ -1,10 +1,13 @@
 """Operators on long readings (parameter, value, unit, date_utc, location, seq)."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as K
 from ..functions import index as I
+from .bounds import top_k
 from .quantiles import exact_quantiles
 
 # Arrival order, used wherever the answer depends on "the first row".
@@ -157,3 +160,15 @@ def station_against_city(stations: DataFrame, city: DataFrame) -> DataFrame:
 def last_n(df: DataFrame, keys: list[str], n: int, ts: str = "date_utc", rank: str = "_rn") -> DataFrame:
     w = W.partitionBy(*keys).orderBy(F.col(ts).desc())
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
+
+
+def decayed_by_key(df: DataFrame, keys: list[str], value: str, ties: list[str], ratio: float = 0.9) -> DataFrame:
+    """``decayed``: mean of all values of a key, highest first, with weights ratio^0, ratio^1, ...
+
+    From some rank on a weight is 0 as a double; a task sends a key's values up to there only, which leaves nothing out.
+    NULL values take no part.
+    """
+    ranks = math.ceil(math.log(5e-324) / math.log(ratio)) + 1
+    best = top_k(df.where(F.col(value).isNotNull()).select(*keys, *ties, value), keys, [F.col(value).desc(), *ties], ranks, "_rank")
+    weight = F.pow(F.lit(ratio), F.col("_rank") - 1)
+    return best.groupBy(*keys).agg((F.sum(F.col(value) * weight) / (F.sum(weight) + 1e-9)).alias("decayed"))

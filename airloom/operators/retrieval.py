@@ -19,9 +19,15 @@ SCORE_DIGITS = 9  # scores are rounded before ranking so that summation order ca
 
 # --- Keyword index ------------------------------------------------------------------------
 
+def _words(pattern: Column | None = None) -> Column:
+    """Words of the text; a NULL text has none, but counts as a document."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return T.tokens(text) if pattern is None else F.regexp_extract_all(F.lower(text), pattern, F.lit(0))
+
+
 def term_counts(docs: DataFrame, pattern: Column | None = None) -> DataFrame:
     """(doc_id, token, tf, dl). Co-located by doc_id, so later aggregates by (doc_id, ...) need no further shuffle."""
-    words = T.tokens(F.col("text")) if pattern is None else F.regexp_extract_all(F.lower("text"), pattern, F.lit(0))
+    words = _words(pattern)
     rows = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", words.alias("w"))
     # Outer generators throughout: the plain ones add a filter on the array, which would tokenize every text twice.
     rows = rows.select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("token")).where("token IS NOT NULL")
@@ -33,7 +39,7 @@ def term_stats(docs: DataFrame, pattern: Column | None = None) -> DataFrame:
 
     Each document contributes one marker row, so one combinable aggregate yields the per-term and the corpus figures.
     """
-    words = T.tokens(F.col("text")) if pattern is None else F.regexp_extract_all(F.lower("text"), pattern, F.lit(0))
+    words = _words(pattern)
 
     def mark(array, d, c):
         return F.transform(array, lambda t: F.struct(t.alias("token"), F.lit(d).alias("d"), F.lit(c).alias("c")))
@@ -49,7 +55,7 @@ def document_frequency(docs: DataFrame, wanted: DataFrame | None = None) -> Data
 
     ``wanted``: (token) to keep, the corpus row included; other words are dropped before the shuffle.
     """
-    words = T.tokens(F.col("text"))
+    words = _words()
     rows = docs.select(words.alias("w")).select(
         F.size("w").alias("dl"), F.explode_outer(F.concat(F.array(F.lit("")), F.array_distinct("w"))).alias("token"))
     if wanted is not None:
@@ -92,7 +98,7 @@ def _query_matrix(weights: DataFrame) -> tuple[dict[str, int], list[int], np.nda
 
 
 def _token_rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", T.tokens(F.col("text")).alias("w"))
+    return docs.select("doc_id", _words().alias("w"))
 
 
 def _matrix_top_k(terms: DataFrame, at: dict[str, int], ids: list[int], matrix: np.ndarray, k: int) -> DataFrame:
@@ -406,7 +412,24 @@ def cache_stats(lookups: DataFrame) -> DataFrame:
 
 
 def cache_merge(cache: DataFrame, fresh: DataFrame, max_size: int | None = None) -> DataFrame:
-    """Newest embedding per key. Both: (key, embedding, used_at). With ``max_size`` only the most recently used keys."""
+    """Newest embedding per key (rows without one only count as a use). Both: (key, embedding, used_at). With ``max_size``
+    only the most recently used keys."""
     both = cache.unionByName(fresh).groupBy("key").agg(
-        F.max_by("embedding", "used_at").alias("embedding"), F.max("used_at").alias("used_at"))
-    return both if max_size is None else both.orderBy(F.col("used_at").desc(), "key").limit(max_size)
+        F.max_by(F.col("embedding"), F.when(F.col("embedding").isNotNull(), F.col("used_at"))).alias("embedding"), F.max("used_at").alias("used_at"))
+    return both if max_size is None else keep_first_rows(both, max_size, [F.col("used_at").desc_nulls_last(), F.col("key")])
+
+
+def keep_first_rows(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """The first ``n`` rows in an order that ends in a unique column. Rows are dealt out by ranges of the order; the driver
+    sees the ranges' sizes only, and the rows of the one range that ``n`` falls into are numbered."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = cut_lineage(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    left, whole = n, []
+    for r in sorted(ranged.groupBy("_range").count().collect()):
+        if r["count"] > left:
+            number = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+            part = ranged.where(F.col("_range") == r["_range"]).withColumn("_n", number).where(F.col("_n") <= left).drop("_n")
+            return ranged.where(F.col("_range").isin(whole)).unionByName(part).drop("_range") if whole else part.drop("_range")
+        left -= r["count"]
+        whole.append(r["_range"])
+    return ranged.drop("_range")

@@ -1,6 +1,6 @@
 """End-to-end flows and the query catalogue."""
 
-QUERY_MODULES = ["index_queries", "series_queries", "text_queries", "source_queries"]
+QUERY_MODULES = ["index_queries", "series_queries", "text_queries", "source_queries", "model_queries", "store_queries"]
 
 
 def load_catalog():

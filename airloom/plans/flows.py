@@ -1,7 +1,7 @@
 """End-to-end flows, composed from the operators."""
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -94,13 +94,13 @@ def train(history: DataFrame, series: list[str], train_until: str = "2023-01-01"
     regimes = L.fit_regimes(TS.daily_profile(parts[0], series, means=means), inputs)
     tr, va, te = (
         cut_lineage(L.assign_regimes(
-            p, L.daily_regimes(TS.daily_profile(p, series, means=means), regimes, series, inputs=inputs), series))
+            p, L.daily_regimes(TS.daily_profile(p, series, means=means), regimes, series), series))
         for p in parts)
     whole = L.fit_trees(tr, va, names, **tree)
     by_regime = L.fit_by_regime(tr, va, names, whole, **tree)
     scored = {
         "Persistence": te.withColumn("prediction", F.col("aqi_lag1")), "Trees_Global": whole.transform(te),
-        "Trees_Regime": L.predict_by_regime(te, by_regime)}
+        "Trees_Regime": L.predict_by_regime(te, by_regime, whole)}
     one = None
     for name, df in scored.items():
         m = L.regression_metrics(df, "aqi", "prediction").withColumn("model", F.lit(name))
@@ -114,7 +114,7 @@ def train(history: DataFrame, series: list[str], train_until: str = "2023-01-01"
         "features": spark.createDataFrame([(n,) for n in names], "feature string")}
     if path:
         whole.write().overwrite().save(f"{path}/model")
-        regimes.write().overwrite().save(f"{path}/regimes")
+        spark.createDataFrame([asdict(regimes)]).write.mode("overwrite").json(f"{path}/regimes")
         for r, m in by_regime.items():
             m.write().overwrite().save(f"{path}/regime_models/{r}")
         for name, df in out.items():

@@ -62,17 +62,28 @@ def prj_unit_convert(spark, sf):
     return readings(spark, sf).select("seq", "parameter", near(I.to_index_unit(F.col("parameter"), F.col("value"), F.col("unit")), 6).alias("concentration"))
 
 
+def _shown(x, digits: int):
+    """Whether a number is not within a millionth of half a step, where engines may round it to different sides."""
+    step = F.lit(10.0 ** digits)
+    return F.abs(F.abs(x * step) % 1 - 0.5) > 1e-6
+
+
+def _shown_sql(x: str, digits: int) -> str:
+    return f"abs(abs({x} * {10 ** digits}::DOUBLE) % 1 - 0.5) > 1e-6"
+
+
 @query("prj_display_value", f"""WITH {S.READINGS}
 SELECT seq, CASE WHEN parameter = 'co' THEN 'mg/m³' ELSE 'µg/m³' END AS shown_unit,
-       abs(round(shown - c, 0)) AS gap
-FROM (SELECT *, CASE WHEN parameter = 'co' THEN round_even(c, 2) ELSE round_even(c, 1) END AS shown
-      FROM (SELECT *, {S.index_unit()} AS c FROM readings))""")
+       CASE WHEN parameter = 'co' THEN CASE WHEN {_shown_sql("c", 2)} THEN round_even(c, 2) END
+            WHEN {_shown_sql("c", 1)} THEN round_even(c, 1) END AS shown
+FROM (SELECT *, {S.index_unit()} AS c FROM readings)""")
 def prj_display_value(spark, sf):
-    # The last shown digit may differ between engines on exact halves, so the check is on the unit and the magnitude.
     r = readings(spark, sf)
-    c = I.to_index_unit(F.col("parameter"), F.col("value"), F.col("unit"))
-    return r.select("seq", I.display_unit(F.col("parameter")).alias("shown_unit"),
-                    F.abs(F.round(I.display_value(F.col("parameter"), F.col("value"), F.col("unit")) - c, 0)).alias("gap"))
+    p = F.col("parameter")
+    c = I.to_index_unit(p, F.col("value"), F.col("unit"))
+    sure = F.when(p == "co", _shown(c, 2)).otherwise(_shown(c, 1))
+    return r.select("seq", I.display_unit(p).alias("shown_unit"),
+                    F.when(sure, I.display_value(p, F.col("value"), F.col("unit"))).alias("shown"))
 
 
 @query("prj_sub_index", f"""WITH {S.READINGS}
@@ -156,11 +167,15 @@ def prj_uncertainty_band(spark, sf):
     return rows.select("event_id", "hour_offset", near(low, 6).alias("lower"), near(high, 6).alias("upper"))
 
 
-@query("prj_limit_ratios", """SELECT event_id, round(value / 22 + 1e-9, 4) AS cigarettes, round(value / 15 + 1e-9, 4) AS who_ratio, round(least(value / 500 * 100, 100) + 1e-9, 6) AS bar_pct, round(1 / (1 + exp(-(value - 50) / 10)) + 1e-9, 6) AS logistic FROM events""")
+@query("prj_limit_ratios", f"""SELECT event_id, CASE WHEN {_shown_sql("value / 22", 1)} THEN round_even(value / 22, 1) END AS cigarettes,
+  CASE WHEN value <> 0 AND {_shown_sql("value / 15", 1)} THEN round_even(value / 15, 1) END AS who_ratio,
+  round(least(value / 500 * 100, 100) + 1e-9, 6) AS bar_pct, round(1 / (1 + exp(-(value - 50) / 10)) + 1e-9, 6) AS logistic FROM events""")
 def prj_limit_ratios(spark, sf):
+    v = F.col("value")
     return table(spark, sf, "events").select(
-        "event_id", near(F.col("value") / K.CIGARETTE_PM25, 4).alias("cigarettes"), near(F.try_divide(F.col("value"), F.lit(15.0)), 4).alias("who_ratio"),
-        near(I.bar_percent(F.col("value")), 6).alias("bar_pct"), near(N.sigmoid((F.col("value") - 50) / 10.0), 6).alias("logistic"))
+        "event_id", F.when(_shown(v / K.CIGARETTE_PM25, 1), I.cigarettes_per_day(v)).alias("cigarettes"),
+        F.when(_shown(v / 15.0, 1), I.who_ratio(v, I.who_limit(F.lit("pm25")))).alias("who_ratio"),
+        near(I.bar_percent(v), 6).alias("bar_pct"), near(N.sigmoid((v - 50) / 10.0), 6).alias("logistic"))
 
 
 @query("agg_latest_per_key", f"""WITH {S.LATEST} SELECT parameter, location, value, unit, date_utc FROM latest""")
@@ -355,15 +370,19 @@ def viz_gauge_bands(spark, sf):
 
 @query("snapshot_rows", f"""WITH {S.HOURLY},
 c AS (SELECT parameter, median(value) AS value, arg_min(unit, date_utc) FILTER (unit IS NOT NULL) AS unit FROM hourly GROUP BY 1),
-i AS ({S.index_rows("c", "")})
-SELECT 'AQI' AS key, CAST(aqi AS VARCHAR) AS value FROM i UNION ALL SELECT 'AQI_category', category FROM i UNION ALL SELECT 'dominant_pollutant', dominant FROM i
-UNION ALL SELECT parameter || '_unit', CASE WHEN parameter = 'co' THEN 'mg/m³' ELSE 'µg/m³' END FROM c
-UNION ALL SELECT parameter || '_subindex', CAST(CAST(round_even({S.sub_index("v")}, 0) AS INTEGER) AS VARCHAR) FROM (SELECT *, {S.index_unit()} AS v FROM c)""")
+v AS (SELECT *, {S.index_unit()} AS v FROM c), i AS ({S.index_rows("c", "")}),
+rows AS (SELECT 'AQI' AS key, NULL AS value, aqi::DOUBLE AS number FROM i UNION ALL SELECT 'AQI_category', category, NULL FROM i UNION ALL SELECT 'dominant_pollutant', dominant, NULL FROM i
+  UNION ALL SELECT parameter || '_unit', CASE WHEN parameter = 'co' THEN 'mg/m³' ELSE 'µg/m³' END, NULL FROM c
+  UNION ALL SELECT parameter, NULL, CASE WHEN parameter = 'co' THEN round_even(v, 2) ELSE round_even(v, 1) END FROM v
+  UNION ALL SELECT 'cigarette_equivalent_per_day', NULL, round_even(value / 22, 1) FROM c WHERE parameter = 'pm25' AND value <> 0
+  UNION ALL SELECT parameter || '_subindex', NULL, round_even({S.sub_index("v")}, 0) FROM v)
+SELECT key, value, round(number + 1e-9, 4) AS number FROM rows""")
 def snapshot_rows(spark, sf):
+    """Every row of the snapshot; numbers as numbers, since engines write them differently."""
     c = R.city_concentrations(hourly(spark, sf), latest(spark, sf))
-    # Number formats differ between engines, so the check covers the index, the units and the sub-indices.
-    rows = R.snapshot(c, R.index_of(c, []))
-    return rows.where(~F.col("key").isin(K.POLLUTANTS + ["cigarette_equivalent_per_day"]))
+    number = F.col("value").try_cast("double")
+    return R.snapshot(c, R.index_of(c, [])).select(
+        "key", F.when(number.isNull(), F.col("value")).alias("value"), near(number, 4).alias("number"))
 
 
 @query("sql_functions", f"""WITH {S.READINGS}

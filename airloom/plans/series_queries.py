@@ -214,17 +214,29 @@ def agg_half_window_trend(spark, sf):
     return FC.with_recent_trend(s).select("location", "parameter", "trend")
 
 
-@query("agg_weighted_regression", f"""WITH {STATION_HOURLY},
-x AS (SELECT location, parameter, value, n, (n - rn)::DOUBLE AS x, exp(2.0::DOUBLE * (n - rn) / greatest(n - 1, 1)) AS w FROM k WHERE n BETWEEN 3 AND 5),
-m AS (SELECT location, parameter, sum(w * x) / sum(w) AS xm, sum(w * value) / sum(w) AS ym FROM x GROUP BY 1, 2)
-SELECT location, parameter, 'linear' AS method, max(n) AS n FROM x JOIN m USING (location, parameter) GROUP BY 1, 2""")
+def _line_sql() -> str:
+    steps, before = [], "v1"
+    for h in (1, 2, 3):
+        raw = f"(icept + slope * (n + {h - 1}))"
+        steps.append(f"l{h} AS (SELECT *, least(greatest(least(greatest({raw}, {before} - {before} * 0.12::DOUBLE), {before} + {before} * 0.12::DOUBLE), 0), top) AS p{h} FROM {'line' if h == 1 else f'l{h - 1}'})")
+        before = f"p{h}"
+    return f"""WITH {STATION_HOURLY},
+x AS (SELECT location, parameter, value, n, rn, (n - rn)::DOUBLE AS x, exp(2.0::DOUBLE * (n - rn) / greatest(n - 1, 1)) AS w FROM k WHERE n BETWEEN 3 AND 5),
+m AS (SELECT location, parameter, max(n) AS n, max(value) FILTER (rn = 1) AS v1, sum(w * x) / sum(w) AS xm, sum(w * value) / sum(w) AS ym FROM x GROUP BY 1, 2),
+s AS (SELECT location, parameter, CASE WHEN sum(w * (x - xm) * (x - xm)) > 0 THEN sum(w * (x - xm) * (value - ym)) / sum(w * (x - xm) * (x - xm)) ELSE 0 END AS slope FROM x JOIN m USING (location, parameter) GROUP BY 1, 2),
+line AS (SELECT *, ym - slope * xm AS icept, CASE parameter {" ".join(f"WHEN '{p}' THEN {v}" for p, v in K.PHYSICAL_MAX.items())} ELSE v1 * 3 END::DOUBLE AS top FROM m JOIN s USING (location, parameter)),
+{", ".join(steps)}
+SELECT location, parameter, n, {", ".join(f"round({c} + 1e-9, 4) AS {c}" for c in ("slope", "p1", "p2", "p3"))} FROM l3"""
+
+
+@query("agg_weighted_regression", _line_sql())
 def agg_weighted_regression(spark, sf):
-    """Series of three to five hours take the regression branch."""
-    f = FC.forecast_series(station_hourly(spark, sf), ["location", "parameter"])
-    return f.where("method = 'linear'").select("location", "parameter", "method", "n")
+    """Slope and forecasts of the series of three to five hours, which take the regression branch."""
+    f = FC.forecast_values(station_hourly(spark, sf), ["location", "parameter"]).where("n < 6")
+    return f.select("location", "parameter", "n", *[near(c, 4).alias(c) for c in ("slope", "p1", "p2", "p3")])
 
 
-def _forecast_sql() -> str:
+def _forecast_sql(final: str) -> str:
     prof = "[" + ", ".join(f"{x}::DOUBLE" for x in K.DIURNAL) + "]"
     mult = f"({prof})[CAST(hour(date_utc + INTERVAL '5 hours 30 minutes') AS INTEGER) + 1]"
     steps = []
@@ -247,11 +259,11 @@ b0 AS (SELECT location, parameter, max(n) AS n, median(flat) AS base, {", ".join
 b1 AS (SELECT r.location, r.parameter, stddev_pop(r.value - base * mult) AS spread FROM r JOIN b0 USING (location, parameter) GROUP BY 1, 2),
 base AS (SELECT *, CASE parameter WHEN 'pm25' THEN 999 WHEN 'pm10' THEN 999 WHEN 'no2' THEN 600 WHEN 'so2' THEN 800 WHEN 'co' THEN 50000 END::DOUBLE AS top FROM b0 JOIN b1 USING (location, parameter)),
 {", ".join(ctes)}
-SELECT location, parameter, h AS hour_offset, round(p, 3) AS value FROM (
-  SELECT location, parameter, 1 AS h, p1 + 1e-9 AS p FROM w3 UNION ALL SELECT location, parameter, 2, p2 + 1e-9 FROM w3 UNION ALL SELECT location, parameter, 3, p3 + 1e-9 FROM w3)"""
+{final}"""
 
 
-@query("fc_diurnal_forecast", _forecast_sql())
+@query("fc_diurnal_forecast", _forecast_sql("""SELECT location, parameter, h AS hour_offset, round(p, 3) AS value FROM (
+  SELECT location, parameter, 1 AS h, p1 + 1e-9 AS p FROM w3 UNION ALL SELECT location, parameter, 2, p2 + 1e-9 FROM w3 UNION ALL SELECT location, parameter, 3, p3 + 1e-9 FROM w3)"""))
 def fc_diurnal_forecast(spark, sf):
     """Unrounded diurnal forecasts of every station series with six hours and more."""
     s = FC.forecast_values(station_hourly(spark, sf), ["location", "parameter"])
@@ -259,6 +271,27 @@ def fc_diurnal_forecast(spark, sf):
         "location", "parameter", (F.col("h") + 1).alias("hour_offset"), near("v", 3).alias("value"))
 
 
+def _spark_half(h: int) -> str:
+    return f"{K.CI_Z}::DOUBLE * spread * sqrt({h}::DOUBLE)"
+
+
+@query("viz_sparklines", _forecast_sql(f"""SELECT location, parameter, label, hour_offset, round(value + 1e-9, 3) AS value, round(lower + 1e-9, 3) AS lower, round(upper + 1e-9, 3) AS upper FROM (
+  SELECT location, parameter, 'Now' AS label, 0 AS hour_offset, current AS value, current AS lower, current AS upper FROM w3 {" ".join(
+    f"UNION ALL SELECT location, parameter, '+{h}h', {h}, p{h}, greatest(p{h} - {_spark_half(h)}, 0), least(p{h} + {_spark_half(h)}, top) FROM w3" for h in (1, 2, 3))})"""))
+def viz_sparklines(spark, sf):
+    """Per station series of six hours and more: the value now and the hours ahead with their bounds."""
+    return FC.sparkline_points(FC.forecast_values(station_hourly(spark, sf), ["location", "parameter"]).where("n >= 6"), ["location"]).select(
+        "location", "parameter", "label", "hour_offset", *[near(c, 3).alias(c) for c in ("value", "lower", "upper")])
+
+
+@query("viz_forecast_chart")
+def viz_forecast_chart(spark, sf):
+    """The city's index now and for the hours ahead, with bounds, category and colour."""
+    h = hourly(spark, sf)
+    c = R.city_concentrations(h, latest(spark, sf))
+    return FC.chart_points(R.index_of(c, []), FC.forecast_index(FC.forecast_series(h)))
+
+
 @query("fc_series_forecast")
 def fc_series_forecast(spark, sf):
     """Points with bounds and confidence; checked against a plain Python fold in the tests."""

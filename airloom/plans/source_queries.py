@@ -3,9 +3,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..operators import learning as L
 from ..operators import readings as R
 from ..operators import timeseries as TS
 from ..session import configure
@@ -124,78 +123,6 @@ def src_hourly_window(spark, sf):
     return rows.select("date_utc", "parameter", near("value").alias("value"), "location")
 
 
-# --- Models (no SQL equivalent) -------------------------------------------------------------
-
-def _order_profile(spark, sf) -> DataFrame:
-    o = table(spark, sf, "orders").select("o_orderpriority", F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("price"))
-    p = TS.daily_profile(o, ["o_orderpriority"], "ts", "price", ())
-    return p
-
-
-PROFILE = ["price_mean", "price_std", "price_max", "price_min", "price_range"]
-
-
-@query("ml_regimes")
-def ml_regimes(spark, sf):
-    """Daily price profiles in three regimes, numbered by rising mean."""
-    p = _order_profile(spark, sf)
-    model = L.fit_regimes(p, PROFILE)
-    daily = L.daily_regimes(p, model, ["o_orderpriority"], "price_mean", PROFILE)
-    return daily.join(p, ["o_orderpriority", "ts"]).groupBy("regime").agg(
-        F.count(F.lit(1)).alias("days"), near(F.avg("price_mean"), 2).alias("mean"))
-
-
-MODEL_FEATURES = ["aqi_lag1", "aqi_lag2", "aqi_lag3", "aqi_lag24", "aqi_rmean3", "aqi_rmean24", "aqi_rstd24", "aqi_delta1",
-                  "hour_sin", "hour_cos", "dow_sin", "dow_cos", "is_weekend"]
-
-
-def _model_frame(spark, sf) -> DataFrame:
-    g = hourly(spark, sf).select("parameter", F.col("date_utc").alias("ts"), F.col("value").alias("aqi"))
-    g = TS.interpolate(TS.densify(g, ["parameter"]), ["parameter"], ["aqi"])
-    return TS.features(g, ["parameter"], lagged_delta=True).dropna(subset=["aqi", *MODEL_FEATURES])
-
-
-def _split(frame: DataFrame):
-    return TS.split_by_year(frame, "ts", "2024-01-20", "2024-01-25")
-
-
-@query("ml_model_comparison")
-def ml_model_comparison(spark, sf):
-    """Persistence against boosted trees on the last days, per parameter."""
-    f = _model_frame(spark, sf)
-    train, val, test = _split(f)
-    model = L.fit_trees(train, val, MODEL_FEATURES, depth=3, rounds=10)
-    trees = L.regression_metrics(model.transform(test).withColumnRenamed("prediction", "p"), "aqi", "p", ["parameter"])
-    naive = L.persistence_metrics(test, ["parameter"])
-    both = trees.withColumn("model", F.lit("trees")).unionByName(naive.withColumn("model", F.lit("persistence")))
-    return both.select("parameter", "model", *[near(c, 3).alias(c) for c in ("mae", "rmse", "r2", "spike_mae")], "rows")
-
-
-@query("ml_regime_router")
-def ml_regime_router(spark, sf):
-    """One model per regime with the global model behind it; metrics of the routed predictions."""
-    f = _model_frame(spark, sf)
-    daily = f.groupBy("parameter", F.date_trunc("day", "ts").alias("ts")).agg(F.avg("aqi").alias("m"))
-    third = F.ntile(2).over(W.partitionBy("parameter").orderBy("m", "ts")) - 1  # days of one parameter
-    f = L.assign_regimes(f, daily.select("parameter", "ts", third.alias("regime")), ["parameter"])
-    train, val, test = _split(f)
-    whole = L.fit_trees(train, val, MODEL_FEATURES, depth=3, rounds=5)
-    models = L.fit_by_regime(train, val, MODEL_FEATURES, whole, regimes=2, depth=3, rounds=5)
-    routed = L.predict_by_regime(test, models).withColumnRenamed("prediction", "p")
-    out = L.regression_metrics(routed, "aqi", "p", ["regime"])
-    return out.select("regime", near("mae", 3).alias("mae"), near("rmse", 3).alias("rmse"), "rows")
-
-
-@query("fc_recursive_metrics")
-def fc_recursive_metrics(spark, sf):
-    """Error of the recursive forecast by hour ahead, from evenly spaced origins of every series."""
-    f = _model_frame(spark, sf)
-    train, val, _ = _split(f)
-    model = L.fit_trees(train, val, MODEL_FEATURES, depth=3, rounds=5)
-    m = L.evaluate_recursive(f, model, MODEL_FEATURES, ["parameter"], horizon=6, points=60)
-    return m.select("hour_offset", near("mae", 3).alias("mae"), near("rmse", 3).alias("rmse"), "rows")
-
-
 # --- Streams --------------------------------------------------------------------------------
 
 def reading_stream(spark, sf) -> DataFrame:
@@ -206,12 +133,11 @@ def reading_stream(spark, sf) -> DataFrame:
                     F.col("ts").cast("timestamp").alias("date_utc"), F.col("user_id").cast("string").alias("location"), F.col("event_id").alias("seq"))
 
 
-@query("str_hourly_rollup", f"""WITH {S.READINGS}, w AS (SELECT max(date_utc) - INTERVAL 1 HOUR AS mark FROM readings),
-h AS (SELECT date_trunc('hour', date_utc) AS date_utc, parameter, round(avg(value) + 1e-9, 6) AS value, count(*) AS readings FROM readings GROUP BY 1, 2)
-SELECT h.* FROM h, w WHERE date_utc + INTERVAL 1 HOUR <= mark""")
+@query("str_hourly_rollup", f"""WITH {S.READINGS}
+SELECT date_trunc('hour', date_utc) AS date_utc, parameter, round(avg(value) + 1e-9, 6) AS value, count(*) AS readings FROM readings GROUP BY 1, 2""")
 def str_hourly_rollup(spark, sf):
-    """Hours closed by the watermark when the stream has read everything."""
-    out = sink.run_once(flows.hourly_rollup(reading_stream(spark, sf)), "append")
+    """Every hour of the drained stream, the ones that the watermark has not closed included."""
+    out = sink.run_whole(flows.hourly_rollup(reading_stream(spark, sf)), ["date_utc", "parameter"])
     return out.withColumn("value", near("value"))
 
 

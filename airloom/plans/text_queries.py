@@ -68,7 +68,15 @@ def txt_credibility(spark, sf):
     return p.select("doc_name", T.credibility(F.col("doc_name"), F.col("source_type")).alias("credibility"))
 
 
-INTENT_TEXT = "(CASE item_id % 8 WHEN 0 THEN 'What is the current AQI in Delhi? ' WHEN 1 THEN 'Is it safe to jog outside today? ' WHEN 2 THEN 'How has the air quality changed over the last decade? ' WHEN 3 THEN 'Compare AQI with WHO guidelines ' WHEN 4 THEN 'What is PM2.5 and why does it matter? ' WHEN 5 THEN 'What is the government doing about stubble burning? ' ELSE '' END || text)"
+HEADS = [
+    "Please show the live readings for our ward right now. ",
+    "Should asthma patients wear a mask this evening? ",
+    "Did winter smog grow between 2015 and 2023? ",
+    "Is PM10 higher in Mumbai versus Pune? ",
+    "Explain what ozone is and how it forms. ",
+    "Which regulation covers firecrackers? ",
+]
+INTENT_TEXT = "(CASE item_id % 8 " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(HEADS)) + " ELSE '' END || text)"
 _SCORES = "[" + ", ".join("1.5::DOUBLE * (" + " + ".join(S.count_matches("q", p) for p in pats) + ")" for _, pats in K.INTENTS) + "]"
 _NAMES = "[" + ", ".join(f"'{n}'" for n, _ in K.INTENTS) + "]"
 INTENT = f"""qs AS (SELECT item_id, {INTENT_TEXT} AS question, lower({INTENT_TEXT}) AS q FROM benchmark),
@@ -81,9 +89,7 @@ intents AS (SELECT item_id, question, CASE WHEN weak THEN 'general' ELSE name EN
 def asked(spark, sf) -> DataFrame:
     """Benchmark texts, most with a question in front."""
     m = F.col("query_id") % 8
-    heads = ["What is the current AQI in Delhi? ", "Is it safe to jog outside today? ", "How has the air quality changed over the last decade? ",
-             "Compare AQI with WHO guidelines ", "What is PM2.5 and why does it matter? ", "What is the government doing about stubble burning? "]
-    lead = F.coalesce(F.try_element_at(F.lit(heads), (m + 1).cast("int")), F.lit(""))
+    lead = F.coalesce(F.try_element_at(F.lit(HEADS), (m + 1).cast("int")), F.lit(""))
     return questions(spark, sf).withColumn("text", F.concat(lead, "text"))
 
 
@@ -419,32 +425,37 @@ p AS (SELECT case_id, answer, b.n, source, CASE WHEN b.n = 0 THEN 0.5::DOUBLE WH
      + CASE WHEN regexp_matches(answer, '\b\d+\.?\d*\b') THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN {_LINK} > 0 THEN 0.1::DOUBLE ELSE 0 END, 1) AS quality FROM b JOIN sq ON sq.n = b.n)"""
 
 
-@query("scr_confidence_composite", f"""WITH {CONF},
-c AS (SELECT *, 0.3::DOUBLE * source + 0.25::DOUBLE * citation + 0.25::DOUBLE * relevance + 0.2::DOUBLE * quality AS score FROM p)
+_INTENTS = list(K.CONFIDENCE_WEIGHTS)
+_W = [f"(CASE conv_id % 7 {' '.join(f'WHEN {i} THEN {K.CONFIDENCE_WEIGHTS[n][j]}' for i, n in enumerate(_INTENTS))} END)::DOUBLE" for j in range(4)]
+GRADED = f"""{CONF},
+c AS (SELECT p.*, {_W[0]} * source + {_W[1]} * citation + {_W[2]} * relevance + {_W[3]} * quality AS raw FROM p JOIN ex USING (case_id)),
+g AS (SELECT *, round_even(least(greatest(raw, 0), 1), 3) AS score, CASE WHEN raw >= 0.7 THEN 'high' WHEN raw >= 0.4 THEN 'medium' ELSE 'low' END AS grade FROM c)"""
+
+
+def _combined(spark, sf) -> DataFrame:
+    """Answers with their parts and the confidence under each of the seven intents in turn."""
+    s = _scored(spark, sf).withColumns(SC.confidence_parts(F.col("answer"), F.col("question"), F.col("chunks")))
+    names = ["source_quality", "citation_coverage", "relevance", "response_quality"]
+    intent = F.array(*[F.lit(n) for n in _INTENTS])[(F.col("conv_id") % 7).cast("int")]
+    return s.withColumn("c", SC.combine_confidence(*[F.col(x) for x in names], F.col("n_chunks"), intent))
+
+
+@query("scr_confidence_composite", f"""WITH {GRADED}
 SELECT case_id, round(source + 1e-9, 5) AS source_quality, round(citation + 1e-9, 5)::DOUBLE AS citation_coverage, round(relevance + 1e-9, 5) AS relevance, round(quality + 1e-9, 5) AS response_quality,
-  round(score + 1e-9, 5) AS score, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS grade FROM c""")
+  round(score + 1e-9, 5) AS score, grade FROM g""")
 def scr_confidence_composite(spark, sf):
-    s = _scored(spark, sf)
-    s = s.withColumns(SC.confidence_parts(F.col("answer"), F.col("question"), F.col("chunks")))
-    names = ["source_quality", "citation_coverage", "relevance", "response_quality"]
-    raw = 0.3 * F.col(names[0]) + 0.25 * F.col(names[1]) + 0.25 * F.col(names[2]) + 0.2 * F.col(names[3])
-    c = SC.combine_confidence(*[F.col(x) for x in names], F.col("n_chunks"), F.lit("factual"))
-    return s.select("case_id", *[near(x, 5).alias(x) for x in names], near(raw, 5).alias("score"), c["grade"].alias("grade"))
+    return _combined(spark, sf).select(
+        "case_id", *[near(x, 5).alias(x) for x in ("source_quality", "citation_coverage", "relevance", "response_quality")],
+        near(F.col("c.score"), 5).alias("score"), "c.grade")
 
 
-@query("scr_confidence_badges", f"""WITH {CONF},
-c AS (SELECT case_id, n, source, citation, relevance, 0.15::DOUBLE * source + 0.1::DOUBLE * citation + 0.35::DOUBLE * relevance + 0.4::DOUBLE * quality AS score FROM p)
-SELECT case_id, CASE WHEN score >= 0.7 THEN '[HIGH]' WHEN score >= 0.4 THEN '[MED]' ELSE '[LOW]' END AS badge, coalesce(nullif(concat_ws('; ',
+@query("scr_confidence_badges", f"""WITH {GRADED}
+SELECT case_id, CASE grade WHEN 'high' THEN '[HIGH]' WHEN 'medium' THEN '[MED]' ELSE '[LOW]' END || ' Confidence: ' || CAST(trunc(score * 100) AS INTEGER) || '% (' || grade || ')' AS badge, coalesce(nullif(concat_ws('; ',
   CASE WHEN source > 0.7 THEN 'Strong source material available' WHEN source < 0.3 THEN 'Limited source material' END,
   CASE WHEN citation > 0.6 THEN 'Well-cited response' WHEN citation < 0.2 AND n > 0 THEN 'Response lacks source citations' END,
-  CASE WHEN relevance > 0.6 THEN 'Directly addresses the query' WHEN relevance < 0.3 THEN 'Response may not fully address the query' END), ''), 'Standard confidence') AS explanation FROM c""")
+  CASE WHEN relevance > 0.6 THEN 'Directly addresses the query' WHEN relevance < 0.3 THEN 'Response may not fully address the query' END), ''), 'Standard confidence') AS explanation FROM g""")
 def scr_confidence_badges(spark, sf):
-    s = _scored(spark, sf).withColumns(SC.confidence_parts(F.col("answer"), F.col("question"), F.col("chunks")))
-    names = ["source_quality", "citation_coverage", "relevance", "response_quality"]
-    c = SC.combine_confidence(*[F.col(x) for x in names], F.col("n_chunks"), F.lit("general"))
-    s = s.withColumn("c", c)
-    return s.select("case_id", F.substring_index(SC.confidence_badge(F.col("c.score"), F.col("c.grade")), " ", 1).alias("badge"),
-                    F.col("c.explanation").alias("explanation"))
+    return _combined(spark, sf).select("case_id", SC.confidence_badge(F.col("c.score"), F.col("c.grade")).alias("badge"), "c.explanation")
 
 
 @query("scr_risk_rules", rf"""WITH {EXCH},
@@ -462,20 +473,23 @@ def scr_risk_rules(spark, sf):
 
 
 @query("agg_geometric_decay", """WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) - 1 AS i FROM events)
-SELECT user_id, round(sum(value * pow(0.9::DOUBLE, i)) / (sum(pow(0.9::DOUBLE, i)) + 1e-9) + 1e-9, 6) AS decayed FROM r WHERE i < 8 GROUP BY 1""")
+SELECT user_id, round(sum(value * pow(0.9::DOUBLE, i)) / (sum(pow(0.9::DOUBLE, i)) + 1e-9) + 1e-9, 6) AS decayed FROM r GROUP BY 1""")
 def agg_geometric_decay(spark, sf):
-    """Decayed mean of the eight highest values per user (as many as an answer has chunks)."""
-    from ..operators.bounds import top_k
+    """Decayed mean of all values of a user, highest first."""
+    from ..operators.readings import decayed_by_key
 
-    best = top_k(table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], [F.col("value").desc(), "event_id"], 8)
-    arr = best.groupBy("user_id").agg(F.collect_list("value").alias("s"))
-    return arr.select("user_id", near(SC.decayed_mean(F.col("s"))).alias("decayed"))
+    events = table(spark, sf, "events").select("user_id", "event_id", "value")
+    return decayed_by_key(events, ["user_id"], "value", ["event_id"]).select("user_id", near("decayed").alias("decayed"))
 
 
-@query("agg_eval_means", """SELECT round_even(avg(quality), 3) AS quality, round_even(avg(toxic), 3) AS toxic, round_even((round_even(avg(quality), 3) + round_even(avg(toxic), 3)) / 2, 3) AS overall FROM labels""")
+@query("agg_eval_means", "WITH m AS (SELECT " + ", ".join(
+    f"round_even(avg((event_id * {p}) % 1000 / 1000.0::DOUBLE), 3) AS {m}" for m, p in zip(EV.METRICS, (7, 11, 13, 17, 19))) + f""" FROM events)
+SELECT *, round_even(({" + ".join(EV.METRICS)}) / 5, 3) AS overall FROM m""")
 def agg_eval_means(spark, sf):
-    m = table(spark, sf, "labels").agg(F.bround(F.avg("quality"), 3).alias("quality"), F.bround(F.avg("toxic"), 3).alias("toxic"))
-    return m.withColumn("overall", F.bround((F.col("quality") + F.col("toxic")) / 2, 3))
+    """Means of five metrics per case, one case per event."""
+    cases = table(spark, sf, "events").select(*[
+        ((F.col("event_id") * p) % 1000 / F.lit(1000.0)).alias(m) for m, p in zip(EV.METRICS, (7, 11, 13, 17, 19))])
+    return EV.aggregate_metrics(cases)
 
 
 @query("join_left_semi_labels", "SELECT lang, count(*) AS docs FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1")
@@ -484,17 +498,27 @@ def join_left_semi_labels(spark, sf):
     return table(spark, sf, "documents").join(good, "doc_id", "left_semi").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query("txt_prompt_assembly", f"WITH {EXCH} SELECT case_id, '**My question:** ' || question AS head, 1::INTEGER AS refs FROM ex")
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+@query("txt_prompt_assembly", f"""WITH {EXCH}
+SELECT case_id, md5(array_to_string(['**My question:** ' || question, chr(10) || '*[Query intent: factual (conf=' || (50 + conv_id % 50) || '%)]*',
+  {_quoted(PR.LIVE_HEADER)}, '  • AQI: ' || conv_id, '  • pm25: 12.5', {_quoted(PR.SOURCES_HEADER)},
+  chr(10) || '[Ref 1] (notes | topic=general | relevance=0.50):' || chr(10) || substr(answer, 1, 1200),
+  chr(10) || '[Ref 2] (unknown):' || chr(10) || substr(question, 1, 1200), {_quoted(PR.GUIDANCE)}], chr(10))) AS prompt_md5 FROM ex""")
 def txt_prompt_assembly(spark, sf):
-    """Prompt with one excerpt per question; the check covers the head line and the number of excerpts."""
+    """The whole prompt: question, intent, live values, two excerpts (one without name, topic and score), guidance."""
     ex = exchanges(spark, sf)
-    chunk = F.array(F.struct(F.lit("notes").alias("doc_name"), F.lit("general").alias("topic"), F.lit(0.5).alias("final_score"),
-                             F.lit(None).cast("double").alias("rerank_score"), F.col("answer").alias("text")))
-    p = PR.build_prompt(F.regexp_replace("question", "\n", " "), chunk, F.create_map(F.lit("AQI"), F.lit("120")))
-    return ex.select("case_id", "question", p.alias("p")).select(
-        "case_id", F.concat(F.lit("**My question:** "), "question").alias("head"),
-        F.when(F.element_at(F.split("p", "\n"), 1) == F.concat(F.lit("**My question:** "), F.regexp_replace("question", "\n", " ")),
-               F.regexp_count("p", F.lit(r"\n\[Ref \d+\] \(notes"))).alias("refs"))
+    kind = "struct<doc_name:string,topic:string,final_score:double,rerank_score:double,text:string>"
+    none = F.lit(None)
+    chunks = F.array(
+        F.struct(F.lit("notes"), F.lit("general"), F.lit(0.5), none, F.col("answer")).cast(kind),
+        F.struct(none, none, none, none, F.col("question")).cast(kind))
+    p = PR.build_prompt(
+        F.col("question"), chunks, F.create_map(F.lit("pm25"), F.lit("12.5"), F.lit("AQI"), F.col("conv_id").cast("string")),
+        F.lit("factual"), (F.lit(50) + F.col("conv_id") % 50) / 100.0)
+    return ex.select("case_id", F.md5(p).alias("prompt_md5"))
 
 
 # --- Conversations --------------------------------------------------------------------------

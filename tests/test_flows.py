@@ -20,7 +20,7 @@ def test_dashboard(spark, small):
 def test_prompts_and_guard(spark, small):
     docs = documents_as_pages(spark, small).withColumns({
         "topic": T.topic(F.col("text")), "credibility_score": T.credibility(F.col("doc_name"), F.col("source_type"))})
-    qs = spark.createDataFrame([(1, "explain the formula and the with ouen"), (2, "Tell me a joke")], "query_id bigint, text string")
+    qs = spark.createDataFrame([(1, "explain the formula and the with ouen"), (2, "Sing a song")], "query_id bigint, text string")
     asked = flows.prompts(docs, qs)
     rows = {r.query_id: r for r in asked.collect()}
     assert len(rows[1].chunks) == 5 and "[Ref 5]" in rows[1].prompt and rows[2].intent == "general"

@@ -1,4 +1,6 @@
 import json
+import sys
+import types
 from datetime import datetime, timedelta
 
 import pytest
@@ -120,12 +122,32 @@ def test_station_csvs_bind_by_name_and_keep_their_station(spark, tmp_path):
     assert got == {"north": (1.0, 10.0), "south": (2.0, 20.0), "west": (None, 30.0)}
 
 
+def test_station_csv_names_and_layouts(spark, tmp_path):
+    for name in ("my station.csv", "50%.csv", "süd,1.csv"):
+        (tmp_path / name).write_text("\ufeffTimestamp,\"PM2.5 (µg/m³)\",AQI\n\n2024-01-01 00:10:00,\"1\",10\n2024-01-01 01:10:00,2\n", encoding="utf-8")
+    got = files.station_history(spark, str(tmp_path)).orderBy("station", "ts").collect()
+    assert [(r.station, r.pm25, r.aqi) for r in got] == [
+        (n, v, a) for n in ("50%", "my station", "süd,1") for v, a in ((1.0, 10.0), (2.0, None))]
+
+
+def test_damaged_pdf(spark, tmp_path, monkeypatch):
+    assert files._pages_of(b"plain") == [(1, "plain", "text", None)]
+    with pytest.raises(ImportError):  # no library in this environment
+        files._pages_of(b"%PDF-1.4 damaged")
+    broken = types.ModuleType("pypdf")
+    broken.PdfReader = lambda data: (_ for _ in ()).throw(ValueError("no trailer"))
+    monkeypatch.setitem(sys.modules, "pypdf", broken)
+    assert files._pages_of(b"%PDF-1.4 damaged") == [(None, None, "pdf", "ValueError: no trailer")]
+
+
 def test_pages_and_artifacts(spark, tmp_path):
     (tmp_path / "b.txt").write_text("second\nfile", encoding="utf-8")
     (tmp_path / "x.pdf").write_text("plain text named pdf", encoding="utf-8")
     (tmp_path / "y.pdf").write_bytes(b"\xff\xfe\xfa")
     rows = {r.doc_name: r for r in files.all_pages(spark, str(tmp_path)).collect()}
-    assert set(rows) == {"b.txt", "x.pdf"} and rows["b.txt"].text == "second\nfile" and rows["x.pdf"].source_type == "text"
+    assert set(rows) == {"b.txt", "x.pdf", "y.pdf"} and rows["b.txt"].text == "second\nfile" and rows["x.pdf"].source_type == "text"
+    assert rows["y.pdf"].text is None and rows["y.pdf"].page is None and "UnicodeDecodeError" in rows["y.pdf"].error
+    assert rows["b.txt"].error is None and rows["x.pdf"].error is None
     (tmp_path / "imp.json").write_text('{"aqi_lag1": 2.5,\n "pm25": 1}')
     got = {r.feature: r.importance for r in files.importance_rows(files.json_artifact(spark, str(tmp_path / "imp.json"))).collect()}
     assert got == {"aqi_lag1": 2.5, "pm25": 1.0}
