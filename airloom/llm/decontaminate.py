@@ -93,8 +93,9 @@ def postings(rows: DataFrame, block: str, reach: int) -> DataFrame:
 
 
 def matches(index: DataFrame, anchored: DataFrame, slack: int = 0) -> DataFrame:
-    """row, item, start, size: where windows occur. With ``slack`` 0 a match is the exact phrase; otherwise all words of
-    the window, as often as it has them, within a stretch of its length plus ``slack`` around the anchor's place."""
+    """row, item, start, size: where windows occur. With ``slack`` 0 a match is the exact phrase; otherwise every stretch of
+    at most its length plus ``slack`` words that holds all words of the window, as often as it has them and in any order,
+    and begins and ends with one of them."""
     hits = index.select("row", F.explode("hits").alias("h")).select("row", "h.*")
     met = hits.join(broadcast_if_small(anchored), F.col("term") == F.col("anchor"))
     n = F.size("window")
@@ -102,17 +103,16 @@ def matches(index: DataFrame, anchored: DataFrame, slack: int = 0) -> DataFrame:
     if not slack:
         there = F.slice("around", start - F.col("first") + 1, n) == F.col("window")
         return met.where(start >= F.col("first")).where(there).select("row", "item", start.alias("start"), n.alias("size"))
-    near = F.slice("around", F.greatest(start - slack - F.col("first"), F.lit(0)) + 1, n + 2 * slack)
-    met = met.withColumn("near", near)
-    first = F.greatest(start - slack, F.col("first"))
-    places = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.size("near") - n - slack + 1, F.lit(1))),
-        lambda i: F.size(F.array_except("window", F.slice("near", i, n + slack))) == 0)
-    enough = met.withColumn("places", places).where(F.size("places") > 0)
-    counted = F.forall(F.array_distinct("window"), lambda w: F.size(F.filter("near", lambda x: x == w)) >= F.size(
-        F.filter("window", lambda x: x == w)))
-    return enough.where(counted).select(
-        "row", "item", (first + F.get("places", F.lit(0)) - 1).alias("start"), (n + slack).alias("size"))
+    starts = F.sequence(F.greatest(F.col("first"), F.col("pos") - (n + slack - 1)), F.col("pos"))
+    word = lambda i: F.get("around", i - F.col("first"))
+    stretch = lambda i: F.slice("around", i - F.col("first") + 1, n + slack)
+    often = lambda words, w: F.size(F.filter(words, lambda x: x == w))
+    holds = lambda i: F.forall(F.array_distinct("window"), lambda w: often(stretch(i), w) >= often("window", w))
+    behind = lambda i: F.array_position(F.reverse(F.transform(stretch(i), lambda x: F.array_contains("window", x))), True) - 1
+    places = F.transform(
+        F.filter(starts, lambda i: F.array_contains("window", word(i)) & holds(i)),
+        lambda i: F.struct(i.alias("start"), (F.size(stretch(i)) - behind(i)).cast("int").alias("size")))
+    return met.select("row", "item", F.explode(places).alias("p")).select("row", "item", "p.start", "p.size")
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
