@@ -12,6 +12,11 @@ from ..operators.bounds import broadcast_if_small
 from ..session import cut_lineage
 
 
+def _file_name() -> Column:
+    """The file's name as it is on disk; the metadata column holds it URL-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def station_history(spark: SparkSession, path: str, station: Column | None = None) -> DataFrame:
     """Hourly series of station CSVs: known columns only, last row of a repeated stamp, hourly median, no missing hour.
 
@@ -19,7 +24,7 @@ def station_history(spark: SparkSession, path: str, station: Column | None = Non
     "last"; ``station`` derives the series key (default: the file's name without its ending).
     """
     lines = spark.read.text(path).where(F.trim("value") != "").select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_path").alias("file"), _file_name().alias("file_name"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
     heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"), F.min("at").alias("first"))
     heads = cut_lineage(heads)
@@ -53,7 +58,7 @@ def _station_rows(lines: DataFrame, header: str, station: Column | None) -> Data
 def text_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Text files as one page each: (doc_name, page, text, source_type, error)."""
     raw = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    return raw.select(F.col("_metadata.file_name").alias("doc_name"), F.lit(1).alias("page"),
+    return raw.select(_file_name().alias("doc_name"), F.lit(1).alias("page"),
                       F.col("value").alias("text"), F.lit("text").alias("source_type"), F.lit(None).cast("string").alias("error"))
 
 
@@ -64,7 +69,7 @@ def pdf_pages(spark: SparkSession, folder: str) -> DataFrame:
     vanishes. PDFs need a library on the executors (pypdf); without it reading one fails.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder).select(
-        F.col("_metadata.file_name").alias("doc_name"), "content")
+        _file_name().alias("doc_name"), "content")
 
     def pages(batches):
         import pandas as pd

@@ -142,10 +142,11 @@ def test_damaged_pdf(spark, tmp_path, monkeypatch):
 
 def test_pages_and_artifacts(spark, tmp_path):
     (tmp_path / "b.txt").write_text("second\nfile", encoding="utf-8")
+    (tmp_path / "a b+50%.txt").write_text("third", encoding="utf-8")
     (tmp_path / "x.pdf").write_text("plain text named pdf", encoding="utf-8")
     (tmp_path / "y.pdf").write_bytes(b"\xff\xfe\xfa")
     rows = {r.doc_name: r for r in files.all_pages(spark, str(tmp_path)).collect()}
-    assert set(rows) == {"b.txt", "x.pdf", "y.pdf"} and rows["b.txt"].text == "second\nfile" and rows["x.pdf"].source_type == "text"
+    assert set(rows) == {"a b+50%.txt", "b.txt", "x.pdf", "y.pdf"} and rows["b.txt"].text == "second\nfile" and rows["x.pdf"].source_type == "text"
     assert rows["y.pdf"].text is None and rows["y.pdf"].page is None and "UnicodeDecodeError" in rows["y.pdf"].error
     assert rows["b.txt"].error is None and rows["x.pdf"].error is None
     (tmp_path / "imp.json").write_text('{"aqi_lag1": 2.5,\n "pm25": 1}')
