@@ -12,7 +12,7 @@ from ..operators import learning as L
 from ..operators import readings as R
 from ..operators import timeseries as TS
 from ..operators.bounds import top_k
-from ..sources.tables import readings, table
+from ..sources.tables import EVENT_PARAMETERS, readings, table
 from . import sql_parts as S
 from .catalog import near, query
 from .index_queries import hourly, latest
@@ -132,16 +132,21 @@ def aqi_wide_hourly(spark, sf):
     return wide.select("location", "ts", near(TS.hourly_index(wide), 5).alias("aqi"))
 
 
+WIDE = list(EVENT_PARAMETERS.values())
+_LAGGED = [f"{p}_lag{h}" for p in WIDE for h in (1, 3)]
+
+
 @query("feature_frame", f"""WITH {S.READINGS},
-wide AS (SELECT 'city' AS station, date_trunc('hour', date_utc) AS ts, avg(value) FILTER (parameter = 'pm25') AS pm25, avg(value) FILTER (parameter = 'co') AS co FROM readings GROUP BY 2),
-a AS (SELECT *, greatest({S.curve("pm25", "pm25")}, {S.curve("co", "co")}) AS aqi FROM wide)
-SELECT ts, {_r('aqi', 5)} AS aqi, {_r('lag(aqi, 24) OVER w', 5)} AS aqi_lag24, {_r('lag(pm25, 3) OVER w', 5)} AS pm25_lag3, {_r('lag(co, 1) OVER w', 5)} AS co_lag1,
+wide AS (SELECT 'city' AS station, date_trunc('hour', date_utc) AS ts, {", ".join(f"avg(value) FILTER (parameter = '{p}') AS {p}" for p in WIDE)} FROM readings GROUP BY 2),
+a AS (SELECT *, greatest({", ".join(S.curve(p, p) for p in WIDE)}) AS aqi FROM wide)
+SELECT ts, {_r('aqi', 5)} AS aqi, {_r('lag(aqi, 24) OVER w', 5)} AS aqi_lag24, {", ".join(f"{_r(f'lag({p}, {h}) OVER w', 5)} AS {p}_lag{h}" for p in WIDE for h in (1, 3))},
   {_r('avg(aqi) OVER (ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)', 5)} AS aqi_rmean6, {_r('aqi - lag(aqi, 6) OVER w', 5)} AS aqi_delta6, {_r('sin(2 * pi() * hour(ts) / 24)', 5)} AS hour_sin
 FROM a WINDOW w AS (ORDER BY ts)""")
 def feature_frame(spark, sf):
-    wide = TS.pivot_hourly(readings(spark, sf).withColumn("station", F.lit("city")), ["station"], parameters=["pm25", "co"])
+    """Features of the city's series of all measured pollutants."""
+    wide = TS.pivot_hourly(readings(spark, sf).withColumn("station", F.lit("city")), ["station"], parameters=WIDE)
     out = TS.features(wide.withColumn("aqi", TS.hourly_index(wide)), ["station"])
-    cols = ["aqi", "aqi_lag24", "pm25_lag3", "co_lag1", "aqi_rmean6", "aqi_delta6", "hour_sin"]
+    cols = ["aqi", "aqi_lag24", *_LAGGED, "aqi_rmean6", "aqi_delta6", "hour_sin"]
     return out.select("ts", *[near(c, 5).alias(c) for c in cols])
 
 

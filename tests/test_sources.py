@@ -1,10 +1,11 @@
 import json
 import sys
 import types
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThan, LessThanOrEqual
 
 from airloom.operators import retrieval as RT
 from airloom.sources import demo, files, index_store, rest, station_json as J
@@ -88,16 +89,68 @@ def test_rest_pages(monkeypatch):
         def __init__(self, n): self.n = n
         def __enter__(self): return self
         def __exit__(self, *a): return False
-        def read(self): return json.dumps({"results": list(range(self.n))}).encode()
+        def read(self): return json.dumps({"results": list(range(self.n)), "n": len(asked)}).encode()
 
     def opened(req, timeout):
         asked.append(req.full_url)
-        return Answer([2, 2, 1][len(asked) - 1])
+        return Answer([2, 1, 1, 0][len(asked) - 1])  # a server may give fewer results a page
 
     monkeypatch.setattr(rest.urllib.request, "urlopen", opened)
     reader = rest.StationApi({"endpoints": json.dumps([{"path": "x", "params": {"limit": 2}}]), "base": "http://x"}).reader(None)
     assert len(list(reader.read(reader.partitions()[0]))) == 3
-    assert asked == ["http://x/x?limit=2", "http://x/x?limit=2&page=2", "http://x/x?limit=2&page=3"]
+    assert asked == ["http://x/x?limit=2", "http://x/x?limit=2&page=2", "http://x/x?limit=2&page=3", "http://x/x?limit=2&page=4"]
+    with pytest.raises(ValueError):
+        list(rest.StationApi({"endpoints": json.dumps([{"path": "x"}])}).reader(None).read(rest.Endpoint("x", {}, None)))
+
+
+def test_rest_repeated_page_ends(monkeypatch):
+    class Answer:
+        def __enter__(self): return self
+        def __exit__(self, *a): return False
+        def read(self): return b'{"results": [1]}'
+
+    monkeypatch.setattr(rest.urllib.request, "urlopen", lambda req, timeout: Answer())
+    reader = rest.StationApi({"base": "http://x"}).reader(None)
+    assert len(list(reader.read(rest.Endpoint("x", {"limit": 5}, None)))) == 1
+
+
+def test_sensor_days_push_filters(monkeypatch):
+    asked = []
+
+    class Answer:
+        def __init__(self, days): self.days = days
+        def __enter__(self): return self
+        def __exit__(self, *a): return False
+        def read(self): return json.dumps({"results": [{"value": 1, "period": {"datetimeFrom": {"utc": f"{d}T00:00:00Z"}}} for d in self.days]}).encode()
+
+    def opened(req, timeout):
+        asked.append(req.full_url)
+        return Answer([] if "page=" in req.full_url else ["2024-01-04", "2024-01-05", "2024-01-06", "2024-02-01"])
+
+    monkeypatch.setattr(rest.urllib.request, "urlopen", opened)
+    day = lambda d: date(2024, 1, d)
+    reader = rest.SensorDays({"sensors": "[3, 4, 5]", "base": "http://x", "days": "2", "date_to": "2024-01-31"}).reader(None)
+    other = EqualTo(("body",), "x")
+    left = list(reader.pushFilters([In(("sensor_id",), (3, 9)), GreaterThan(("day",), day(4)), LessThanOrEqual(("day",), day(7)), other]))
+    assert left == [other]
+    parts = reader.partitions()
+    assert [(p.sensor, p.first, p.last) for p in parts] == [(3, "2024-01-05", "2024-01-06"), (3, "2024-01-07", "2024-01-07")]
+    assert [(s, d) for s, d, _, _ in reader.read(parts[0])] == [(3, day(5)), (3, day(6))]
+    assert asked == ["http://x/sensors/3/days?date_from=2024-01-05&date_to=2024-01-06&limit=100",
+                     "http://x/sensors/3/days?date_from=2024-01-05&date_to=2024-01-06&limit=100&page=2"]
+    none = rest.SensorDays({"sensors": "[3]", "base": "http://x"}).reader(None)
+    assert list(none.pushFilters([EqualTo(("day",), day(4)), LessThan(("day",), day(4))])) == [] and none.partitions() == []
+
+
+def test_sensor_days_in_a_plan(spark):
+    spark.dataSource.register(rest.SensorDays)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = spark.read.format("sensor_days").option("sensors", "[3, 4]").option("base", "http://x").load()
+        none = df.where("day > '2024-01-04' and day < '2024-01-05' and sensor_id = 3 and body like '%x%'")
+        assert none.count() == 0  # no partition is left, so nothing is asked
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
 
 
 def test_rest_source_registers(spark):
