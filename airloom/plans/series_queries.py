@@ -219,29 +219,28 @@ def agg_half_window_trend(spark, sf):
     return FC.with_recent_trend(s).select("location", "parameter", "trend")
 
 
-def _line_sql() -> str:
+def _line_parts() -> str:
     steps, before = [], "v1"
     for h in (1, 2, 3):
         raw = f"(icept + slope * (n + {h - 1}))"
         steps.append(f"l{h} AS (SELECT *, least(greatest(least(greatest({raw}, {before} - {before} * 0.12::DOUBLE), {before} + {before} * 0.12::DOUBLE), 0), top) AS p{h} FROM {'line' if h == 1 else f'l{h - 1}'})")
         before = f"p{h}"
-    return f"""WITH {STATION_HOURLY},
-x AS (SELECT location, parameter, value, n, rn, (n - rn)::DOUBLE AS x, exp(2.0::DOUBLE * (n - rn) / greatest(n - 1, 1)) AS w FROM k WHERE n BETWEEN 3 AND 5),
+    return f"""x AS (SELECT location, parameter, value, n, rn, (n - rn)::DOUBLE AS x, exp(2.0::DOUBLE * (n - rn) / greatest(n - 1, 1)) AS w FROM k WHERE n BETWEEN 3 AND 5),
 m AS (SELECT location, parameter, max(n) AS n, max(value) FILTER (rn = 1) AS v1, sum(w * x) / sum(w) AS xm, sum(w * value) / sum(w) AS ym FROM x GROUP BY 1, 2),
 s AS (SELECT location, parameter, CASE WHEN sum(w * (x - xm) * (x - xm)) > 0 THEN sum(w * (x - xm) * (value - ym)) / sum(w * (x - xm) * (x - xm)) ELSE 0 END AS slope FROM x JOIN m USING (location, parameter) GROUP BY 1, 2),
 line AS (SELECT *, ym - slope * xm AS icept, CASE parameter {" ".join(f"WHEN '{p}' THEN {v}" for p, v in K.PHYSICAL_MAX.items())} ELSE v1 * 3 END::DOUBLE AS top FROM m JOIN s USING (location, parameter)),
-{", ".join(steps)}
-SELECT location, parameter, n, {", ".join(f"round({c} + 1e-9, 4) AS {c}" for c in ("slope", "p1", "p2", "p3"))} FROM l3"""
+{", ".join(steps)}"""
 
 
-@query("agg_weighted_regression", _line_sql())
+@query("agg_weighted_regression", f"""WITH {STATION_HOURLY}, {_line_parts()}
+SELECT location, parameter, n, {", ".join(f"round({c} + 1e-9, 4) AS {c}" for c in ("slope", "p1", "p2", "p3"))} FROM l3""")
 def agg_weighted_regression(spark, sf):
     """Slope and forecasts of the series of three to five hours, which take the regression branch."""
     f = FC.forecast_values(station_hourly(spark, sf), ["location", "parameter"]).where("n < 6")
     return f.select("location", "parameter", "n", *[near(c, 4).alias(c) for c in ("slope", "p1", "p2", "p3")])
 
 
-def _forecast_sql(final: str) -> str:
+def _forecast_sql(final: str, more: str = "") -> str:
     prof = "[" + ", ".join(f"{x}::DOUBLE" for x in K.DIURNAL) + "]"
     mult = f"({prof})[CAST(hour(date_utc + INTERVAL '5 hours 30 minutes') AS INTEGER) + 1]"
     steps = []
@@ -263,7 +262,7 @@ b0 AS (SELECT location, parameter, max(n) AS n, median(flat) AS base, {", ".join
   max(value) FILTER (rn = 1) AS current, CAST(hour(max(date_utc) + INTERVAL '5 hours 30 minutes') AS INTEGER) AS h0 FROM r GROUP BY 1, 2),
 b1 AS (SELECT r.location, r.parameter, stddev_pop(r.value - base * mult) AS spread FROM r JOIN b0 USING (location, parameter) GROUP BY 1, 2),
 base AS (SELECT *, CASE parameter WHEN 'pm25' THEN 999 WHEN 'pm10' THEN 999 WHEN 'no2' THEN 600 WHEN 'so2' THEN 800 WHEN 'co' THEN 50000 END::DOUBLE AS top FROM b0 JOIN b1 USING (location, parameter)),
-{", ".join(ctes)}
+{", ".join(ctes)}{more}
 {final}"""
 
 
@@ -297,20 +296,47 @@ def viz_forecast_chart(spark, sf):
     return FC.chart_points(R.index_of(c, []), FC.forecast_index(FC.forecast_series(h)))
 
 
-@query("fc_series_forecast")
+SERIES_POINTS = f""", {_line_parts()},
+lv AS (SELECT location, parameter, sqrt(var_pop(value - icept - slope * x)) AS spread FROM x JOIN line USING (location, parameter) GROUP BY 1, 2),
+t AS (SELECT location, parameter, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS deviation, max(date_utc) AS last, arg_min(unit, date_utc) FILTER (unit IS NOT NULL) AS unit,
+  avg(value) FILTER (rn <= 6 AND rn > least(n, 6) - least(n, 6) // 2) AS first, avg(value) FILTER (rn <= least(n, 6) - least(n, 6) // 2) AS second FROM k WHERE n >= 3 GROUP BY 1, 2),
+every AS (SELECT location, parameter, 'diurnal' AS method, [p1, p2, p3] AS p, spread, top, 1.0::DOUBLE AS extra FROM w3
+  UNION ALL SELECT location, parameter, 'linear', [p1, p2, p3], spread, top, 1.5::DOUBLE FROM l3 JOIN lv USING (location, parameter)),
+u AS (SELECT *, CASE WHEN first = 0 THEN 0 ELSE (second - first) / first * 100 / greatest(least(n, 6) // 2, 1) END AS pct,
+  least(n / 12::DOUBLE, 1) - greatest(0, least(deviation / (mean + 1e-6) / 0.5::DOUBLE, 0.4::DOUBLE)) AS trust FROM t),
+h AS (SELECT *, p[hour_offset] AS v, {K.CI_Z}::DOUBLE * spread * sqrt(hour_offset - 1 + extra) AS half FROM every, (SELECT unnest([1, 2, 3]) AS hour_offset)),
+i AS (SELECT *, greatest(v - half, 0) AS lo, least(v + half, top) AS hi FROM h),
+pt AS (SELECT location, parameter, method, CASE WHEN pct > 3 THEN 'rising' WHEN pct < -3 THEN 'falling' ELSE 'stable' END AS trend, round_even(pct, 1) AS trend_pct, hour_offset,
+  last + hour_offset * INTERVAL 1 HOUR AS ts, round_even(v, 1) AS value, round_even(lo, 1) AS lower, round_even(hi, 1) AS upper,
+  round_even(greatest(0.1::DOUBLE, trust - least((hi - lo) / (v + 1e-6) / 2, 0.3::DOUBLE) - 0.05::DOUBLE * hour_offset), 2) AS confidence, unit FROM i JOIN u USING (location, parameter))"""
+INDEX_POINTS = SERIES_POINTS + f""",
+kinds AS (SELECT location, hour_offset, parameter, unit, unnest(['aqi', 'lo', 'hi']) AS kind, unnest([value, lower, upper]) AS value FROM pt),
+ix AS ({S.index_rows("kinds", "location, hour_offset, kind")}),
+tr AS (SELECT location, hour_offset, round_even(avg(confidence), 2) AS confidence FROM pt GROUP BY 1, 2),
+fi AS (SELECT location, hour_offset, max(aqi) FILTER (kind = 'aqi') AS aqi, max(category) FILTER (kind = 'aqi') AS category,
+  least(max(aqi) FILTER (kind = 'lo'), max(aqi) FILTER (kind = 'hi')) AS lower, greatest(max(aqi) FILTER (kind = 'lo'), max(aqi) FILTER (kind = 'hi')) AS upper,
+  max(confidence) AS confidence, max(dominant) FILTER (kind = 'aqi') AS dominant FROM ix JOIN tr USING (location, hour_offset) GROUP BY 1, 2)"""
+
+
+@query("fc_series_forecast", _forecast_sql("SELECT * EXCLUDE (unit) FROM pt", SERIES_POINTS))
 def fc_series_forecast(spark, sf):
-    """Points with bounds and confidence; checked against a plain Python fold in the tests."""
+    """Points with bounds and confidence."""
     f = FC.forecast_series(station_hourly(spark, sf), ["location", "parameter"])
     return f.select("location", "parameter", "method", "trend", "trend_pct", F.inline_outer("points"))
 
 
-@query("fc_index_forecast")
+@query("fc_index_forecast", _forecast_sql("SELECT * FROM fi", INDEX_POINTS))
 def fc_index_forecast(spark, sf):
     f = FC.forecast_series(station_hourly(spark, sf), ["location", "parameter"])
     return FC.forecast_index(f, ["location"])
 
 
-@query("fc_index_outlook")
+@query("fc_index_outlook", _forecast_sql("""SELECT location, trend AS overall_trend, CASE WHEN c >= 0.65 THEN 'high' WHEN c >= 0.4 THEN 'medium' ELSE 'low' END AS confidence_level,
+  'AQI is expected to be **' || a1 || '** (' || c1 || ') in the next hour. and **' || a3 || '** (' || c3 || ') in 3 hours. ' || chr(10) || chr(10) || 'Overall trend: **' || trend || '** '
+  || CASE trend WHEN 'worsening' THEN '[UP]' WHEN 'improving' THEN '[DN]' ELSE '[=]' END AS summary
+FROM (SELECT *, CASE WHEN a3 > a1 * 1.05::DOUBLE THEN 'worsening' WHEN a3 < a1 * 0.95::DOUBLE THEN 'improving' ELSE 'stable' END AS trend FROM (
+  SELECT location, avg(confidence) AS c, max(aqi) FILTER (hour_offset = 1) AS a1, max(category) FILTER (hour_offset = 1) AS c1,
+    max(aqi) FILTER (hour_offset = 3) AS a3, max(category) FILTER (hour_offset = 3) AS c3 FROM fi GROUP BY 1))""", INDEX_POINTS))
 def fc_index_outlook(spark, sf):
     f = FC.forecast_series(station_hourly(spark, sf), ["location", "parameter"])
     return FC.index_outlook(FC.forecast_index(f, ["location"]), ["location"])

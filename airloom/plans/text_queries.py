@@ -14,7 +14,7 @@ from ..operators import memory as M
 from ..operators import retrieval as RT
 from ..sources.tables import documents_as_pages, questions, table, texts
 from . import sql_parts as S
-from .catalog import near, query
+from .catalog import ORACLES, near, query
 
 
 def docs(spark, sf) -> DataFrame:
@@ -394,7 +394,13 @@ def scr_context_precision(spark, sf):
     return EV.context_precision(cases, contexts(spark, sf)).withColumn("context_precision", near("context_precision"))
 
 
-@query("scr_run_evaluation")
+_PARTS = {"faithfulness": "scr_faithfulness", "answer_relevancy": "scr_answer_relevancy", "context_precision": "scr_context_precision",
+          "context_recall": "scr_context_recall", "answer_correctness": "scr_word_f1"}
+
+
+@query("scr_run_evaluation", "WITH " + ", ".join(
+    f"{m}_of AS (SELECT round_even(avg(round_even({'f1' if m == 'answer_correctness' else 'relevancy' if m == 'answer_relevancy' else m}, 3)), 3) AS {m} FROM ({ORACLES[q]}))"
+    for m, q in _PARTS.items()) + " SELECT *, round_even((" + " + ".join(_PARTS) + ") / 5, 3) AS overall FROM " + ", ".join(f"{m}_of" for m in _PARTS))
 def scr_run_evaluation(spark, sf):
     """All five metrics and their means."""
     cases = exchanges(spark, sf).select("case_id", "question", "answer", F.col("question").alias("reference_answer"),
