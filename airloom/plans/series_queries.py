@@ -342,6 +342,29 @@ def fc_index_outlook(spark, sf):
     return FC.index_outlook(FC.forecast_index(f, ["location"]), ["location"])
 
 
+@query("fc_horizon_outlook", f"""WITH {S.HOURLY},
+k AS (SELECT parameter, value, row_number() OVER (PARTITION BY parameter ORDER BY date_utc DESC) AS rn, count(*) OVER (PARTITION BY parameter) AS n FROM hourly),
+a AS (SELECT parameter, arg_max(value, 7 - rn) AS final, min(value) AS least, max(value) AS most, max(n) AS n FROM k WHERE rn <= 6 GROUP BY 1),
+b AS (SELECT parameter, value AS base FROM k WHERE rn = 7),
+c AS (SELECT *, (final - base) / greatest(base, 1) * 100 AS change FROM a JOIN b USING (parameter)),
+d AS (SELECT *, CASE WHEN change > 10 THEN 'worsening' WHEN change < -10 THEN 'improving' ELSE 'stable' END AS trend, CASE WHEN n >= 24 THEN 'high' WHEN n >= 12 THEN 'medium' ELSE 'low' END AS level FROM c)
+SELECT d.parameter, round(base + 1e-9, 4) AS current_aqi, trend AS overall_trend, level AS confidence_level,
+  'AQI is expected to ' || CASE trend WHEN 'worsening' THEN 'increase' WHEN 'improving' THEN 'decrease' ELSE 'remain stable' END || ' over the next 6 hours. Predicted range: '
+    || CAST(round_even(least, 0) AS BIGINT) || '-' || CAST(round_even(most, 0) AS BIGINT) || ' (' || {S.band("least")} || ' to ' || {S.band("most")} || '). Confidence: ' || level || '.' AS summary,
+  (7 - rn)::INTEGER AS hour_offset, round_even(value, 1) AS aqi, {S.band("value")} AS category,
+  round_even(greatest(value * (1 - (0.1::DOUBLE + 0.05::DOUBLE * (7 - rn))), 0), 1) AS lower, round_even(value * (1 + (0.1::DOUBLE + 0.05::DOUBLE * (7 - rn))), 1) AS upper
+FROM d JOIN k ON k.parameter = d.parameter AND rn <= 6""")
+def fc_horizon_outlook(spark, sf):
+    """Outlook with its points; the last six hours of each parameter stand for the hours ahead of the one before them."""
+    newest = W.partitionBy("parameter").orderBy(F.col("date_utc").desc())
+    k = hourly(spark, sf).select("parameter", "value", F.row_number().over(newest).alias("rn"), F.count(F.lit(1)).over(W.partitionBy("parameter")).alias("hours_of_data"))
+    base = k.where("rn = 7").select("parameter", F.col("value").alias("base_aqi"))
+    made = k.where("rn <= 6").join(base, "parameter").select(
+        "parameter", (7 - F.col("rn")).cast("int").alias("hour_offset"), F.col("value").alias("prediction"), "base_aqi", "hours_of_data")
+    out = FC.horizon_outlook(made, ["parameter"])
+    return out.select("parameter", near("current_aqi", 4).alias("current_aqi"), "overall_trend", "confidence_level", "summary", F.inline_outer("points"))
+
+
 @query("agg_persistence_metrics", f"""WITH {GRID},
 l AS (SELECT parameter, aqi AS y, lag(aqi) OVER (PARTITION BY parameter ORDER BY ts) AS p FROM grid),
 v AS (SELECT * FROM l WHERE y IS NOT NULL AND p IS NOT NULL),
