@@ -156,9 +156,9 @@ def test_links_inside_a_crowd_without_its_original(spark):
 
 
 def crowd(rng, n):
-    """Texts made from one that is not among them, by three to nine edits."""
+    """Texts made from one that is not among them, by one to six edits."""
     base = sentence(rng, 150, 10 ** 6)
-    return [edited(rng, base, rng.randrange(3, 10)) for _ in range(n)]
+    return [edited(rng, base, rng.randrange(1, 7)) for _ in range(n)]
 
 
 def overlaps(rows):
@@ -197,8 +197,7 @@ def test_crowds_are_split_again(spark, monkeypatch):
     got = {r.doc_id: r.class_id for r in N.classes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
     assert len(links) > 30 and all(find(i) == find(c) for i, c in got.items())
     assert np.mean([got[i] == got[j] for i, j in links]) >= 0.98
-    close = int((np.triu(share, 1) >= 0.7).sum())
-    assert sum(compared) <= 3 * len(rows) + close < len(rows) ** 2 / 8, (compared, close)
+    assert sum(compared) < 25 * len(rows), compared  # of 124,750 pairs, of which 51,738 share 0.7 and more
 
 
 def test_bits_estimate_the_overlap():
@@ -284,6 +283,32 @@ def test_proximity(spark):
     assert hit(0) == {1} and hit(2) == {1, 2, 3}
 
 
+def test_proximity_against_brute_force(spark):
+    """Small vocabularies, so that words repeat: stretches hold each word as often as the item, not the surroundings."""
+    rng = random.Random(21)
+    docs = [(i, " ".join(rng.choice("abcdx") for _ in range(rng.randrange(1, 25)))) for i in range(150)]
+    docs += [(1000, "aa bb x x aa"), (1001, "aa x bb x x aa"), (1002, "aa bb x aa")]
+    items = [(f"i{i}", " ".join(rng.choice("abcd") for _ in range(rng.randrange(2, 6)))) for i in range(8)] + [("rep", "aa bb aa")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id string, text string")
+    for slack in (0, 1, 3):
+        want = {}
+        for i, t in docs:
+            w, hit, which = t.split(), set(), set()
+            for name, item in items:
+                need = Counter(item.split())
+                for p in range(len(w)):
+                    part = w[p:p + len(item.split()) + slack]
+                    if (part == item.split()) if not slack else (part[0] in need and all(part.count(x) >= n for x, n in need.items())):
+                        while part[-1] not in need:
+                            part.pop()
+                        which.add(name)
+                        hit.update(range(p, p + len(part)))
+            want[i] = len(hit), sorted(which)
+        got = {r.doc_id: (r.n_hit, r["items"]) for r in D.contamination(d, b, slack=slack).collect()}
+        assert got == want, slack
+
+
 # Language model
 
 def test_base_scores_and_counts(spark, small):
@@ -312,6 +337,23 @@ def test_rare_words_are_joined(spark, monkeypatch):
         assert abs(r.base_score - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens[r.doc_id])) < 1e-9
 
 
+def test_scores_do_not_depend_on_the_dictionary(spark, small, monkeypatch):
+    docs = read(spark, small, "documents").select("doc_id", "text")
+    got = []
+    for size in (200_000, 50, 0):
+        monkeypatch.setattr(L, "DICTIONARY", size)
+        got.append({r.doc_id: r.score for r in L.score(docs, ~Q.held_out(parts=7), PATH).collect()})
+    assert all(abs(got[0][i] - other[i]) < 1e-6 * abs(got[0][i]) for other in got[1:] for i in got[0])
+
+
+def test_long_texts_give_windows_of_all_their_parts():
+    lexicon = tiny_lexicon()
+    texts = ["the of word " * n for n in (0, 3, 341, 342, 5000)]
+    rows, classes, weight = L._training_windows(lexicon, texts, list(range(5)))
+    assert len(rows) == sum(-(-(3 * n + 1) // L.TRAIN_EVERY) for n in (0, 3, 341, 342, 5000)) == 1 + 1 + 1 + 2 + 15
+    assert (weight.sum(1) > 0).all() and weight[-1].sum() >= L.WIDTH // 2
+
+
 def test_lm_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in L.score(docs, F.lit(False), PATH).collect()}
@@ -323,7 +365,7 @@ def tiny_lexicon():
     size = 50_256
     first = np.ones(size)
     classes = np.arange(size) % (L.CLASSES - 1)
-    stats = {"row": np.arange(size) % L.OWN_ROWS, "class": classes, "rare": first, "first": first, "later": np.ones(size + 1),
+    stats = {"row": np.arange(size) % L.OWN_ROWS, "class": classes, "all": first * 10, "rare": first, "first": first, "later": np.ones(size + 1),
              "pairs": np.zeros(0, np.int64), "pair_counts": np.zeros(0)}
     return L.Lexicon(PATH, [b"the", b"of", b"word"], np.array([5.0, 3, 2]), 4, stats)
 
