@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as K
 from ..functions import numeric as N
+from ..session import cut_lineage
 from . import kmeans, timeseries as TS
 from .kmeans import KMeansModel
 from .bounds import broadcast_if_small
@@ -160,7 +161,7 @@ def every_nth(df: DataFrame, series: list[str], points: int = 200, start: int =
 
 def recursive_forecast(origins: DataFrame, model: PipelineModel, features: list[str], series: list[str],
                        target: str = "aqi", horizon: int = 6, refresh: bool = False) -> DataFrame:
-    """(series, ts, hour_offset, prediction) for all origins at once, one model pass per hour ahead.
+    """(series, ts, hour_offset, prediction) for all origins at once, one model pass (and checkpoint) per hour ahead.
 
     After each step the target, its lags, rolling statistics, the one-hour change and the calendar move on; the other
     changes, pollutant lags and weather stay as at the origin unless ``refresh`` recomputes the longer changes too.
@@ -173,7 +174,7 @@ def recursive_forecast(origins: DataFrame, model: PipelineModel, features: list[
         steps.append(F.struct(F.lit(h).alias("hour_offset"), F.col(f"_p{h}").alias("prediction")))
         state = state.withColumn(f"_p{h}", F.col("_p"))
         if h < horizon:
-            state = _advance(state, target, h, refresh)
+            state = cut_lineage(_advance(state, target, h, refresh))  # else the plan of each hour holds those before it
     out = state.select(*series, F.col("_t0").alias("ts"), F.explode_outer(F.array(*steps)).alias("_step"))
     return out.select(*series, "ts", "_step.hour_offset", "_step.prediction")
 
