@@ -51,11 +51,15 @@ def best_model(results: DataFrame) -> DataFrame:
     return results.agg(F.min(F.struct("mae", "model")).alias("b")).select("b.model", "b.mae")
 
 
+def _percent() -> Column:
+    return F.try_divide("importance", F.sum("importance").over(W.partitionBy())) * 100.0
+
+
 def importance_ranking(importances: DataFrame) -> DataFrame:
-    """(feature, importance, percent, rank) of a feature-sized table."""
-    total = F.sum("importance").over(W.partitionBy())
+    """(feature, importance, percent, rank) of a feature-sized table. No share is known (NULL) where all importances are 0,
+    as of a model that stopped before its first tree."""
     return importances.select(
-        "feature", "importance", (F.col("importance") / total * 100.0).alias("percent"),
+        "feature", "importance", _percent().alias("percent"),
         F.row_number().over(W.orderBy(F.col("importance").desc(), "feature")).alias("rank"))
 
 
@@ -67,7 +71,7 @@ def importance_classes(importances: DataFrame) -> DataFrame:
         chain = F.when(hit, label) if chain is None else chain.when(hit, label)
     sums = importances.withColumn("class", chain.otherwise(K.IMPORTANCE_OTHER)).groupBy("class").agg(
         F.sum("importance").alias("importance"))
-    return sums.withColumn("percent", F.col("importance") / F.sum("importance").over(W.partitionBy()) * 100.0)
+    return sums.withColumn("percent", _percent())
 
 
 def mean_absolute(contributions: DataFrame, columns: list[str]) -> DataFrame:

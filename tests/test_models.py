@@ -221,3 +221,11 @@ def test_rows_without_a_model_stay(spark):
     assert alone.where("(regime <> 0 or regime is null) and prediction is not null").count() == 0
     routed = L.predict_by_regime(rows, {0: two}, one)
     assert routed.count() == 60 and routed.where("prediction is null").count() == 0
+
+
+def test_importance_of_a_model_without_trees(spark):
+    none = spark.createDataFrame([("aqi_lag1", 0.0), ("hour_sin", 0.0)], "feature string, importance double")
+    assert [(r["rank"], r.feature, r.percent) for r in L.importance_ranking(none).orderBy("rank").collect()] == [(1, "aqi_lag1", None), (2, "hour_sin", None)]
+    assert {r.percent for r in L.importance_classes(none).collect()} == {None}
+    some = none.withColumn("importance", F.when(F.col("feature") == "hour_sin", 3.0).otherwise(1.0))
+    assert [r.percent for r in L.importance_ranking(some).orderBy("rank").collect()] == [75.0, 25.0]
