@@ -29,6 +29,16 @@ def first_by(column: str, order: Column) -> Column:
     return F.min_by(F.col(column), F.when(F.col(column).isNotNull(), order))
 
 
+def exact_mean(column: str) -> Column:
+    """Mean that does not depend on the order of the rows, for numbers that are rounded later: a sum of doubles ends on either
+    side of a half, as rows are spread. Decimals of 18 places add up without error; a group with a value beyond 1e9 (or none)
+    keeps the plain mean."""
+    v = F.col(column)
+    fits = F.abs(v) < 1e9  # not so for NaN
+    total = F.sum(F.when(fits, v).cast("decimal(28,18)")).cast("double")
+    return F.when(F.count_if(fits) == F.count(v), F.try_divide(total, F.count(v))).otherwise(F.avg(v))
+
+
 def since(df: DataFrame, as_of: Column, hours: int, ts: str = "date_utc") -> DataFrame:
     return df.where(F.col(ts) >= as_of - F.make_dt_interval(hours=F.lit(hours + 1)))
 
@@ -36,7 +46,7 @@ def since(df: DataFrame, as_of: Column, hours: int, ts: str = "date_utc") -> Dat
 def hourly_rollup(df: DataFrame, keys: list[str] = ("parameter",), ts: str = "date_utc") -> DataFrame:
     """Mean value, first unit and "N stations" per hour and key."""
     return df.groupBy(F.date_trunc("hour", ts).alias(ts), *keys).agg(
-        F.avg("value").alias("value"),
+        exact_mean("value").alias("value"),
         first_by("unit", F.col(SEQ)).alias("unit"),
         F.concat(F.count_distinct("location").cast("string"), F.lit(" stations")).alias("location"),
     )
@@ -64,7 +74,7 @@ def city_concentrations(hourly: DataFrame, latest: DataFrame) -> DataFrame:
 def current_means(latest: DataFrame) -> DataFrame:
     """Mean and first unit per pollutant (the tool's variant; the dashboard uses medians)."""
     return latest.where(F.col("parameter").isin(K.POLLUTANTS)).groupBy("parameter").agg(
-        F.avg("value").alias("value"), first_by("unit", F.struct("location", "date_utc")).alias("unit"))
+        exact_mean("value").alias("value"), first_by("unit", F.struct("location", "date_utc")).alias("unit"))
 
 
 def value_summary(df: DataFrame) -> DataFrame:
@@ -144,7 +154,7 @@ def snapshot(concentrations: DataFrame, city: DataFrame) -> DataFrame:
 def station_index(latest: DataFrame) -> DataFrame:
     """Index per station from the mean of each parameter."""
     means = latest.groupBy("location", "parameter").agg(
-        F.avg("value").alias("value"), first_by("unit", F.struct("date_utc", SEQ)).alias("unit"))
+        exact_mean("value").alias("value"), first_by("unit", F.struct("date_utc", SEQ)).alias("unit"))
     return index_of(means, ["location"])
 
 

@@ -1,3 +1,6 @@
+import datetime
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +86,17 @@ def test_local_time_variants(spark):
 def test_clamp_keeps_null(spark):
     df = spark.createDataFrame([(None,), (5.0,), (-1.0,)], "v double")
     assert [r[0] for r in df.select(N.clamp(F.col("v"), 0.0, 3.0)).collect()] == [None, 3.0, 0.0]
+
+
+def test_means_do_not_depend_on_row_order(spark):
+    values = [67.57, 0.82, 38.11]  # 106.5 = 3 * 35.5, but 35.49999999999999 if added in this order
+    assert sum(values) / 3 < 35.5
+    schema = "parameter string, value double, unit string, date_utc timestamp, location string, seq long"
+    when = datetime.datetime(2024, 1, 1)
+    for v in itertools.permutations(values):
+        df = spark.createDataFrame([("pm10", x, "µg/m³", when, "a", i) for i, x in enumerate(v)], schema).coalesce(1)
+        assert [r.pm10_si for r in R.station_index(df).collect()] == [36]
+        assert [r.value for r in R.hourly_rollup(df).collect()] == [r.value for r in R.current_means(df).collect()] == [35.5]
+    odd = spark.createDataFrame([("a", 1e12), ("a", 3e12), ("b", None), ("c", None), ("c", -2.0), ("d", float("nan")), ("d", 1.0)], "k string, v double")
+    got = {r.k: r.m for r in odd.groupBy("k").agg(R.exact_mean("v").alias("m")).collect()}
+    assert (got["a"], got["b"], got["c"]) == (2e12, None, -2.0) and got["d"] != got["d"]
