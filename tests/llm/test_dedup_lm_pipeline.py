@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -6,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -354,6 +356,26 @@ def test_long_texts_give_windows_of_all_their_parts():
     assert (weight.sum(1) > 0).all() and weight[-1].sum() >= L.WIDTH // 2
 
 
+def test_every_word_is_trained_on_once(spark, monkeypatch):
+    lexicon = tiny_lexicon()
+    texts = ["the of word " * n for n in (0, 3, 11, 341, 5000)] + [None, "of"]
+    rows, classes, weight = L.every_window(lexicon, texts)
+    sizes = [len(L.text_words(t)) + 1 for t in texts]
+    assert weight.sum() == sum(sizes) and len(rows) == sum(-(-n // L.WIDTH) for n in sizes) and rows.shape[1] == L.WIDTH
+    numbers = np.concatenate([lexicon.numbers([*L.text_words(t), L.END]) for t in texts])
+    assert np.array_equal(np.bincount(classes[weight > 0], minlength=L.CLASSES), np.bincount(lexicon.cls[numbers], minlength=L.CLASSES))
+    assert (rows == L.OWN_ROWS + L.CLASSES).sum() == len(texts)  # each text begins once
+    inner = weight[:, 1:] > 0  # what stands before a word is the word before it
+    assert {(int(r), int(c)) for r, c in zip(rows[:, 1:][inner], classes[:, 1:][inner])} <= {
+        (int(lexicon.row[x]), int(lexicon.cls[y])) for x, y in itertools.pairwise(numbers)}
+
+    seen = []
+    monkeypatch.setattr(L.Trainer, "step", lambda self, rows, classes, weight: seen.append(weight.sum()))
+    monkeypatch.setattr(L, "_made", lambda sent: (lexicon, L.initial(np.ones(L.CLASSES))))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    assert sum(r.column("windows")[0].as_py() for r in L._train_task(None)([batch])) == len(rows) and sum(seen) == sum(sizes)
+
+
 def test_lm_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in L.score(docs, F.lit(False), PATH).collect()}
