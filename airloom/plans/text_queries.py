@@ -352,11 +352,10 @@ def scr_word_f1(spark, sf):
 
 
 def contexts(spark, sf) -> DataFrame:
-    """(case_id, context_id, text, topic): every document is a context of the conversation it maps to."""
+    """(conv_id, context_id, text, topic): every document is a context of all cases of the conversation it maps to."""
     n = table(spark, sf, "conversations").agg((F.max("conv_id") + 1).alias("n")).scalar()
     d = docs(spark, sf).withColumn("conv_id", F.col("doc_id") % n).withColumn("topic", T.topic(F.col("text")))
-    ex = exchanges(spark, sf).select("case_id", "conv_id")
-    return d.join(ex, "conv_id").select("case_id", F.col("doc_id").alias("context_id"), "text", "topic")
+    return d.select("conv_id", F.col("doc_id").alias("context_id"), "text", "topic")
 
 
 CTX = f"""ctx AS (SELECT case_id, doc_id AS context_id, text, {S.topic('text')} AS topic FROM documents JOIN ex ON ex.conv_id = doc_id % (SELECT max(conv_id) + 1 FROM conversations)),
@@ -374,14 +373,14 @@ SELECT ex.case_id, round(CASE WHEN ex.case_id IN (SELECT case_id FROM ctx) THEN
 
 @query("scr_faithfulness", _share_sql("answer", "0.4", "faithfulness"))
 def scr_faithfulness(spark, sf):
-    cases = exchanges(spark, sf).select("case_id", F.col("answer").alias("text"))
-    return EV.supported_share(cases, contexts(spark, sf), 0.4, "faithfulness").withColumn("faithfulness", near("faithfulness"))
+    cases = exchanges(spark, sf).select("case_id", "conv_id", F.col("answer").alias("text"))
+    return EV.supported_share(cases, contexts(spark, sf), 0.4, "faithfulness", "conv_id").withColumn("faithfulness", near("faithfulness"))
 
 
 @query("scr_context_recall", _share_sql("question", "0.35", "context_recall"))
 def scr_context_recall(spark, sf):
-    cases = exchanges(spark, sf).select("case_id", F.col("question").alias("text"))
-    return EV.supported_share(cases, contexts(spark, sf), 0.35, "context_recall").withColumn("context_recall", near("context_recall"))
+    cases = exchanges(spark, sf).select("case_id", "conv_id", F.col("question").alias("text"))
+    return EV.supported_share(cases, contexts(spark, sf), 0.35, "context_recall", "conv_id").withColumn("context_recall", near("context_recall"))
 
 
 @query("scr_context_precision", f"""WITH {EXCH}, {CTX},
@@ -391,7 +390,7 @@ p AS (SELECT case_id, avg(ok::INTEGER) AS v FROM f GROUP BY 1)
 SELECT ex.case_id, round(coalesce(v, 0) + 1e-9, 6)::DOUBLE AS context_precision FROM ex LEFT JOIN p USING (case_id)""")
 def scr_context_precision(spark, sf):
     cases = exchanges(spark, sf).withColumn("expected_topics", F.array(F.lit("policy")))
-    return EV.context_precision(cases, contexts(spark, sf)).withColumn("context_precision", near("context_precision"))
+    return EV.context_precision(cases, contexts(spark, sf), "conv_id").withColumn("context_precision", near("context_precision"))
 
 
 _PARTS = {"faithfulness": "scr_faithfulness", "answer_relevancy": "scr_answer_relevancy", "context_precision": "scr_context_precision",
@@ -403,9 +402,9 @@ _PARTS = {"faithfulness": "scr_faithfulness", "answer_relevancy": "scr_answer_re
     for m, q in _PARTS.items()) + " SELECT *, round_even((" + " + ".join(_PARTS) + ") / 5, 3) AS overall FROM " + ", ".join(f"{m}_of" for m in _PARTS))
 def scr_run_evaluation(spark, sf):
     """All five metrics and their means."""
-    cases = exchanges(spark, sf).select("case_id", "question", "answer", F.col("question").alias("reference_answer"),
+    cases = exchanges(spark, sf).select("case_id", "conv_id", "question", "answer", F.col("question").alias("reference_answer"),
                                         F.array(F.lit("policy")).alias("expected_topics"))
-    return EV.aggregate_metrics(EV.evaluate(cases, contexts(spark, sf)))
+    return EV.aggregate_metrics(EV.evaluate(cases, contexts(spark, sf), "conv_id"))
 
 
 def _scored(spark, sf) -> DataFrame:

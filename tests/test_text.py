@@ -211,6 +211,20 @@ def test_array_and_long_forms_agree(spark):
     assert {r.case_id: r.f for r in arr.collect()} == long == {1: 0.5, 2: 0.0}
 
 
+def test_cases_share_contexts(spark):
+    cases = spark.createDataFrame([(1, 7, "dust hurts", "Lungs are hurt by dust badly. Nothing to see in here."), (2, 7, "lungs badly", "Lungs are fine badly."),
+                                   (3, 8, "dust", "Lungs are hurt by dust badly."), (1, 8, "other words", "Other words for eight.")],
+                                  "case_id int, conv int, question string, text string").withColumn("expected_topics", F.array(F.lit("health")))
+    ctx = spark.createDataFrame([(7, 1, "dust hurt lungs", "x"), (7, 2, "badly", None), (8, 3, "other words", "health"), (9, 4, "dust", "x")],
+                                "conv int, context_id int, text string, topic string")
+    long = ctx.join(cases.select("conv", "case_id"), "conv")
+    sort = lambda df: sorted(tuple(r) for r in df.collect())
+    for by_conv, by_case in ((EV.supported_share(cases, ctx, 0.4, "f", "conv"), EV.supported_share(cases, long, 0.4, "f")),
+                             (EV.context_precision(cases, ctx, "conv"), EV.context_precision(cases, long))):
+        assert sort(by_conv) == sort(by_case) and len(sort(by_conv)) == 4
+    assert sort(EV.supported_share(cases, ctx, 0.4, "f", "conv")) == [(1, 2 / 3), (1, 2 / 3), (2, 1.0), (3, 0.0)]
+
+
 def test_risk_escalation(spark):
     def risk(text, n):
         return one(spark, text).select(SC.answer_risk(F.col("t"), F.lit(n)).alias("r")).first().r
