@@ -5,6 +5,7 @@ Documents: (doc_id, text, ...). Queries: (query_id, text). All searches answer a
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as K
@@ -12,7 +13,7 @@ from ..functions import text as T
 from ..functions.numeric import sigmoid
 from ..session import cut_lineage
 from . import scoring_block as SB
-from .bounds import is_small, top_k
+from .bounds import broadcast_if_small, is_small, top_k
 
 SCORE_DIGITS = 9  # scores are rounded before ranking so that summation order cannot reorder equal documents
 
@@ -37,17 +38,28 @@ def term_counts(docs: DataFrame, pattern: Column | None = None) -> DataFrame:
 def term_stats(docs: DataFrame, pattern: Column | None = None) -> DataFrame:
     """(token, df, cf, dl_sum); the row with the empty token holds the corpus: df = documents, dl_sum = all tokens.
 
-    Each document contributes one marker row, so one combinable aggregate yields the per-term and the corpus figures.
+    A task counts block by block and sends one row per word of a block; the sums meet in one combinable aggregate.
     """
-    words = _words(pattern)
+    def count(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, STATS_BLOCK):
+                words = batch.slice(at, STATS_BLOCK).column("w")
+                known, word, row, n = SB.pair_counts(words)
+                sizes = SB.list_sizes(words)
+
+                def total(x=None):
+                    return np.bincount(word, weights=x, minlength=len(known)).astype(np.int64)
+
+                corpus = [len(words), len(words), sizes.sum()]
+                columns = [np.append(c, x) for c, x in zip([total(), total(n), total(sizes[row])], corpus)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([known, pa.array([""], known.type)]), *map(pa.array, columns)], ["token", "df", "cf", "dl_sum"])
+
+    rows = docs.select(_words(pattern).alias("w")).mapInArrow(count, "token string, df bigint, cf bigint, dl_sum bigint")
+    return rows.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("df", "cf", "dl_sum")])
 
-    def mark(array, d, c):
-        return F.transform(array, lambda t: F.struct(t.alias("token"), F.lit(d).alias("d"), F.lit(c).alias("c")))
 
-    rows = docs.select(words.alias("w")).select(F.size("w").alias("dl"), F.explode_outer(F.concat(
-        mark(F.array(F.lit("")), 1, 1), mark(F.array_distinct("w"), 1, 0), mark(F.col("w"), 0, 1))).alias("e"))
-    return rows.groupBy("e.token").agg(
-        F.sum("e.d").alias("df"), F.sum("e.c").alias("cf"), F.sum(F.col("dl") * F.col("e.d")).alias("dl_sum"))
+STATS_BLOCK = 2048  # documents counted at a time
 
 
 def document_frequency(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
@@ -106,7 +118,8 @@ def _matrix_top_k(terms: DataFrame, at: dict[str, int], ids: list[int], matrix:
     table = terms.sparkSession.createDataFrame(list(at.items()), "token string, idx int")  # the terms of the batch
     rows = terms.join(F.broadcast(table), "token").groupBy("doc_id").agg(  # at most one element per query term
         F.collect_list("idx").alias("idx"), F.collect_list("x").alias("x"), F.first("scale").alias("scale"))
-    best = SB.best_per_task(rows, lambda part: SB.sparse_block(part, len(matrix)) @ matrix, ids, k, SCORE_DIGITS, 0.0)
+    best = SB.best_per_task(rows, lambda part: SB.sparse_block(part.to_pandas(), len(matrix)) @ matrix, ids, k, SCORE_DIGITS, 0.0,
+                            len(matrix))
     return top_k(best, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
 
 
@@ -140,13 +153,14 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5, postings: DataF
     if made is not None and postings is None:
         at, ids, matrix = made
         avg = weights.agg(F.max("avg_dl").alias("a")).first()["a"] or 1.0
+        known = pa.array(list(at), type=pa.string())
 
         def score(part):
-            tf = SB.count_block(part, at)
-            length = part["w"].map(len).to_numpy(dtype=float)[:, None]
-            return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg)) @ matrix
+            tf, length = SB.count_block(part, known)
+            return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[:, None] / avg)) @ matrix
 
-        best = top_k(SB.best_per_task(_token_rows(docs), score, ids, k, SCORE_DIGITS, 0.0), ["query_id"], order, k)
+        found = SB.best_per_task(_token_rows(docs), score, ids, k, SCORE_DIGITS, 0.0, len(at))
+        best = top_k(found, ["query_id"], order, k)
     else:
         avg_dl = weights.agg(F.max("avg_dl").alias("a")).scalar()
         tf = F.col("tf")
@@ -188,7 +202,7 @@ def _nearest_in_block(vectors: DataFrame, rows: list, k: int) -> DataFrame:
     q = np.array([r["embedding"] for r in rows], dtype=float)
 
     def score(part):
-        e = np.stack(part["embedding"].to_numpy()).astype(float)
+        e = np.stack(part.to_pandas()["embedding"].to_numpy()).astype(float)
         out = np.empty((len(e), len(q)))
         for at in range(0, len(q), QUERY_TILE):
             gap = e[:, None, :] - q[None, at:at + QUERY_TILE, :]
@@ -259,10 +273,11 @@ def _tfidf_by_matrix(docs: DataFrame, queries: DataFrame, q: DataFrame, vocab: D
     matrix = np.zeros((len(at), len(ids)))
     for r in q.collect():
         matrix[at[r["token"]], col[r["query_id"]]] = r["weight"]
-    scale, unit_query = np.array([idf[t] for t in sorted(idf)]), matrix.any(axis=0)
+    scale, unit_query = np.array([idf[t] for t in at]), matrix.any(axis=0)
+    known = pa.array(list(at), type=pa.string())
 
     def score(part):
-        x = SB.count_block(part, at) * scale
+        x = SB.count_block(part, known)[0] * scale
         norm = np.sqrt((x * x).sum(axis=1))
         unit_doc = norm > 0
         x[unit_doc] /= norm[unit_doc, None]
@@ -270,7 +285,7 @@ def _tfidf_by_matrix(docs: DataFrame, queries: DataFrame, q: DataFrame, vocab: D
                          np.where(unit_doc[:, None] | unit_query[None, :], 1.0, 0.0))
         return 2.0 * (x @ matrix) - apart
 
-    best = SB.best_per_task(_token_rows(docs), score, ids, k, SCORE_DIGITS)
+    best = SB.best_per_task(_token_rows(docs), score, ids, k, SCORE_DIGITS, width=len(at))
     ranked = top_k(best, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
     return ranked.select("query_id", "doc_id", F.greatest(-F.col("score"), F.lit(0.0)).alias("distance"), "rank")
 
@@ -316,7 +331,12 @@ def fuse(dense: DataFrame, sparse: DataFrame, docs: DataFrame, k: int = 20, dens
     """
     lists = dense.select("query_id", "doc_id", "rank", F.lit(0).alias("src"), F.lit(dense_weight).alias("wt")).unionByName(
         sparse.select("query_id", "doc_id", "rank", F.lit(1).alias("src"), F.lit(sparse_weight).alias("wt")))
-    with_text = lists.join(docs.select("doc_id", F.sha2("text", 256).alias("key")), "doc_id")
+    lists = cut_lineage(lists)  # measured and then used, but searched once
+    key = F.sha2("text", 256).alias("key")
+    if is_small(lists):  # only found texts get a digest
+        with_text = docs.select("doc_id", "text").join(F.broadcast(lists), "doc_id").select(*lists.columns, key)
+    else:
+        with_text = lists.join(docs.select("doc_id", key), "doc_id")
     fused = with_text.groupBy("query_id", "key").agg(
         F.sum(F.col("wt") / (K.RRF_K + F.col("rank"))).alias("s"),
         F.min_by("doc_id", F.struct("src", "rank")).alias("doc_id"))
@@ -339,6 +359,14 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame
     return fuse(dense, sparse, docs, k)
 
 
+def with_marks(found: DataFrame, docs: DataFrame, *marks: Column | str) -> DataFrame:
+    """``found`` with columns of its documents. Those are computed for found documents only: the semi join comes first."""
+    found = cut_lineage(found)
+    ids = broadcast_if_small(found.select("doc_id").distinct())
+    rows = docs.join(ids, "doc_id", "left_semi").select("doc_id", *marks)
+    return found.join(broadcast_if_small(rows), "doc_id")
+
+
 def boost_topics(candidates: DataFrame, preferred: Column) -> DataFrame:
     """×1.3 for candidates of a preferred topic. The order of the list is left as it is."""
     hit = F.coalesce(F.array_contains(preferred, F.col("topic")), F.lit(False))
@@ -389,7 +417,7 @@ def retrieve(docs: DataFrame, queries: DataFrame, k: int = 5, cross_scores: Data
     """
     found = hybrid_search(docs, queries, candidate_count(k)).drop("rank")
     config = queries.select("query_id", T.intent_config(T.intent(F.col("text"))["intent"])["preferred_topics"].alias("pt"))
-    rows = found.join(docs.select("doc_id", "topic", "credibility_score"), "doc_id").join(config, "query_id")
+    rows = with_marks(found, docs, "topic", "credibility_score").join(config, "query_id")
     rows = boost_topics(rows, F.col("pt")).drop("pt")
     if cross_scores is None:
         return rerank(rows.withColumn("cross_encoder_score", F.lit(0.0)), k, has_model=False)

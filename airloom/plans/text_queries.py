@@ -276,9 +276,9 @@ CROSS = "ln(hybrid_score * 60) * 4"
 def _candidates(spark, sf) -> DataFrame:
     """Fused candidates with topic, credibility and a stand-in model score derived from the fused score."""
     found = RT.hybrid_search(docs(spark, sf), questions(spark, sf), 20).drop("rank")
-    meta = pages(spark, sf).select("doc_id", T.topic(F.col("text")).alias("topic"),
-                                   T.credibility(F.col("doc_name"), F.col("source_type")).alias("credibility_score"))
-    return found.join(meta, "doc_id").withColumn("cross_encoder_score", F.log(F.col("hybrid_score") * 60.0) * 4.0)
+    marked = RT.with_marks(found, pages(spark, sf), T.topic(F.col("text")).alias("topic"),
+                           T.credibility(F.col("doc_name"), F.col("source_type")).alias("credibility_score"))
+    return marked.withColumn("cross_encoder_score", F.log(F.col("hybrid_score") * 60.0) * 4.0)
 
 
 META = f"meta AS (SELECT doc_id, {S.topic('text')} AS topic, {CRED} AS credibility_score FROM pages_in)"

@@ -302,3 +302,41 @@ def test_term_stats(spark):
     got = {r.token: (r.df, r.cf) for r in RT.term_stats(corpus(spark)).collect()}
     counts = Counter(w for _, t in DOCS for w in re.findall(r"\w+", t))
     assert {k: v[1] for k, v in got.items() if k} == dict(counts) and got["apple"][0] == 3 and got[""][0] == 6
+
+
+def test_blocks_are_counted_without_python_strings():
+    import pyarrow as pa
+
+    part = pa.RecordBatch.from_arrays([pa.array([["z"], ["a", "b", "a"], [], ["b", "x"]])], ["w"]).slice(1)
+    counts, sizes = SB.count_block(part, pa.array(["b", "a"]))
+    assert counts.tolist() == [[1, 2], [0, 0], [1, 0]] and sizes.tolist() == [3, 0, 2]
+    known, word, row, n = SB.pair_counts(part.column("w"))
+    assert sorted(zip([known[int(i)].as_py() for i in word], row, n)) == [("a", 0, 2), ("b", 0, 1), ("b", 2, 1), ("x", 2, 1)]
+
+
+def test_blocks_of_wide_rows_are_small(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def score(part):
+        seen.add(1)
+        return np.ones((part.num_rows, 1))
+
+    rows = spark.range(0, 100, 1, 1).select(F.col("id").alias("doc_id"))
+    got = SB.best_per_task(rows, score, [5], 3, width=SB.BLOCK_CELLS // 10).collect()
+    assert [(r.query_id, r.doc_id) for r in got] == [(5, 0), (5, 1), (5, 2)] and seen.value == 10
+
+
+def test_statistics_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(RT, "STATS_BLOCK", 2)
+    got = {r.token: (r.df, r.cf, r.dl_sum) for r in RT.term_stats(corpus(spark).coalesce(1)).collect()}
+    words = [re.findall(r"\w+", t) for _, t in DOCS]
+    want = {w: (sum(w in t for t in words), sum(t.count(w) for t in words), sum(len(t) for t in words if w in t)) for t in words for w in t}
+    assert got == want | {"": (6, 6, sum(map(len, words)))}
+
+
+def test_marks_are_of_found_documents_only(spark):
+    """A mark that cannot be computed for a document that nobody found."""
+    docs = spark.createDataFrame([(1, "7"), (2, "not a number")], "doc_id bigint, text string")
+    found = spark.createDataFrame([(1, 1), (2, 1)], "query_id bigint, doc_id bigint")
+    got = RT.with_marks(found, docs, F.expr("CAST(text AS INT)").alias("n")).collect()
+    assert sorted((r.query_id, r.doc_id, r.n) for r in got) == [(1, 1, 7), (2, 1, 7)]
