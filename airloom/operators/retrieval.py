@@ -20,7 +20,7 @@ SCORE_DIGITS = 9  # scores are rounded before ranking so that summation order ca
 
 # --- Keyword index ------------------------------------------------------------------------
 
-def _words(pattern: Column | None = None) -> Column:
+def words_of(pattern: Column | None = None) -> Column:
     """Words of the text; a NULL text has none, but counts as a document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return T.tokens(text) if pattern is None else F.regexp_extract_all(F.lower(text), pattern, F.lit(0))
@@ -28,7 +28,7 @@ def _words(pattern: Column | None = None) -> Column:
 
 def term_counts(docs: DataFrame, pattern: Column | None = None) -> DataFrame:
     """(doc_id, token, tf, dl). Co-located by doc_id, so later aggregates by (doc_id, ...) need no further shuffle."""
-    words = _words(pattern)
+    words = words_of(pattern)
     rows = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", words.alias("w"))
     # Outer generators throughout: the plain ones add a filter on the array, which would tokenize every text twice.
     rows = rows.select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("token")).where("token IS NOT NULL")
@@ -55,7 +55,7 @@ def term_stats(docs: DataFrame, pattern: Column | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.concat_arrays([known, pa.array([""], known.type)]), *map(pa.array, columns)], ["token", "df", "cf", "dl_sum"])
 
-    rows = docs.select(_words(pattern).alias("w")).mapInArrow(count, "token string, df bigint, cf bigint, dl_sum bigint")
+    rows = docs.select(words_of(pattern).alias("w")).mapInArrow(count, "token string, df bigint, cf bigint, dl_sum bigint")
     return rows.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("df", "cf", "dl_sum")])
 
 
@@ -67,7 +67,7 @@ def document_frequency(docs: DataFrame, wanted: DataFrame | None = None) -> Data
 
     ``wanted``: (token) to keep, the corpus row included; other words are dropped before the shuffle.
     """
-    words = _words()
+    words = words_of()
     rows = docs.select(words.alias("w")).select(
         F.size("w").alias("dl"), F.explode_outer(F.concat(F.array(F.lit("")), F.array_distinct("w"))).alias("token"))
     if wanted is not None:
@@ -95,7 +95,7 @@ def _weighted_terms(terms: DataFrame, queries: DataFrame, stats: DataFrame) -> D
     return out.select("query_id", "token", (F.col("qtf") * idf).alias("weight"), "avg_dl")
 
 
-def _query_matrix(weights: DataFrame) -> tuple[dict[str, int], list[int], np.ndarray] | None:
+def query_matrix(weights: DataFrame) -> tuple[dict[str, int], list[int], np.ndarray] | None:
     """(token -> row, query ids, term × query matrix) of (query_id, token, weight) rows already known to be few."""
     rows = weights.select("query_id", "token", "weight").collect()
     tokens = sorted({r["token"] for r in rows})
@@ -110,7 +110,7 @@ def _query_matrix(weights: DataFrame) -> tuple[dict[str, int], list[int], np.nda
 
 
 def _token_rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", _words().alias("w"))
+    return docs.select("doc_id", words_of().alias("w"))
 
 
 def _matrix_top_k(terms: DataFrame, at: dict[str, int], ids: list[int], matrix: np.ndarray, k: int) -> DataFrame:
@@ -147,7 +147,7 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5, postings: DataF
     weights = _weighted_terms(terms, queries, stats)
     if small:
         weights = cut_lineage(weights)
-    made = _query_matrix(weights) if small else None
+    made = query_matrix(weights) if small else None
     order = [F.col("score").desc(), F.col("doc_id")]
     k1, b = K.BM25_K1, K.BM25_B
     if made is not None and postings is None:

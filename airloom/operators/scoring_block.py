@@ -37,12 +37,17 @@ def list_sizes(lists: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def places(words: pa.Array, vocabulary: pa.Array) -> np.ndarray:
+    """Place of each word in the vocabulary, -1 for others."""
+    return pc.fill_null(pc.index_in(words, value_set=vocabulary.cast(words.type)), -1).to_numpy(zero_copy_only=False)
+
+
 def count_block(part: pa.RecordBatch, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Counts (rows × vocabulary) and lengths of the token arrays in ``w``. The words stay in Arrow's buffers; no Python
     string is made of them."""
     words = part.column("w")
     sizes = list_sizes(words)
-    at = pc.fill_null(pc.index_in(words.flatten(), value_set=vocabulary.cast(words.type.value_type)), -1).to_numpy(zero_copy_only=False)
+    at = places(words.flatten(), vocabulary)
     cell = (np.repeat(np.arange(len(words)), sizes) * len(vocabulary) + at)[at >= 0]
     out = np.bincount(cell, minlength=len(words) * len(vocabulary)).astype(float)
     return out.reshape(len(words), len(vocabulary)), sizes.astype(float)

@@ -57,6 +57,47 @@ def test_search_reads_its_own_terms_and_skips_blocks(spark, tmp_path, monkeypatc
     assert opened[0] < 100  # of 406
 
 
+def test_blocks_are_counted_where_chunks_lie(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "BLOCK_DOCS", 16)
+    path = str(tmp_path)
+    texts = [(i, f"same word w{i % 7} w{i % 7}") for i in range(500)] + [(900, None), (901, "..")]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    with monkeypatch.context() as m:
+        m.setattr(X, "cut_lineage", lambda df: pytest.fail("postings are written apart from the index"))
+        X.add(df, path, "a")
+    blocks = X.read(spark, path, "blocks")
+    sizes = {(r.batch, r.block): len(r.docs) for r in blocks.where("token = 'same'").collect()}
+    assert max(sizes.values()) <= 16 and sum(sizes.values()) == 500
+    assert {(p.docs, p.tfs, p.dls) for p in blocks.where("token = 'w3'").selectExpr("inline(arrays_zip(docs, tfs, dls))").collect()} == {
+        (i, 2, 4) for i in range(500) if i % 7 == 3}
+    assert X.manifest(spark, path)["batches"][0]["docs"] == 502
+    q = spark.createDataFrame([(1, "same"), (2, "w5 word"), (3, "none")], "query_id bigint, text string")
+    want, seen, plain = key(RT.bm25_search(df, q, 3)), [], RT.top_k
+
+    def watched(frame, keys, order, k, rank="rank"):
+        if "score" in frame.columns:
+            seen.append(frame.count())
+        return plain(frame, keys, order, k, rank)
+
+    monkeypatch.setattr(X, "top_k", watched)
+    assert key(X.search(spark, path, q, 3)) == want and seen[0] <= 8 * 2 * 3  # tasks, queries, k; not a row per hit
+    monkeypatch.setattr(RT.SB, "MAX_MATRIX_BYTES", 0)
+    assert key(X.search(spark, path, q, 3)) == want
+
+
+def test_blocks_go_on_over_batches(spark, tmp_path):
+    path, size = str(tmp_path), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 11}" for j in range(9))) for i in range(60)], "doc_id bigint, text string")
+    q = spark.createDataFrame([(1, "w1 w2 w3 w4"), (2, "w0 w5")], "query_id bigint, text string")
+    X.add(df, path, "a")
+    want = key(RT.bm25_search(df, q, 5))
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        assert key(X.search(spark, path, q, 5)) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_rebuild_is_one_step(spark, chunks, tmp_path, monkeypatch):
     path = str(tmp_path)
     X.add(chunks.where("doc_id < 100"), path, "a")
