@@ -340,3 +340,19 @@ def test_marks_are_of_found_documents_only(spark):
     found = spark.createDataFrame([(1, 1), (2, 1)], "query_id bigint, doc_id bigint")
     got = RT.with_marks(found, docs, F.expr("CAST(text AS INT)").alias("n")).collect()
     assert sorted((r.query_id, r.doc_id, r.n) for r in got) == [(1, 1, 7), (2, 1, 7)]
+
+
+def test_topic_equals_scores(spark, small):
+    texts = documents_as_pages(spark, small).select("doc_id", "text")
+    odd = ["sub index sub\nindex sub\rindex sub\u0085index sub\u2028index sub\U0001f600index wind", "NAQI aqi İndex", "urban ban run", "",
+           None, "1999 ١٩٩٩ year", "12345678 trend health disease asthma lung", "who whoever epa run runs jog jogging"]
+    rows = texts.unionByName(spark.createDataFrame([(-i, t) for i, t in enumerate(odd, 1)], "doc_id bigint, text string"))
+    names = [n for n, _ in K.TOPICS]
+    got = rows.select(T.topic(F.col("text")).alias("t"), T.topic_scores(F.col("text")).alias("s")).collect()
+    for r in got:
+        if None in r.s:
+            assert r.t is None
+        else:
+            assert r.t == (names[r.s.index(max(r.s))] if max(r.s) else "general")
+    plan = rows.select(T.topic(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_" not in plan  # not in the JVM's interpreter
