@@ -410,6 +410,40 @@ def test_windows_score_each_word_once_and_causally():
     assert np.allclose(logits[0, :20], L.forward(weights, changed)[0][0, :20], atol=1e-5)
 
 
+def test_words_are_looked_up_once_a_chunk_and_numbered_as_one_by_one(monkeypatch):
+    lexicon = tiny_lexicon()
+    texts = ["the of\u00a0the word " * 500, None, "", " \t\n", " The\x0bOF\x0cword\rz\u00c9\u0085\x1c a\x00b\n", "\u0130stanbul STRASSE\u1e9e", "the"]
+    asked, look = [], lexicon.numbers
+    monkeypatch.setattr(lexicon, "numbers", lambda words: asked.append(len(words)) or look(words))
+    rows, classes, weight = L.every_window(lexicon, texts)
+    own = [[*L.text_words(t), L.END] for t in texts]
+    assert asked == [len({w for words in own for w in words})]
+    numbers, sizes = L.text_numbers(lexicon, texts)
+    assert sizes.tolist() == [len(words) for words in own] and weight.sum() == sizes.sum()
+    assert numbers.tolist() == look([w for words in own for w in words]).tolist()
+    got = Counter()
+    for made in L._count([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]):
+        got.update(dict(zip(made.column("word").to_pylist(), made.column("n").to_pylist())))
+    assert got == Counter(w for words in own for w in words)
+
+
+def test_chosen_places_and_a_kept_room_give_the_same():
+    rng = np.random.default_rng(2)
+    room = L.Room()
+    for size in (1, 40):  # the second has numbers whose exponentials do not fit without a shift
+        w = {n: x * size if n in "qku" else x for n, x in L.initial(np.ones(L.CLASSES)).items()}
+        for count in (5, 2, 7):
+            rows, classes = rng.integers(0, L.OWN_ROWS, (count, L.WIDTH)), rng.integers(0, L.CLASSES, (count, L.WIDTH))
+            logits = L.forward(w, rows)[0].astype(np.float64)
+            top = logits.max(2, keepdims=True)
+            want = np.take_along_axis(logits - top - np.log(np.exp(logits - top).sum(2, keepdims=True)), classes[..., None], 2)[..., 0]
+            counted = rng.random(rows.shape) < 0.7
+            assert np.allclose(L.class_log_probabilities(w, rows, classes), want, rtol=1e-4, atol=1e-3)
+            assert np.allclose(L.class_log_probabilities(w, rows, classes, counted, room), want[counted], rtol=1e-4, atol=1e-3)
+            one, other = (L.gradients(w, rows, classes, counted.astype(np.float32), r) for r in (None, room))
+            assert all(np.array_equal(one[n], other[n]) for n in one)
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     w = {n: x.astype(np.float64) for n, x in L.initial(np.ones(L.CLASSES)).items()}
