@@ -376,6 +376,47 @@ def test_every_word_is_trained_on_once(spark, monkeypatch):
     assert sum(r.column("windows")[0].as_py() for r in L._train_task(None)([batch])) == len(rows) and sum(seen) == sum(sizes)
 
 
+def two_kinds(rng, n):
+    """Texts of words of one of two kinds, some of more than one piece."""
+    kinds = [[rng.choice("abcdefghijklm") + "".join(rng.choices(half, k=rng.randrange(1, 7))) for _ in range(400)] for half in ("nopqrs", "tuvwxyz")]
+    return ["  ".join(rng.choices(kinds[i % 2], k=rng.choice([0, 3, 40, 255, 256, 257, 1100]))) for i in range(n)]
+
+
+def test_classes_come_from_every_word(spark, monkeypatch):
+    texts = [*two_kinds(random.Random(5), 60), None, " \n", "One"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    ids = lambda t: [int.from_bytes(x[:4], "little") for x in L._vocabulary(PATH)[0].split(L.text_words(t))]
+    split = [ids(t) for t in texts]
+    size = len(L._vocabulary(PATH)[1])
+    first = np.bincount([i for x in split for i in x], minlength=size).astype(float)
+    anchors = np.argsort(-first, kind="stable")[:L.ANCHORS].tolist()
+    want = np.zeros((size, L.ANCHORS))
+    for x in split:
+        for a in range(0, len(x), 256):
+            present = [i in x[a:a + 256] for i in anchors]
+            for i in x[a:a + 256]:
+                want[i] += present
+    plain = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    for most, field in ((L.SEEN, L.FIELD), (5, L.FIELD), (L.SEEN, 4)):  # with words forgotten, with places taken in parts
+        monkeypatch.setattr(L, "SEEN", most)
+        monkeypatch.setattr(L, "FIELD", field)
+        monkeypatch.setattr(L, "_FIRST", {})
+        words, at, sizes = L.distinct_words(texts)
+        number, got = np.full(size, -1), np.zeros((size, L.ANCHORS), np.int64)
+        number[anchors] = range(L.ANCHORS)
+        for _ in range(2):
+            L.add_beside(L.first_subwords(PATH, words), at, sizes, number, got)
+        assert np.array_equal(got, 2 * want)
+    assert np.array_equal(L.beside_anchors(plain, PATH, first), want)
+
+    row, classes = L.class_tables(first, want)
+    for documents, words in ((2000, 256), (3, 2)):  # what the attention starts on does not matter
+        monkeypatch.setattr(L, "WARM_DOCS", documents)
+        monkeypatch.setattr(L, "WARM_WORDS", words)
+        stats = L.train(docs, PATH, "doc_id", "text")[0]["stats"]
+        assert np.array_equal(stats["class"], classes) and np.array_equal(stats["row"], row)
+
+
 def test_lm_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in L.score(docs, F.lit(False), PATH).collect()}
