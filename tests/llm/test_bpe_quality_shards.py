@@ -33,6 +33,18 @@ def test_long_pieces(text):
     assert ids([text, "", text]) == [LIBRARY.encode_ordinary(text), [], LIBRARY.encode_ordinary(text)]
 
 
+def test_pieces_side_by_side(monkeypatch):
+    monkeypatch.setattr(B, "TOGETHER", 7)
+    merger, names = B._vocabulary(PATH)
+    rng = np.random.default_rng(4)
+    pieces = [bytes(rng.choice(np.frombuffer(b"aeinst\0\xc3\xa9", np.uint8), n)) for n in rng.integers(1, 90, 300)] + names[::997]
+    library = tiktoken.Encoding("pieces", pat_str=r"(?s).+", special_tokens={}, mergeable_ranks=merger.ranks)
+    want = [library._encode_single_piece(p) for p in pieces]
+    ids, sizes = merger.flat(pieces)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in merger.split(pieces)] == want and merger.split([]) == []
+
+
 def test_scan_agrees_with_stepping():
     rng = np.random.default_rng(1)
     of_symbol, product, function, _, identity = B._monoid()

@@ -397,17 +397,16 @@ def test_classes_come_from_every_word(spark, monkeypatch):
             for i in x[a:a + 256]:
                 want[i] += present
     plain = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    for most, field in ((L.SEEN, L.FIELD), (5, L.FIELD), (L.SEEN, 4)):  # with words forgotten, with places taken in parts
-        monkeypatch.setattr(L, "SEEN", most)
+    words, at, sizes = L.distinct_words(texts)
+    known = {w: ids(w.decode())[0] for w in words[::2]}
+    for field in (L.FIELD, 4):  # the second takes places in parts
         monkeypatch.setattr(L, "FIELD", field)
-        monkeypatch.setattr(L, "_FIRST", {})
-        words, at, sizes = L.distinct_words(texts)
         number, got = np.full(size, -1), np.zeros((size, L.ANCHORS), np.int64)
         number[anchors] = range(L.ANCHORS)
-        for _ in range(2):
-            L.add_beside(L.first_subwords(PATH, words), at, sizes, number, got)
+        for sent in ({}, known):
+            L.add_beside(L.first_subwords(PATH, words, sent), at, sizes, number, got)
         assert np.array_equal(got, 2 * want)
-    assert np.array_equal(L.beside_anchors(plain, PATH, first), want)
+    assert np.array_equal(L.beside_anchors(plain, PATH, first, words[:9]), want)
 
     row, classes = L.class_tables(first, want)
     for documents, words in ((2000, 256), (3, 2)):  # what the attention starts on does not matter
@@ -417,6 +416,30 @@ def test_classes_come_from_every_word(spark, monkeypatch):
         assert np.array_equal(stats["class"], classes) and np.array_equal(stats["row"], row)
 
 
+def test_scores_of_many_texts_at_once():
+    """Each text as if it stood alone, window by window."""
+    lexicon, weights = tiny_lexicon(), L.initial(np.ones(L.CLASSES))
+    texts = ["the of zq " * n for n in (0, 1, 3, 9, 10, 11, 80)] + [None, "\u00e9x\u00e9x zq zq", "of"]
+    numbers, sizes = L.text_numbers(lexicon, texts)
+    for x, got in zip(np.split(numbers, np.cumsum(sizes)[:-1]), L.score_numbers(weights, numbers, sizes, lexicon)):
+        rows, want = np.append(L.OWN_ROWS + L.CLASSES, lexicon.row[x[:-1]]), lexicon.log_word[x].sum()
+        for start, first in zip(*L.windows_of(len(x))):
+            part = slice(start, start + L.WIDTH)
+            logits = L.forward(weights, rows[None, part])[0][0].astype(float)
+            own = logits[np.arange(len(logits)), lexicon.cls[x[part]]] - np.log(np.exp(logits).sum(1))
+            want += own[first:].sum() / np.log(10)
+        assert abs(got - want) < 1e-5 * abs(want)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["row", "text"])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(L, "_made", lambda sent: (lexicon, weights))
+        rows = [r for made in L._score_task(None)([batch]) for r in made.to_pylist()]
+    for r, t in zip(rows, texts, strict=True):
+        words = [*L.text_words(t), L.END]
+        rare = Counter(w for w in words if w not in (b"the", b"of", b"word", L.END))
+        assert (r["n_tokens"], r["held"], dict(zip(r["rare"], r["rare_n"]))) == (len(words), len(words) - rare.total(), rare)
+        assert np.allclose(r["spelled"], [lexicon.log_spelled[lexicon.known[w]] for w in r["rare"]])
+
+
 def test_lm_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in L.score(docs, F.lit(False), PATH).collect()}
